@@ -2,8 +2,10 @@
 
 A text is cut into chunks that overlap. Each chunk is pre-tokenised on its own. What the pattern matches from a
 boundary on depends on the text after it alone, so the first boundary that two neighbours share inside their overlap
-(and that the end of the first chunk cannot have moved) joins them: from there on their pre-tokens are the same. The
-stretches between such joints are encoded with the merge ranks, and decoding concatenates the bytes of the ids.
+(and that the end of the first chunk cannot have moved) joins them: from there on their pre-tokens are the same. A
+joint stands after a character that is no white space, as a pattern may treat white space at the end of a text unlike
+white space before a word. The stretches between such joints are encoded with the merge ranks, and decoding
+concatenates the bytes of the ids.
 
 Texts of at most `long_chars` are chunked inside their task. Longer ones become rows, a chunk each, that are dealt to
 all tasks for pre-tokenising; a second step brings a document's chunks together, joins and encodes them.
@@ -61,7 +63,7 @@ def joints(parts: list[tuple[int, str, list[int]]], chunk: int, overlap: int, pa
     for next_start, next_piece, next_ends in parts[1:]:
         shift = next_start - start
         sure = {e - shift for e in ends[:-2] if e >= shift and e > begin}
-        meet = next((e for e in next_ends if e in sure and e <= overlap), None)
+        meet = next((e for e in next_ends if e in sure and e <= overlap and not next_piece[e - 1].isspace()), None)
         if meet is None:
             piece = piece[:shift] + next_piece
             ends = [begin + e for e in boundaries(piece[begin:], pattern)]

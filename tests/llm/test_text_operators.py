@@ -236,7 +236,7 @@ def test_op9_agrees_with_the_library(spark, texts):
 
 @pytest.mark.parametrize("chunk, overlap", [(7, 3), (40, 12), (256, 64)])
 def test_op9_joins_at_any_chunk_size(spark, chunk, overlap):
-    texts = ["it's   a\n\n test 123456 of   spaces   ", "a" * 900, "x  y   z    " * 40, LONG[:3000], " " * 500 + "end", "🙂🙂 日本語 " * 30]
+    texts = ["it's   a\n\n test 123456 of   spaces   ", "a" * 900, "x  y   z    " * 40, LONG[:3000], "ab cd\n\nef gh\r\n \nij kl \n" * 40, " " * 500 + "end", "🙂🙂 日本語 " * 30]
     encoder = byte_bpe.rank_encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for long_chars in (100_000, 50):
