@@ -117,15 +117,16 @@ def children(node: Column, at: Column) -> Column:
 
 
 def buckets(sets: DataFrame, runs: int, small: int, depth: int) -> DataFrame:
-    """name, leaf, n: the buckets to compare, those with the same members only once."""
+    """name, leaf, n, stored: the buckets to compare, those with the same members only once."""
     roots = F.explode(F.transform(F.sequence(F.lit(1), F.lit(runs)), lambda r: F.xxhash64(F.lit("root"), r))).alias("parent")
     level = sets.select("name", "at", roots).select("name", "parent", F.explode(children(F.col("parent"), F.col("at"))).alias("node"))
     level = level.withColumn("of", F.lit(None).cast("long"))
-    leaves, member = None, F.xxhash64("name")
+    leaves, member, spent = None, F.xxhash64("name"), []
     for d in range(1, depth + 1):
         level = stored(level.select("name", "node", "of"))
         sizes = level.groupBy("node").agg(F.count("*").alias("n"), F.max("of").alias("of"), F.bit_xor(member).alias("x"), F.bit_xor(F.xxhash64("name", F.lit(1))).alias("y"))
         sizes = stored(sizes.where("n > 1").withColumn("last", (F.col("n") <= small) | F.coalesce(2 * F.col("n") > F.col("of"), F.lit(False)) | F.lit(d == depth)))
+        spent += [level, sizes]
         done = level.join(sizes.where("last").select("node", "n", F.xxhash64("n", "x", "y").alias("members")), "node")
         done = done.select("name", F.col("node").alias("leaf"), "n", "members")
         leaves = done if leaves is None else leaves.unionByName(done)
@@ -135,8 +136,11 @@ def buckets(sets: DataFrame, runs: int, small: int, depth: int) -> DataFrame:
         rows = level.select("name", F.col("node").alias("parent")).join(large, "parent").join(sets.select("name", "at"), "name")
         level = rows.select("name", "of", F.explode(children(F.col("parent"), F.col("at"))).alias("node"))
     leaves = stored(leaves)
+    discard(*spent)
     first = leaves.groupBy("members").agg(F.min("leaf").alias("leaf"))
-    return leaves.join(first, ["members", "leaf"], "left_semi").select("name", "leaf", "n").distinct()
+    kept = stored(leaves.join(first, ["members", "leaf"], "left_semi").select("name", "leaf", "n").distinct())
+    discard(leaves)
+    return kept
 
 
 def overlap(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -240,7 +244,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     rows = stored(sketches(docs, id_column))
     sets = rows.where("name is not null").groupBy("name").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("at").alias("at"))
     sets = stored(sets)
-    leaves = stored(buckets(sets, runs_for(recall, threshold, min(depth, 3)), small, depth))
+    leaves = buckets(sets, runs_for(recall, threshold, min(depth, 3)), small, depth)
     found = stored(linked(docs, sets, leaves, threshold, block, id_column))
     links = found.groupBy("name").agg(F.sum("links").alias("links"))
     parts = connect(found.select(F.col("name").alias("a"), F.col("least").alias("b")))
@@ -249,6 +253,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     least = ids.groupBy("b").agg(F.min("first_id").alias("class_id"))
     of_set = links.join(ids.join(least, "b").select(F.col("a").alias("name"), "class_id"), "name")
     of_set = stored(sets.select("name", "first_id", "copies").join(of_set, "name", "left").select("name", F.coalesce("class_id", "first_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    discard(sets, leaves, found, parts, ids)
     out = rows.select("id", "name").join(of_set, "name", "left")
     return out.select(F.col("id").alias(id_column), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
