@@ -1,7 +1,8 @@
 r"""License scans (6), in DataFrame functions alone.
 
 A text becomes its words in lower case with one space between. Ordered signature rules (a regular expression, keyword,
-priority, label and confidence each) run where the text has a word that all of them need and the rule's own keyword. A
+priority, label and confidence each) run where the text has the word that their form needs and one of the rule's own
+keywords; a text goes to the rules if it has the stem of license or one of the names by which the other rules match. A
 detection inside another one's interval is suppressed if the other has a better priority, or the same one and is
 longer or comes from an earlier rule; a containing detection of a worse priority gives way to what it contains only
 when both name the same span. The surviving labels and the fixed base phrases' labels are the text's labels.
@@ -23,33 +24,31 @@ from .base import whole_text
 
 #: The phrases of the base result and their labels.
 BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Without any of these no rule can match.
-GATES = ["licen", "spdx", " cc ", "gpl ", "public domain", "creative commons", "all rights reserved"]
 
-#: label: (keyword, name as words, SPDX identifiers as words).
+#: label: (keywords, one of which any match has; name as words; SPDX identifiers as words).
 FAMILIES = {
     "mit": ("mit", r"mit(?: x11| expat)?", r"mit"), "mit-0": ("mit", r"mit(?: no attribution| 0)", r"mit 0"), "x11": ("x11", r"x11", r"x11"), "isc": ("isc", r"isc", r"isc"),
     "apache-1": ("apache", r"apache(?: software)? licen[sc]e(?: version)? 1(?: [01])?|apache 1(?: [01])?", r"apache 1(?: [01])?"),
-    "apache-2": ("apache", r"apache(?: software)? licen[sc]e(?: version)? 2(?: 0)?|apache 2(?: 0)?|asl 2(?: 0)?", r"apache 2(?: 0)?"),
+    "apache-2": ("apache|asl", r"apache(?: software)? licen[sc]e(?: version)? 2(?: 0)?|apache 2(?: 0)?|asl 2(?: 0)?", r"apache 2(?: 0)?"),
     "bsd-2": ("bsd", r"(?:simplified|freebsd|2 clause|two clause) bsd|bsd 2 clause|bsd two clause", r"bsd 2 clause"), "bsd-3": ("bsd", r"(?:new|modified|revised|3 clause|three clause) bsd|bsd 3 clause|bsd three clause", r"bsd 3 clause"),
-    "bsd-4": ("bsd", r"(?:original|4 clause|four clause) bsd|bsd 4 clause", r"bsd 4 clause"), "0bsd": ("bsd", r"(?:zero clause|free public) bsd|bsd zero clause|0bsd", r"0bsd"), "bsd": ("bsd", r"bsd(?: style)?", r"bsd"),
+    "bsd-4": ("bsd", r"(?:original|4 clause|four clause) bsd|bsd 4 clause", r"bsd 4 clause"), "0bsd": ("bsd|0bsd", r"(?:zero clause|free public) bsd|bsd zero clause|0bsd", r"0bsd"), "bsd": ("bsd", r"bsd(?: style)?", r"bsd"),
     "gpl-1": ("1", r"(?:gnu )?(?:general public|gpl)(?: licen[sc]e)?(?: version)? v?1(?: 0)?|gplv1", r"gpl 1 0(?: only| or later)?"), "gpl-2": ("2", r"(?:gnu )?(?:general public|gpl)(?: licen[sc]e)?(?: version)? v?2(?: 0)?|gplv2", r"gpl 2 0(?: only| or later)?"),
     "gpl-3": ("3", r"(?:gnu )?(?:general public|gpl)(?: licen[sc]e)?(?: version)? v?3(?: 0)?|gplv3", r"gpl 3 0(?: only| or later)?"), "gpl": ("g", r"gnu general public|(?:gnu )?gpl", r"gpl"),
     "lgpl-2": ("l", r"(?:gnu )?(?:library general public|lgpl)(?: licen[sc]e)?(?: version)? v?2(?: 0)?|lgplv2", r"lgpl 2 0(?: only| or later)?"), "lgpl-2.1": ("l", r"(?:gnu )?(?:lesser general public|lgpl)(?: licen[sc]e)?(?: version)? v?2 1", r"lgpl 2 1(?: only| or later)?"),
     "lgpl-3": ("l", r"(?:gnu )?(?:lesser general public|lgpl)(?: licen[sc]e)?(?: version)? v?3(?: 0)?|lgplv3", r"lgpl 3 0(?: only| or later)?"), "lgpl": ("l", r"gnu (?:lesser|library) general public|(?:gnu )?lgpl", r"lgpl"),
-    "agpl-3": ("a", r"(?:gnu )?(?:affero general public|agpl)(?: licen[sc]e)?(?: version)? v?3(?: 0)?|agplv3", r"agpl 3 0(?: only| or later)?"), "agpl": ("a", r"gnu affero general public|(?:gnu )?agpl", r"agpl"), "gfdl": ("gnu", r"gnu free documentation|gfdl", r"gfdl(?: 1 [123])?"),
+    "agpl-3": ("a", r"(?:gnu )?(?:affero general public|agpl)(?: licen[sc]e)?(?: version)? v?3(?: 0)?|agplv3", r"agpl 3 0(?: only| or later)?"), "agpl": ("a", r"gnu affero general public|(?:gnu )?agpl", r"agpl"), "gfdl": ("gnu|gfdl", r"gnu free documentation|gfdl", r"gfdl(?: 1 [123])?"),
     "mpl-1": ("m", r"(?:mozilla public|mpl)(?: licen[sc]e)?(?: version)? 1(?: [01])?", r"mpl 1 [01]"), "mpl-2": ("m", r"(?:mozilla public|mpl)(?: licen[sc]e)?(?: version)? 2(?: 0)?", r"mpl 2 0"), "mpl": ("m", r"mozilla public|mpl", r"mpl"),
-    "epl-1": ("e", r"(?:eclipse public|epl)(?: licen[sc]e)?(?: version)? 1(?: 0)?", r"epl 1 0"), "epl-2": ("e", r"(?:eclipse public|epl)(?: licen[sc]e)?(?: version)? 2(?: 0)?", r"epl 2 0"), "epl": ("eclipse", r"eclipse public", r"epl"), "edl-1": ("eclipse", r"eclipse distribution", r"edl 1 0"),
-    "cddl-1": ("c", r"(?:common development and distribution|cddl)(?: licen[sc]e)?(?: version)?(?: 1(?: [01])?)?", r"cddl 1 [01]"), "cpl-1": ("common", r"common public", r"cpl 1 0"), "cpal": ("common", r"common public attribution", r"cpal 1 0"), "ipl": ("ibm", r"ibm public", r"ipl 1 0"),
+    "epl-1": ("e", r"(?:eclipse public|epl)(?: licen[sc]e)?(?: version)? 1(?: 0)?", r"epl 1 0"), "epl-2": ("e", r"(?:eclipse public|epl)(?: licen[sc]e)?(?: version)? 2(?: 0)?", r"epl 2 0"), "epl": ("eclipse|epl", r"eclipse public", r"epl"), "edl-1": ("eclipse|edl", r"eclipse distribution", r"edl 1 0"),
+    "cddl-1": ("c", r"(?:common development and distribution|cddl)(?: licen[sc]e)?(?: version)?(?: 1(?: [01])?)?", r"cddl 1 [01]"), "cpl-1": ("common|cpl", r"common public", r"cpl 1 0"), "cpal": ("common|cpal", r"common public attribution", r"cpal 1 0"), "ipl": ("ibm|ipl", r"ibm public", r"ipl 1 0"),
     "eupl": ("e", r"(?:european union public|eupl)(?: licen[sc]e)?(?: version)?(?: 1 [012])?", r"eupl 1 [012]"), "artistic-1": ("artistic", r"artistic(?: licen[sc]e)?(?: version)? 1(?: 0)?", r"artistic 1 0"), "artistic-2": ("artistic", r"artistic(?: licen[sc]e)?(?: version)? 2(?: 0)?", r"artistic 2 0"), "artistic": ("artistic", r"artistic", r"artistic"),
-    "boost": ("boost", r"boost software", r"bsl 1 0"), "zlib": ("zlib", r"zlib(?: libpng)?", r"zlib"), "libpng": ("libpng", r"libpng", r"libpng(?: 2 0)?"), "curl": ("curl", r"curl", r"curl"), "unlicense": ("unlicense", r"unlicense", r"unlicense"), "wtfpl": ("w", r"wtfpl|do what the f\w+ you want to public", r"wtfpl"),
-    "python": ("python", r"python software foundation|psf|python", r"(?:psf|python) 2 0"), "ruby": ("ruby", r"ruby", r"ruby"), "php": ("php", r"php(?: licen[sc]e)?(?: version)?(?: 3(?: 0[01])?)?", r"php 3 0[01]?"), "perl": ("perl", r"perl", r"perl"), "tcl": ("tcl", r"tcl(?: tk)?", r"tcl"), "zpl": ("zope", r"zope public", r"zpl [12] [01]"), "openssl": ("openssl", r"openssl", r"openssl"),
+    "boost": ("boost|bsl", r"boost software", r"bsl 1 0"), "zlib": ("zlib", r"zlib(?: libpng)?", r"zlib"), "libpng": ("libpng", r"libpng", r"libpng(?: 2 0)?"), "curl": ("curl", r"curl", r"curl"), "unlicense": ("unlicense", r"unlicense", r"unlicense"), "wtfpl": ("w", r"wtfpl|do what the f\w+ you want to public", r"wtfpl"),
+    "python": ("python|psf", r"python software foundation|psf|python", r"(?:psf|python) 2 0"), "ruby": ("ruby", r"ruby", r"ruby"), "php": ("php", r"php(?: licen[sc]e)?(?: version)?(?: 3(?: 0[01])?)?", r"php 3 0[01]?"), "perl": ("perl", r"perl", r"perl"), "tcl": ("tcl", r"tcl(?: tk)?", r"tcl"), "zpl": ("zope|zpl", r"zope public", r"zpl [12] [01]"), "openssl": ("openssl", r"openssl", r"openssl"),
     "ofl": ("o", r"(?:sil )?open font|ofl", r"ofl 1 [01]"), "postgresql": ("postgresql", r"postgresql", r"postgresql"), "ncsa": ("ncsa", r"(?:university of illinois )?ncsa(?: open source)?", r"ncsa"), "w3c": ("w3c", r"w3c(?: software)?", r"w3c"), "unicode": ("unicode", r"unicode(?: inc)?", r"unicode(?: dfs 201[56])?"), "icu": ("icu", r"icu", r"icu"),
-    "osl": ("open", r"open software", r"osl [123] [01]"), "afl": ("academic", r"academic free", r"afl [123] [012]"), "ecl": ("educational", r"educational community", r"ecl [12] 0"), "ms-pl": ("m", r"microsoft public|ms pl", r"ms pl"), "ms-rl": ("m", r"microsoft reciprocal|ms rl", r"ms rl"), "odbl": ("o", r"open (?:data commons open )?database|odbl", r"odbl 1 0"),
-    "odc-by": ("open", r"open data commons attribution", r"odc by 1 0"), "pddl": ("p", r"public domain dedication and|pddl", r"pddl 1 0"), "cecill": ("cecill", r"cecill(?: [abc])?(?: 2(?: [01])?)?", r"cecill(?: [abc12])?(?: [01])?"), "qpl": ("q", r"q public|qpl", r"qpl 1 0"), "sleepycat": ("sleepycat", r"sleepycat", r"sleepycat"), "vim": ("vim", r"vim", r"vim"),
-    "apple": ("apple", r"apple public source", r"apsl 2 0"), "nasa": ("nasa", r"nasa open source", r"nasa 1 3"), "nokia": ("nokia", r"nokia open source", r"nokia"), "sun": ("sun", r"sun (?:public|industry standards source)", r"(?:spl 1 0|sissl)"), "intel": ("intel", r"intel open source|intel simplified software", r"intel"), "netscape": ("netscape", r"netscape public", r"npl 1 [01]"),
-    "upl": ("u", r"universal permissive|upl", r"upl 1 0"), "elastic": ("elastic", r"elastic(?: licen[sc]e)?(?: version)? 2(?: 0)?|elastic", r"elastic 2 0"), "sspl": ("s", r"server side public|sspl", r"sspl 1 0"), "busl": ("business", r"business source", r"busl 1 1"), "commons-clause": ("commons", r"commons clause", r"commons clause"), "polyform": ("polyform", r"polyform (?:noncommercial|small business|shield)", r"polyform \w+ 1 0 0"),
-    "blueoak": ("blue", r"blue oak model", r"blueoak 1 0 0"), "hippocratic": ("hippocratic", r"hippocratic", r"hippocratic 2 1"), "json": ("json", r"json", r"json"), "beerware": ("beer", r"beer ?ware", r"beerware"), "fair": ("fair", r"fair", r"fair"), "mulan": ("mulan", r"mulan (?:permissive software|psl)(?: v?[12])?", r"mulanpsl [12] 0"), "openrail": ("rail", r"(?:creativeml |bigscience )?(?:open ?rail(?: m)?|rail)", r"openrail(?: m)?"),
+    "osl": ("open|osl", r"open software", r"osl [123] [01]"), "afl": ("academic|afl", r"academic free", r"afl [123] [012]"), "ecl": ("educational|ecl", r"educational community", r"ecl [12] 0"), "ms-pl": ("m", r"microsoft public|ms pl", r"ms pl"), "ms-rl": ("m", r"microsoft reciprocal|ms rl", r"ms rl"), "odbl": ("o", r"open (?:data commons open )?database|odbl", r"odbl 1 0"),
+    "odc-by": ("open|odc", r"open data commons attribution", r"odc by 1 0"), "pddl": ("p", r"public domain dedication and|pddl", r"pddl 1 0"), "cecill": ("cecill", r"cecill(?: [abc])?(?: 2(?: [01])?)?", r"cecill(?: [abc12])?(?: [01])?"), "qpl": ("q", r"q public|qpl", r"qpl 1 0"), "sleepycat": ("sleepycat", r"sleepycat", r"sleepycat"), "vim": ("vim", r"vim", r"vim"),
+    "apple": ("apple|apsl", r"apple public source", r"apsl 2 0"), "nasa": ("nasa", r"nasa open source", r"nasa 1 3"), "nokia": ("nokia", r"nokia open source", r"nokia"), "sun": ("sun|spl|sissl", r"sun (?:public|industry standards source)", r"(?:spl 1 0|sissl)"), "intel": ("intel", r"intel open source|intel simplified software", r"intel"), "netscape": ("netscape|npl", r"netscape public", r"npl 1 [01]"),
+    "upl": ("u", r"universal permissive|upl", r"upl 1 0"), "elastic": ("elastic", r"elastic(?: licen[sc]e)?(?: version)? 2(?: 0)?|elastic", r"elastic 2 0"), "sspl": ("s", r"server side public|sspl", r"sspl 1 0"), "busl": ("business|busl", r"business source", r"busl 1 1"), "commons-clause": ("commons", r"commons clause", r"commons clause"), "polyform": ("polyform", r"polyform (?:noncommercial|small business|shield)", r"polyform \w+ 1 0 0"),
+    "blueoak": ("blue", r"blue oak model", r"blueoak 1 0 0"), "hippocratic": ("hippocratic", r"hippocratic", r"hippocratic 2 1"), "json": ("json", r"json", r"json"), "beerware": ("beer", r"beer ?ware", r"beerware"), "fair": ("fair", r"fair", r"fair"), "mulan": ("mulan", r"mulan (?:permissive software|psl)(?: v?[12])?", r"mulanpsl [12] 0"), "openrail": ("rail|open|openrail", r"(?:creativeml |bigscience )?(?:open ?rail(?: m)?|rail)", r"openrail(?: m)?"),
     "llama": ("llama", r"llama(?: [23])?(?: community)?", r"llama\w*"), "cc0": ("c", r"cc ?0(?: 1 0)?|creative commons zero", r"cc0 1 0"), "public-domain": ("public", r"public domain", r"public domain"),
     **{f"cc-{'-'.join(p)}": ("cc", rf"cc {' '.join(p)}(?: [1234](?: 0)?)?", rf"cc {' '.join(p)}(?: [1234](?: 0)?)?") for p in (("by",), ("by", "sa"), ("by", "nd"), ("by", "nc"), ("by", "nc", "sa"), ("by", "nc", "nd"))},
 }
@@ -57,6 +56,11 @@ FAMILIES = {
 CREATIVE = {"cc-by": "", "cc-by-sa": " share ?alike", "cc-by-nd": " no ?deriv\\w+", "cc-by-nc": " non ?commercial", "cc-by-nc-sa": " non ?commercial share ?alike", "cc-by-nc-nd": " non ?commercial no ?deriv\\w+"}
 VERBS = r"(?:licen[sc]ed|released|distributed|available|published|provided|covered|made available|redistributed?|offered|governed)"
 WORD = r"licen[sc]es?"
+NOTICE = r"under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:a |an )?"
+#: Families with names that say enough without a notice.
+MENTIONED = ("cc-", "gpl-", "lgpl-", "agpl-", "apache-", "mpl-", "epl-")
+#: What every match of a form of rules has.
+NEEDS = {"identifier": "licen", "notice": " under ", "named": "licen", "mention": " "}
 
 
 def rules() -> list[dict]:
@@ -66,19 +70,26 @@ def rules() -> list[dict]:
         for label, (keyword, name, spdx) in FAMILIES.items():
             regex = {
                 "identifier": rf"(?:spdx licen[sc]e identifier|licen[sc]e identifier|licen[sc]e) (?:{spdx})" if " " in spdx or label in ("mit", "isc", "unlicense") else rf"spdx licen[sc]e identifier (?:{spdx})",
-                "notice": rf"(?:{VERBS} )?under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:a |an )?(?:{name})(?: (?:open source |public |software |international )?{WORD})?(?: version \d+(?: \d+)?)?",
+                "notice": rf"(?:{VERBS} )?{NOTICE}(?:{name})(?: (?:open source |public |software |international )?{WORD})?(?: version \d+(?: \d+)?)?",
                 "named": rf"(?:the )?(?:{name}) (?:open source |public |software |general public |international )?{WORD}",
-                "mention": name if label.startswith(("cc-", "gpl-", "lgpl-", "agpl-", "apache-", "mpl-", "epl-")) else None,
+                "mention": name if label.startswith(MENTIONED) else None,
             }[form]
             if regex:
-                found.append({"label": label, "keyword": f" {keyword}" if len(keyword) > 1 else keyword, "regex": regex, "priority": {"identifier": 1, "notice": 2, "named": 3, "mention": 4}[form], "confidence": {"identifier": 1.0, "notice": 0.95, "named": 0.85, "mention": 0.6}[form]})
+                found.append({"label": label, "need": NEEDS[form], "keywords": [f" {k}" if len(k) > 1 else k for k in keyword.split("|")], "regex": regex, "priority": {"identifier": 1, "notice": 2, "named": 3, "mention": 4}[form], "confidence": {"identifier": 1.0, "notice": 0.95, "named": 0.85, "mention": 0.6}[form]})
     for label, words in CREATIVE.items():
-        found.append({"label": label, "keyword": "creative commons", "regex": rf"creative commons attribution{words}(?: (?:licen[sc]e|international|unported|generic|[1234] 0))*", "priority": 2, "confidence": 0.95})
-    found.append({"label": "proprietary", "keyword": "all rights reserved", "regex": "all rights reserved", "priority": 4, "confidence": 0.4})
-    found.append({"label": "unknown", "keyword": "licen", "regex": rf"{VERBS} under (?:the )?(?:terms of )?(?:the |a |an )?(?:\S+ ){{1,4}}?{WORD}", "priority": 9, "confidence": 0.3})
+        found.append({"label": label, "need": " ", "keywords": ["creative commons"], "regex": rf"creative commons attribution{words}(?: (?:licen[sc]e|international|unported|generic|[1234] 0))*", "priority": 2, "confidence": 0.95})
+    found.append({"label": "proprietary", "need": " ", "keywords": ["all rights reserved"], "regex": "all rights reserved", "priority": 4, "confidence": 0.4})
+    found.append({"label": "unknown", "need": " under ", "keywords": ["licen"], "regex": rf"{VERBS} under (?:the )?(?:terms of )?(?:the |a |an )?(?:\S+ ){{1,4}}?{WORD}", "priority": 9, "confidence": 0.3})
     return [r | {"rank": n, "regex": f"(?<= )(?:{r['regex']})(?= )"} for n, r in enumerate(found)]
 
 
+def may_match(words: Column) -> Column:
+    """Whether any rule or base phrase can match: what is not in the expression needs the stem of license."""
+    names = "|".join(name for _, name, _ in FAMILIES.values())
+    mentioned = "|".join(name for label, (_, name, _) in FAMILIES.items() if label.startswith(MENTIONED))
+    return F.contains(words, F.lit("licen")) | words.rlike(f"(?<= )(?:{NOTICE}(?:{names})|{mentioned}|creative commons attribution|all rights reserved)(?= )")
+
+
 def spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
@@ -94,7 +105,7 @@ def lowered(text: Column) -> Column:
 
 def detections(words: Column) -> Column:
     """array<struct<start, end, priority, rank, label, confidence>> of all rules, before suppression."""
-    table = F.from_json(F.lit(json.dumps(rules())), "array<struct<label:string,keyword:string,regex:string,priority:int,confidence:double,rank:int>>")
+    table = F.from_json(F.lit(json.dumps(rules())), "array<struct<label:string,need:string,keywords:array<string>,regex:string,priority:int,confidence:double,rank:int>>")
     kind = "array<struct<start:int,end:int,priority:int,rank:int,label:string,confidence:double>>"
 
     def of(rule: Column) -> Column:
@@ -110,7 +121,7 @@ def detections(words: Column) -> Column:
 
         return F.aggregate(pairs, start, step, lambda s: s["spans"])
 
-    return F.flatten(F.transform(F.filter(table, lambda r: F.contains(words, r["keyword"])), of))
+    return F.flatten(F.transform(F.filter(table, lambda r: F.contains(words, r["need"]) & F.exists(r["keywords"], lambda k: F.contains(words, k))), of))
 
 
 def surviving(found: Column) -> Column:
@@ -133,11 +144,7 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     end in characters of the canonical words), labels, score."""
     plain = docs.withColumn("_plain", canonical(whole_text(text)))
     plain = plain.withColumn("n_words", F.when(F.col("_plain").isin(" ", "  "), F.lit(0)).otherwise(spaces(F.col("_plain")) - 1).cast("long"))
-    roughly = F.lower("_plain")
-    gate = F.lit(False)
-    for g in GATES:
-        gate |= F.contains(roughly, F.lit(g))
-    gated = plain.withColumn("_words", F.when(gate, lowered(F.col("_plain"))))
+    gated = plain.withColumn("_words", F.when(may_match(F.lower("_plain")), lowered(F.col("_plain"))))
     counts, firsts, lasts, labels = [], [], [], []
     for phrase, label in BASE_PHRASES.items():
         parts = F.split("_words", f"(?<= ){phrase}(?= )", -1)

@@ -177,6 +177,39 @@ def test_op6_priority_and_containment(spark):
     assert got == {1: "apache-2", 2: "gpl-3", 3: "lgpl-3", 4: "cc-by-nc,cc-by-nc-sa", 5: ""}
 
 
+def an_example(tree, which):
+    """A text that the parsed expression matches: alternative number `which` of each choice, nothing that is optional."""
+    out = ""
+    for op, arg in tree:
+        kind = str(op)
+        if kind == "LITERAL":
+            out += chr(arg)
+        elif kind == "IN":
+            out += chr(next(x if str(o) == "LITERAL" else x[0] if str(o) == "RANGE" else ord("a") for o, x in arg))
+        elif kind == "BRANCH":
+            out += an_example(arg[1][which % len(arg[1])], which)
+        elif kind == "SUBPATTERN":
+            out += an_example(arg[-1], which)
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += an_example(arg[2], which) * arg[0]
+    return out
+
+
+def test_op6_every_rule_runs_on_its_own_examples(spark):
+    rules = licenses.rules()
+    rows = [(r["rank"], an_example(re._parser.parse(r["regex"]), n)) for r in rules for n in range(4)]
+    assert all(re.search(rules[n]["regex"], f" {text} ") for n, text in rows)
+    words = licenses.canonical(F.col("text"))
+    df = spark.createDataFrame(rows, "rank int, text string").select("rank", "text", licenses.may_match(words).alias("gate"), F.exists(licenses.detections(words), lambda s: s["rank"] == F.col("rank")).alias("found"))
+    assert [r for r in df.collect() if not (r.gate and r.found)] == []
+
+
+def test_op6_names_without_the_word_license(spark):
+    texts = {"Released under Apache 2.0.": "apache-2", "This code is GPLv3.": "gpl-3", "Distributed under the MIT terms": "mit", "released under CC0": "cc0", "under the ASL 2.0": "apache-2", "under the GFDL": "gfdl", "SPDX-License-Identifier: BSL-1.0": "boost", "held under the sun": "", "an MIT student": ""}
+    df = spark.createDataFrame(list(texts.items()), "text string, want string")
+    assert {r.text: r.labels for r in licenses.scan_licenses(df).collect()} == texts
+
+
 def luhn_ok(d):
     return sum(sum(divmod(int(x) * (1 + n % 2), 10)) for n, x in enumerate(reversed(d))) % 10 == 0
 
