@@ -6,8 +6,10 @@ probability equal to their Jaccard similarity. A run starts with all representat
 coordinates that the bucket's name selects: one coordinate, and a second one a quarter of the time, 1 / 0.8 on
 average. A child holds those that have the same value there. Buckets of at most `small` sets are compared by brute force,
 larger ones split again, until `depth` splits or until a child keeps more than half of its parent (then its sets are
-alike and splitting gains nothing). Runs are repeated until a pair at the threshold meets with `recall`, given the
-chance that one run's splits keep it together. All runs take place at once.
+alike and splitting gains nothing). The first splits of the runs are on coordinates of their own, two of them in every
+fourth run. Runs are repeated until a pair at the threshold meets with `recall` in buckets split as often as the
+table's were at most: those for two splits take place at once, more follow if a bucket was split again. Runs share
+coordinates further down and so aren't independent; hence their number comes from playing them through.
 
 Comparing is exact, on whole sets read anew from the texts. A bucket over `block` sets is cut into blocks and each
 pair of blocks is a task of its own. A pair counts only in the first of the buckets that its two sets share, so links
@@ -24,6 +26,7 @@ texts, each row is treated by its own text. An empty table gives an empty result
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 
@@ -36,6 +39,8 @@ from .base import discard, stored, whole_text, worker_memo
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 COORDINATES, SMALL, BLOCK, DEPTH = 64, 256, 512, 4
+SPLITS = 2  # the first runs suffice for so many
+MOST_RUNS = 48  # their first splits use up the coordinates well before
 SECOND = 0.25  # how often a bucket selects a second coordinate
 MEMO_WORDS = 400_000
 
@@ -103,8 +108,50 @@ def survival(threshold: float, depth: int) -> float:
     return together
 
 
+def first_coordinates(runs: int) -> list[list[int]]:
+    """The coordinates of each run's first split: no two the same among the first COORDINATES, two in every fourth run."""
+    every = iter(range(2 * runs))
+    return [[next(every) % COORDINATES for _ in range(1 if r % round(1 / SECOND) else 2)] for r in range(runs)]
+
+
+def missed(runs: int, threshold: float, depth: int, pairs: int = 300_000, seed: int = 7) -> list[float]:
+    """Share of pairs at the threshold that haven't met after one run, two runs, and so on, all buckets split `depth` times."""
+    rng = np.random.default_rng(seed)
+    agree = rng.random((pairs, COORDINATES), np.float32) < threshold
+
+    def together(which: np.ndarray, left: int) -> np.ndarray:
+        """Of the pairs in one bucket those that some chain of so many splits keeps together."""
+        if not left or not len(which):
+            return which
+        first, step = rng.integers(0, COORDINATES, len(which)), rng.integers(1, COORDINATES, len(which))
+        two = rng.random(len(which)) < SECOND
+        second = (first + step) % COORDINATES
+        return np.union1d(together(which[agree[which, first]], left - 1), together(which[two & agree[which, second]], left - 1))
+
+    apart, shares = np.arange(pairs), []
+    for split in first_coordinates(runs):
+        for i in split:
+            apart = np.setdiff1d(apart, together(apart[agree[apart, i]], depth - 1), assume_unique=True)
+        shares.append(len(apart) / pairs)
+    return shares
+
+
+@functools.cache
 def runs_for(recall: float, threshold: float, depth: int) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, depth))))
+    """The runs after which pairs at the threshold have met with this recall; never fewer than independent runs need."""
+    least = max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, depth))))
+    most = least
+    while (shares := missed(most, threshold, depth))[-1] > 1 - recall:
+        most += max(1, most // 4)
+        if most > MOST_RUNS:
+            raise ValueError(f"{COORDINATES} coordinates don't give a recall of {recall} at {threshold} with {depth} splits")
+    return max(least, 1 + next(n for n, share in enumerate(shares) if share <= 1 - recall))
+
+
+def first_children(done: int, runs: int, at: Column) -> Column:
+    """Array of the buckets that a set goes to by the first splits of the runs after those done."""
+    chosen = [(r, i) for r, split in enumerate(first_coordinates(runs), 1) if r > done for i in split]
+    return F.array(*(F.xxhash64(F.xxhash64(F.lit("root"), F.lit(r)), F.lit(i), F.get(at, F.lit(i))) for r, i in chosen))
 
 
 def children(node: Column, at: Column) -> Column:
@@ -116,10 +163,9 @@ def children(node: Column, at: Column) -> Column:
     return F.transform(chosen, lambda i: F.xxhash64(node, i, F.get(at, i)))
 
 
-def buckets(sets: DataFrame, runs: int, small: int, depth: int) -> DataFrame:
-    """name, leaf, n, stored: the buckets to compare, those with the same members only once."""
-    roots = F.explode(F.transform(F.sequence(F.lit(1), F.lit(runs)), lambda r: F.xxhash64(F.lit("root"), r))).alias("parent")
-    level = sets.select("name", "at", roots).select("name", "parent", F.explode(children(F.col("parent"), F.col("at"))).alias("node"))
+def splits(sets: DataFrame, done: int, runs: int, small: int, depth: int) -> tuple[DataFrame, int]:
+    """name, leaf, n, members of the runs after those done, and how often a bucket was split at most."""
+    level = sets.select("name", F.explode(first_children(done, runs, F.col("at"))).alias("node"))
     level = level.withColumn("of", F.lit(None).cast("long"))
     leaves, member, spent = None, F.xxhash64("name"), []
     for d in range(1, depth + 1):
@@ -137,9 +183,20 @@ def buckets(sets: DataFrame, runs: int, small: int, depth: int) -> DataFrame:
         level = rows.select("name", "of", F.explode(children(F.col("parent"), F.col("at"))).alias("node"))
     leaves = stored(leaves)
     discard(*spent)
+    return leaves, d
+
+
+def buckets(sets: DataFrame, recall: float, threshold: float, small: int, depth: int) -> DataFrame:
+    """name, leaf, n, stored: the buckets to compare, those with the same members only once."""
+    done, reached, parts = 0, min(SPLITS, depth), []
+    while (runs := runs_for(recall, threshold, reached)) > done:
+        part, deepest = splits(sets, done, runs, small, depth)
+        done, reached = runs, max(reached, deepest)
+        parts.append(part)
+    leaves = functools.reduce(DataFrame.unionByName, parts)
     first = leaves.groupBy("members").agg(F.min("leaf").alias("leaf"))
     kept = stored(leaves.join(first, ["members", "leaf"], "left_semi").select("name", "leaf", "n").distinct())
-    discard(leaves)
+    discard(*parts)
     return kept
 
 
@@ -244,7 +301,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     rows = stored(sketches(docs, id_column))
     sets = rows.where("name is not null").groupBy("name").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("at").alias("at"))
     sets = stored(sets)
-    leaves = buckets(sets, runs_for(recall, threshold, min(depth, 3)), small, depth)
+    leaves = buckets(sets, recall, threshold, small, depth)
     found = stored(linked(docs, sets, leaves, threshold, block, id_column))
     links = found.groupBy("name").agg(F.sum("links").alias("links"))
     parts = connect(found.select(F.col("name").alias("a"), F.col("least").alias("b")))

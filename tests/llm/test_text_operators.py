@@ -77,6 +77,27 @@ def test_op1_runs_reach_the_recall():
         assert 1 - (1 - jaccard_join.survival(0.8, depth)) ** jaccard_join.runs_for(0.999, 0.8, depth) >= 0.999
 
 
+def test_op1_meets_planted_pairs_at_full_depth(spark):
+    """Pairs whose coordinates agree with chance 0.8, in buckets that are split DEPTH times because no size is small."""
+    rng = np.random.default_rng(3)
+    pairs, n = 20_000, jaccard_join.COORDINATES
+    left = rng.integers(0, 4, (pairs, n))  # few values: the buckets stay large
+    right = np.where(rng.random((pairs, n)) < 0.8, left, left + 4)
+    rows = [(bytes(f"{side}{i}", "ascii"), at.tolist()) for side, ats in (("a", left), ("b", right)) for i, at in enumerate(ats)]
+    sets = spark.createDataFrame(rows, "name binary, at array<int>").repartition(8)
+    found = jaccard_join.buckets(sets, 0.999, 0.8, 1, jaccard_join.DEPTH).select(F.substring(F.col("name").cast("string"), 2, 9).alias("pair"), "leaf", "name")
+    met = found.groupBy("pair", "leaf").agg(F.count_distinct("name").alias("n")).where("n = 2").select("pair").distinct().count()
+    assert 1 - met / pairs <= 0.001 + 3 * (0.001 / pairs) ** 0.5
+
+
+def test_op1_counts_runs_for_every_split():
+    for depth in (1, 2, 3, 4, 5):
+        runs = jaccard_join.runs_for(0.999, 0.8, depth)
+        assert jaccard_join.missed(runs, 0.8, depth, seed=11)[-1] <= 0.0012
+    firsts = [i for split in jaccard_join.first_coordinates(10) for i in split]
+    assert len(set(firsts)) == len(firsts) == 13
+
+
 def test_op2_agrees_with_the_library(spark, texts):
     from tokenizers import Tokenizer
 
