@@ -79,7 +79,7 @@ KINDS = [
     Kind("card", r"[0-9](?:[ -]?[0-9]){13}", r"[0-9](?:[ -]?[0-9])++", lambda m: luhn(m, 14, 19), 0.8, "card|visa|credit|debit|payment|amex|master"),
     Kind("phone", r"\+[0-9]", r"\+[0-9][ ().0-9-]+[0-9]", lambda m: F.length(digits(m)).between(10, 15), 0.7, "call|phone|tel|mobile|cell|fax"),
     Kind("card13", r"(?<![0-9])[0-9]{13}(?![0-9])", r"(?<![0-9])[0-9]{13}(?![0-9])", lambda m: luhn(m, 13, 13), 0.3, "card|visa|credit|debit|payment"),
-    Kind("iban", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", mod_97, 0.9, "iban|bank|account|konto|transfer"),
+    Kind("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){4}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", mod_97, 0.9, "iban|bank|account|konto|transfer"),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", no_check, 0.6, "ssn|social|security"),
     Kind("mac", r"[0-9A-Fa-f]{2}:[0-9A-Fa-f]{2}:", r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:])", no_check, 0.6, "mac|device|hardware"),
     Kind("access_key", "A[KS]IA[A-Z0-9]", r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])", no_check, 0.9, "key|secret|access"),
@@ -87,7 +87,7 @@ KINDS = [
     Kind("jwt", "eyJ[A-Za-z0-9_-]", r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", no_check, 0.9, "token|bearer|auth"),
     Kind("private_key", "-----BEGIN", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----", no_check, 1.0, "key"),
     Kind("password", r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']? ?[=:]", r"(?i)(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']? ?[=:] ?[\"']?[^\s\"',;]{6,}+", no_check, 0.8, "login|user|admin|account"),
-    Kind("passport", r"(?i)passport", r"(?<![A-Za-z0-9])[A-Z]{1,2}[0-9]{6,8}(?![A-Za-z0-9])", no_check, 0.3, "passport|travel document"),
+    Kind("passport", r"(?i)passport|travel document", r"(?<![A-Za-z0-9])[A-Z]{1,2}[0-9]{6,8}(?![A-Za-z0-9])", no_check, 0.3, "passport|travel document"),
 ]
 
 
@@ -130,7 +130,7 @@ def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
 def personal_data(text: Column) -> Column:
     order = F.array(*(F.lit(k.name) for k in KINDS))
     every = F.flatten(F.array(*(spans_of(text, k) for k in KINDS)))
-    suspect = text.rlike("[0-9]|@|-----BEGIN|(?i:password|passwd|pwd|secret|token|api[_-]?key)|eyJ")
+    suspect = text.rlike("|".join(f"(?:{k.gate})" for k in KINDS))
     found = F.when(suspect, every).otherwise(F.expr(f"cast(array() as {SPAN})"))
     keyed = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("n"), s["end"].alias("end"), s["kind"].alias("kind"), s["score"].alias("score"))))
     return F.transform(keyed, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["score"].alias("score")))
