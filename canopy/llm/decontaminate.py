@@ -7,8 +7,9 @@ passage of that window. Nothing but a distance within the budget counts as a hit
 
 Texts and items are compared in lower case with runs of white space as one space; places are code points of that form.
 
-Results for special cases: null or empty texts have no hits; items with fewer than `min_words` words name nothing in
-particular and have no hits; equal items are all reported; repeated rows of a document give repeated results; of
+Results for special cases: null or empty texts have no hits; items with fewer than `min_words` words and fewer
+than `MIN_CHARS` characters are matched exactly, with a budget of 0, and only where no word goes on at either end (scripts
+without spaces have no such ends); items without words have no hits; equal items are all reported; repeated rows of a document give repeated results; of
 several passages for one item the one with the least distance is reported, the first of those. An empty table on
 either side gives an empty result. Other columns are ignored (`matches`) or carried (`without_matches`).
 """
@@ -16,6 +17,8 @@ either side gives an empty result. Other columns are ignored (`matches`) or carr
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .base import by_rows, whole_text, worker_memo
 
-RATE, MIN_WORDS = 0.07, 5
+RATE, MIN_WORDS, MIN_CHARS = 0.07, 5, 20
+#: Characters of scripts that set no spaces between words: Thai, Lao, Burmese, Khmer, Chinese and Japanese.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 #: Benchmark characters that one pass holds in memory; a larger benchmark takes several passes over the texts.
 PASS_CHARS = 1_000_000
 
@@ -63,15 +68,20 @@ def myers(pattern: str, text: str, anchored: bool = False) -> tuple[int, int]:
     return best, end
 
 
+def goes_on(text: str, at: int) -> bool:
+    """Whether a word that needs spaces around it goes on across this place."""
+    return 0 < at < len(text) and all((c.isalnum() or c == "_" or unicodedata.category(c)[0] == "M") and not UNSPACED.match(c) for c in text[at - 1 : at + 1])
+
+
 class Pieces:
     """The pieces of a block of items, ready for searching."""
 
     def __init__(self, items: list[tuple], rate: float):
         import ahocorasick
 
-        self.items = [(key, text, math.floor(rate * len(text))) for key, text in items]
+        self.items = [(key, text, math.floor(rate * len(text)) if long else 0, long) for key, text, long in items]
         where: dict[str, list[tuple[int, int]]] = {}
-        for n, (_, text, k) in enumerate(self.items):
+        for n, (_, text, k, _) in enumerate(self.items):
             cuts = [len(text) * p // (k + 1) for p in range(k + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 where.setdefault(text[a:b], []).append((n, a))
@@ -91,7 +101,12 @@ class Pieces:
                 starts.setdefault(n, set()).add(last + 1 - size - offset)
         found = []
         for n, at in starts.items():
-            key, item, k = self.items[n]
+            key, item, k, long = self.items[n]
+            if not long:
+                whole = [s for s in at if not goes_on(text, s) and not goes_on(text, s + len(item))]
+                if whole:
+                    found.append((key, 0, 0, min(whole), min(whole) + len(item)))
+                continue
             best = None
             for low, high in joined_ranges(sorted(at), k, len(item)):
                 left = max(0, low - k)
@@ -124,7 +139,7 @@ def passes(benchmark: DataFrame, rate: float, min_words: int, pass_chars: int) -
     blocks = max(1, math.ceil(chars / pass_chars))
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        found = sorted({(r.item_id, plain(r.text)) for r in rows if len(r.text.split()) >= min_words}, key=str)
+        found = sorted({(r.item_id, text, len(text.split()) >= min_words or len(text) >= MIN_CHARS) for r in rows if (text := plain(r.text))}, key=str)
         yield spark.sparkContext.broadcast((f"{block}/{blocks}", rate, found))
 
 

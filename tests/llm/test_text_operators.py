@@ -173,6 +173,16 @@ def test_op5_finds_all_within_the_budget_and_nothing_else(spark):
     assert {r.doc_id for r in decontaminate.without_matches(df, bench).collect()} == {3, 4, 5, 6}
 
 
+def test_op5_finds_items_of_few_words(spark):
+    chinese, formula = "".join(chr(0x4E00 + 37 * i) for i in range(300)), "f(x)=a*x**3+b*x**2+c*x+d;g(y)=f(y)/y"
+    items = [(1, chinese), (2, formula), (3, "Who was  Plato?"), (4, "art"), (5, "東京都"), (6, " \n")]
+    docs = [(1, f"前{chinese[:150]}错{chinese[151:]}后"), (2, f"so {formula.replace('+d', '-d')} holds"), (3, "asked: who was plato? No"), (4, "party artist"), (5, "fine art."), (6, "昔の東京都です"), (7, "who was platon?")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.distance, r.budget) for r in decontaminate.matches(df, bench).collect()}
+    assert got == {(1, 1): (1, 21), (2, 2): (1, 2), (3, 3): (0, 0), (5, 4): (0, 0), (6, 5): (0, 0)}
+    assert {r.doc_id for r in decontaminate.without_matches(df, bench).collect()} == {4, 7}
+
+
 def test_op5_on_the_tables(spark, texts):
     items = {r["item_id"]: decontaminate.plain(r["text"]) for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()}
     exact = {(i, k) for i, t in texts.items() for k, item in items.items() if item in decontaminate.plain(t)}
