@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import sys
 import tempfile
 import types
@@ -19,30 +21,77 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where the setting is absent (tests)."""
+_scope: contextvars.ContextVar[str | None] = contextvars.ContextVar("canopy_scope", default=None)
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder spark.checkpoint.dir names, which all executors share.
+
+    Where it is unset, a temporary one in local mode (tests); on a cluster that is an error, as executors would each
+    write to a disk of their own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="canopy-scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What stored() writes inside the block is deleted at its end; store outside of it what is to stay."""
+    path = f"{_scope.get() or shared_root(spark)}/{uuid.uuid4().hex}"
+    before = _scope.set(path)
+    try:
+        yield
+    finally:
+        _scope.reset(before)
+        delete(spark, path)
+
+
+class Stored:
+    """Names of tables in the shared folder, by the frame that stored() returned for each."""
+
+    paths: dict[int, tuple[DataFrame, str]] = {}
+
 
+def stored(df: DataFrame, lasting: bool = False) -> DataFrame:
+    """The rows of df, written once as Parquet in the shared folder: later reads survive lost executors.
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows of df, written once as Parquet in the shared folder: later reads survive lost executors."""
+    lasting: outside of the scratch() block that this is called in.
+    """
     spark = df.sparkSession
-    path = scratch_dir(spark)
+    path = f"{(None if lasting else _scope.get()) or shared_root(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    Stored.paths[id(found)] = found, path
+    return found
 
 
 def discard(*frames: DataFrame) -> None:
     """Deletes what stored() wrote for these frames, once nothing that is still to run reads them."""
     for df in frames:
-        spark = df.sparkSession
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _, path = Stored.paths.pop(id(df), (None, None))
+        if path:
+            delete(df.sparkSession, path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever the case of its letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def whole_text(column: str = "text") -> Column:

@@ -96,4 +96,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL that DuckDB runs on the same tables; what is left out is tested against brute force."""
-    return {}
+    return {"op4_quality_rules": quality_rules.sql()}
