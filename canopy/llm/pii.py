@@ -2,14 +2,17 @@ r"""Personal data (7), in DataFrame functions alone.
 
 Regular expressions propose spans, kind by kind, leftmost and not overlapping within a kind; validators confirm them:
 the Luhn sum for card numbers, the mod-97 sum for IBANs, ranges for address parts, digit counts for phones. Each span
-has a prior by kind that nearby context words raise; kinds that need context count from a score of 0.5.
+has a prior by kind that nearby context words raise; kinds that need context count from a score of 0.5. Nearby is the
+text on both sides, up to 40 characters and no further than the next proposal of the kind. A private key counts to the
+end of its END line; one without such a line to the end of the lines of key signs.
 
 A text goes through a kind's expression only if a cheap test finds the signs that the kind needs. Repetitions are
 possessive where nothing after them could take a character back, so long runs neither recurse nor rescan.
 
 Starts and ends are code points, the end exclusive. Results for special cases: null or empty text has no spans; a
 proposal that fails its validator is dropped and not tried again in part; spans of different kinds may overlap, and
-masking covers their union. Repeated rows give repeated results. Other columns are carried unchanged.
+masking covers their union. Repeated rows give repeated results. Other columns are ignored (`find_personal_data`) or
+carried unchanged, whatever their names (`mask_personal_data`).
 """
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import whole_text
+from .base import fresh, whole_text
+from .spans import bind, chunked, cut, positions, scan
 
 SPAN = "array<struct<start:int,end:int,kind:string,score:double>>"
 #: Characters on both sides in which context words are looked for.
@@ -72,6 +76,7 @@ def no_check(found: Column) -> Column:
 
 
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+KEY_NAME = "(?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?"
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = [
     Kind("email", "@", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", no_check, 0.9, "mail|contact|write|address"),
@@ -83,37 +88,21 @@ KINDS = [
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", no_check, 0.6, "ssn|social|security"),
     Kind("mac", r"[0-9A-Fa-f]{2}:[0-9A-Fa-f]{2}:", r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:])", no_check, 0.6, "mac|device|hardware"),
     Kind("access_key", "A[KS]IA[A-Z0-9]", r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])", no_check, 0.9, "key|secret|access"),
-    Kind("token", "(?:gh[pousr]|sk|pk|rk|xox[abprs])[_-]", r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{20,255}|(?:sk|pk|rk)[_-](?:live|test)[_-][A-Za-z0-9]{10,99}|sk-[A-Za-z0-9]{20,99}|xox[abprs]-[A-Za-z0-9-]{10,99})(?![A-Za-z0-9])", no_check, 0.9, "token|secret|key"),
+    Kind("token", "(?:gh[pousr]|sk|pk|rk|xox[abprs])[_-]", r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{20,}+|(?:sk|pk|rk)[_-](?:live|test)[_-][A-Za-z0-9]{10,}+|sk-[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+)(?![A-Za-z0-9])", no_check, 0.9, "token|secret|key"),
     Kind("jwt", "eyJ[A-Za-z0-9_-]", r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", no_check, 0.9, "token|bearer|auth"),
-    Kind("private_key", "-----BEGIN", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----", no_check, 1.0, "key"),
+    Kind("private_key", "-----BEGIN", rf"-----BEGIN {KEY_NAME}-----(?:(?:[^-]|-(?!----))*+-----END {KEY_NAME}-----|(?:\s*+[A-Za-z0-9+/=]{{16,}}+)*+)", no_check, 1.0, "key"),
     Kind("password", r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']? ?[=:]", r"(?i)(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']? ?[=:] ?[\"']?[^\s\"',;]{6,}+", no_check, 0.8, "login|user|admin|account"),
     Kind("passport", r"(?i)passport|travel document", r"(?<![A-Za-z0-9])[A-Z]{1,2}[0-9]{6,8}(?![A-Za-z0-9])", no_check, 0.3, "passport|travel document"),
 ]
 
 
-def positions(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, found>> of the pattern's matches from left to right."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,found:string>>)").alias("spans"))
-
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + pair["before"]
-        end = start + F.length(pair["found"])
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["found"].alias("found")))).alias("spans"))
-
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, f: F.struct(b.alias("before"), f.alias("found")))
-    return F.aggregate(pairs, empty, step, lambda s: s["spans"])
-
-
 def spans_of(text: Column, kind: Kind) -> Column:
     def scored(span: Column) -> Column:
-        left = F.greatest(span["start"] - NEAR, F.lit(0))
-        near = F.concat_ws(" ", F.substring(text, left + 1, span["start"] - left), F.substring(text, span["end"] + 1, F.lit(NEAR)))
+        near = F.concat_ws(" ", span["before"], span["after"])
         score = F.when(near.rlike(f"(?i)(?<![A-Za-z])(?:{kind.context})"), F.lit(min(1.0, kind.prior + 0.3))).otherwise(F.lit(kind.prior))
         return F.struct(span["start"].alias("start"), span["end"].alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"))
 
-    found = positions(text, kind.pattern)
+    found = positions(text, kind.pattern, NEAR)
     confirmed = found if kind.valid is no_check else F.filter(found, lambda s: kind.valid(s["found"]))
     spans = F.transform(confirmed, scored)
     if kind.name not in BASE_KINDS:
@@ -122,9 +111,9 @@ def spans_of(text: Column, kind: Kind) -> Column:
     return F.when(gate, spans).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
 
-def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns and `pii`, an array of (start, end, kind, score) by start, then kind as listed in KINDS."""
-    return docs.withColumn("pii", personal_data(whole_text(text)))
+def find_personal_data(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """id and `pii`, an array of (start, end, kind, score) by start, then kind as listed in KINDS."""
+    return docs.select(F.col(id_column), personal_data(whole_text(text)).alias("pii"))
 
 
 def personal_data(text: Column) -> Column:
@@ -142,17 +131,22 @@ def listed(spans: Column) -> Column:
 
 def masked(text: Column, spans: Column) -> Column:
     """The text with the union of the spans replaced, each stretch by the kind of its first span in brackets."""
-    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = F.concat(state["done"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], fresh).otherwise(state["done"]).alias("done"))
+    def joined(parts: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            done = F.when(i > 0, F.get(parts["reach"], i - 1)).otherwise(F.lit(0))
+            return F.when(s["start"] >= done, F.concat(cut(parts["chunks"], done, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit(""))
+
+        last = F.coalesce(F.get(parts["reach"], F.size(parts["reach"]) - 1), F.lit(0))
+        return F.concat(F.array_join(F.transform(parts["spans"], piece), ""), F.substring(text, last + 1, F.length(text)))
 
-    return F.aggregate(spans, empty, step, lambda s: F.concat(s["done"], F.substring(text, s["at"] + 1, F.length(text))))
+    reach = scan(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    return bind(F.struct(spans.alias("spans"), reach.alias("reach"), chunked(text).alias("chunks")), joined)
 
 
 def mask_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     """The same rows and columns with every span masked in the text; null texts stay null."""
-    found = docs.withColumn("_pii", personal_data(whole_text(text)))
-    new = F.when(F.col(text).isNotNull() & (F.size("_pii") > 0), masked(F.col(text), F.col("_pii"))).otherwise(F.col(text))
+    (spans,) = fresh(docs, "spans")
+    found = docs.withColumn(spans, personal_data(whole_text(text)))
+    new = F.when(F.col(text).isNotNull() & (F.size(spans) > 0), masked(F.col(text), F.col(spans))).otherwise(F.col(text))
     return found.withColumn(text, new).select(*docs.columns)
