@@ -1,12 +1,18 @@
 r"""HTML extraction (8): text-to-tag ratios over streamed parser events.
 
 The standard library's parser sends events; block-level tags end a line, and each line remembers its text, the number
-of tags in it, the share of its text inside links, and the elements it stands in. Lines inside elements that never
-hold main text (menus, headers and footers of the page, asides, forms, scripts, styles, and elements whose class, id or
-role names a menu, advert, notice, comment list and the like) are marked. For the others the text-to-tag ratios are
-smoothed by a Gaussian and clustered by a threshold (their standard deviation, at most their mean). The innermost
-article or main element, else container, that holds nearly all the text of the clustered lines is the content region:
-all its unmarked lines are the main text, short ones as well. Where that region is the whole body, link lists outside the cluster are dropped.
+of tags in it, the share of its text inside links, and its element. Elements that never hold main text (menus, headers
+and footers of the page, asides, forms, scripts, styles, hidden ones) are left out. The text-to-tag ratios of the other
+lines are smoothed by a Gaussian and clustered by a threshold (their standard deviation, at most their mean): the lines
+over it are the content cluster.
+
+The cluster decides twice. An element whose class or id names a menu, advert, notice, comment list and the like goes,
+unless it holds at least half of the cluster's text, and the article or main element if there is one: then it is the
+frame of the content. And the innermost article or main element, else container, that holds nearly all of the cluster's text is the content region. In an article or main
+element all lines stay, short ones as well; elsewhere those from the first to the last line of the cluster, without
+lists of links that aren't in the cluster.
+
+Elements are numbers with a parent each, so that work and memory are linear in the page, however deep it is nested.
 
 Results for special cases: null or empty html, and pages without text, give an empty text. Repeated rows give repeated
 results. Other columns are ignored.
@@ -29,10 +35,20 @@ from .base import by_rows
 BLOCKS = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = set("head title script style noscript template iframe object svg canvas nav footer aside form button select textarea input dialog menu audio video".split())
-NAMED = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|foot|sidebar|side|widget\w*|comments?|commentlist|disqus|replies|respond|"
-    r"cookies?|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|skip\w*|copyright|legal|search\w*)(?=$|[-_ ])"
+#: Whole names (of class or id) that tell of something else than main text, with what may stand before and after.
+BEFORE = "site page global main top bottom left right primary secondary post article js block"
+NAMES = (
+    r"ads?|advert\w*|adsense|adbox|sponsor(?:ed|s|ship)?|promo(?:tion)?s?|banners?|nav|navbar|navigation|menus?|breadcrumbs?|masthead|footer|sidebar|aside|widgets?|comments?|commentlist|disqus|replies|respond|"
+    r"cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend(?:ed|ations?)|pagination|pager|toolbar|copyright|search"
 )
+AFTER = "area list bar box wrapper wrap container section block left right top bottom inner content links? buttons? form notice banner consent popup thread posts articles items? menu nav slot unit code \\d+"
+
+
+def whole_name(names: str) -> re.Pattern:
+    return re.compile(rf"(?:(?:{'|'.join(BEFORE.split())})[-_])*(?:{names})(?:[-_]?(?:{'|'.join(AFTER.split())}))*")
+
+
+NAMED, HEADER = whole_name(NAMES), whole_name("header|head")
 ROLES = set("navigation banner contentinfo complementary search alert dialog form menu menubar toolbar".split())
 #: Elements that can be the content region: an article or main element first, else the innermost of the others.
 REGIONS = set("article main html body div section td center".split())
@@ -42,67 +58,79 @@ PARAGRAPH_ENDS = set("address article aside blockquote details div dl fieldset f
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, link characters, path of element numbers, marked) for each line."""
+    """Collects (text, tags, link characters, element) for each line, and each element's parent and kind."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []
-        self.made = 0
-        self.lines: list[tuple[str, int, int, tuple[tuple[int, str], ...], bool]] = []
+        #: Of each element: parent, tag, whether it is left out (or stands in one that is), whether its name is suspect.
+        self.parent, self.tag, self.out, self.suspect = [0], [""], [False], [False]
+        self.stack = [0]
+        self.blocks: list[int] = []  # depths of the open block-level elements
+        self.open: Counter = Counter()
+        self.lines: list[tuple[str, int, int, int]] = []
         self.parts: list[str] = []
-        self.tags = self.linked = self.links_open = 0
+        self.tags = self.linked = 0
 
     def end_line(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, tuple((n, t) for t, n, _ in self.stack), bool(self.stack) and self.stack[-1][2]))
+            self.lines.append((text, self.tags, self.linked, self.stack[-1]))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def pop_to(self, depth: int):
-        for tag, _, _ in self.stack[depth:]:
-            self.links_open -= tag == "a"
+        for element in self.stack[depth:]:
+            self.open[self.tag[element]] -= 1
         del self.stack[depth:]
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
 
     def close(self):
         super().close()
         self.end_line()
 
-    def marked(self, tag: str, attrs) -> bool:
-        if self.stack and self.stack[-1][2]:
-            return True
-        if tag in NEVER:
-            return True
+    def kind(self, tag: str, attrs) -> tuple[bool, bool]:
+        """Whether the element is left out, and whether its name is suspect."""
+        if self.out[self.stack[-1]] or tag in NEVER:
+            return True, False
+        inside = self.open["article"] > 0 or self.open["main"] > 0
         if tag == "header":  # an article's own header holds its title
-            return not any(t in ("article", "main") for t, _, _ in self.stack)
+            return not inside, False
         if tag in ("html", "body", "article", "main"):
-            return False
+            return False, False
         known = {k: (v or "").lower() for k, v in attrs}
         if known.get("role") in ROLES or "hidden" in known or known.get("aria-hidden") == "true" or "display:none" in known.get("style", "").replace(" ", ""):
-            return True
-        return bool(NAMED.search(known.get("class", "")) or NAMED.search(known.get("id", "")))
+            return True, False
+        names = [*known.get("class", "").split(), *known.get("id", "").split()]
+        return False, any(NAMED.fullmatch(n) or (not inside and HEADER.fullmatch(n)) for n in names)
 
     def handle_starttag(self, tag, attrs):
         block = tag in BLOCKS
         if block:
             self.end_line()
         if tag in PARAGRAPH_ENDS:
-            self.close_tag("p", {"p"})
+            self.close_tag({"p"})
         if tag in CLOSES:
-            self.close_tag(tag, CLOSES[tag])
+            self.close_tag(CLOSES[tag])
         self.tags += not block
         if tag in VOID:
             return
-        self.made += 1
-        self.links_open += tag == "a"
-        self.stack.append((tag, self.made, self.marked(tag, attrs)))
+        out, suspect = self.kind(tag, attrs)
+        self.parent.append(self.stack[-1])
+        self.tag.append(tag)
+        self.out.append(out)
+        self.suspect.append(suspect)
+        self.open[tag] += 1
+        if block:
+            self.blocks.append(len(self.stack))
+        self.stack.append(len(self.tag) - 1)
 
-    def close_tag(self, tag: str, kinds: set[str]):
+    def close_tag(self, kinds: set[str]):
         """Closes an open element of these kinds, unless a container stands between."""
-        for depth in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[depth][0]
+        for depth in reversed(self.blocks):
+            name = self.tag[self.stack[depth]]
             if name in kinds:
                 return self.pop_to(depth)
-            if name in BLOCKS and name not in ("p",):
+            if name != "p":
                 return None
         return None
 
@@ -114,14 +142,15 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self.end_line()
-        for depth in range(len(self.stack) - 1, -1, -1):
-            if self.stack[depth][0] == tag:
-                self.pop_to(depth)
-                break
+        if self.open[tag] > 0:
+            depth = len(self.stack) - 1
+            while self.tag[self.stack[depth]] != tag:
+                depth -= 1
+            self.pop_to(depth)
 
     def handle_data(self, data):
         self.parts.append(data)
-        if self.links_open > 0:
+        if self.open["a"] > 0:
             self.linked += len(data.strip())
 
 
@@ -132,27 +161,53 @@ def smooth(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(np.pad(values, reach, mode="edge"), kernel, mode="valid")
 
 
+def cluster(lines: list[tuple[str, int, int, int]]) -> np.ndarray:
+    """Whether each line is over the threshold of the smoothed text-to-tag ratios."""
+    smoothed = smooth(np.array([len(text) / max(1, tags) for text, tags, *_ in lines], float))
+    return smoothed >= min(smoothed.std(), smoothed.mean())
+
+
 def main_text(html: str, hold: float = 0.9) -> str:
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    lines = [x for x in parser.lines if not x[4]]
+    page = Lines()
+    page.feed(html)
+    page.close()
+    size = len(page.tag)
+
+    def held_by(lines: list[tuple[str, int, int, int]], chosen: np.ndarray) -> list[int]:
+        """Characters of chosen lines in each element."""
+        held = [0] * size
+        for (text, _, _, element), c in zip(lines, chosen, strict=True):
+            held[element] += len(text) * bool(c)
+        for element in range(size - 1, 0, -1):
+            held[page.parent[element]] += held[element]
+        return held
+
+    lines = [x for x in page.lines if not page.out[x[3]]]
     if not lines:
         return ""
-    ratios = np.array([len(text) / max(1, tags) for text, tags, *_ in lines])
-    smoothed = smooth(ratios)
-    chosen = smoothed >= min(smoothed.std(), smoothed.mean())
-    held: Counter = Counter()
-    for (text, _, _, path, _), c in zip(lines, chosen, strict=True):
-        if c:
-            for depth, element in enumerate(path):
-                held[depth, element] += len(text)
-    total = sum(len(x[0]) for x, c in zip(lines, chosen, strict=True) if c)
-    whole = [at for at, n in held.items() if n >= hold * total and at[1][1] in REGIONS]
-    region = max([at for at in whole if at[1][1] in ("article", "main")] or whole, default=None)
-    inside = [region is None or (len(x[3]) > region[0] and x[3][region[0]] == region[1]) for x in lines]
-    open_region = region is None or region[1][1] in ("html", "body")
-    return "\n".join(x[0] for x, c, i in zip(lines, chosen, inside, strict=True) if i and not (open_region and not c and 2 * x[2] > len(x[0])))
+    if any(page.suspect):
+        held, named, gone = held_by(lines, cluster(lines)), [page.tag[e] in ("article", "main") and not page.out[e] for e in range(size)], [False] * size
+        for element in range(size - 1, 0, -1):
+            named[page.parent[element]] |= named[element]
+        for element in range(1, size):
+            frame = 2 * held[element] >= held[0] and (named[element] or not named[0])
+            gone[element] = gone[page.parent[element]] or (page.suspect[element] and not frame)
+        lines = [x for x in lines if not gone[x[3]]]
+        if not lines:
+            return ""
+    chosen = cluster(lines)
+    held = held_by(lines, chosen)
+    whole = [e for e in range(1, size) if held[e] >= hold * held[0] and page.tag[e] in REGIONS]
+    region = max([e for e in whole if page.tag[e] in ("article", "main")] or whole, default=0)
+    within = [False] * size
+    within[region] = True
+    for element in range(region + 1, size):
+        within[element] = within[page.parent[element]]
+    inside = [n for n, x in enumerate(lines) if within[x[3]]]
+    if page.tag[region] not in ("article", "main"):
+        dense = [n for n in inside if chosen[n]]
+        inside = [n for n in inside if dense and dense[0] <= n <= dense[-1] and (chosen[n] or 2 * lines[n][2] <= len(lines[n][0]))]
+    return "\n".join(lines[n][0] for n in inside)
 
 
 def extract(pages: DataFrame, id_column: str = "page_id") -> DataFrame:
