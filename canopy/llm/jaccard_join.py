@@ -26,6 +26,7 @@ texts, each row is treated by its own text. An empty table gives an empty result
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
 import math
@@ -35,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import discard, stored, whole_text, worker_memo
+from .base import discard, fresh, stored, whole_text, worker_memo
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 COORDINATES, SMALL, BLOCK, DEPTH = 64, 256, 512, 4
@@ -53,20 +54,26 @@ def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
     tokens = text.encode().split()
     if not tokens:
         return np.empty(0, np.uint64)
-    hashes = list(map(memo.get, tokens))
-    if None in hashes:
+    try:
+        hashes = array.array("Q", map(memo.__getitem__, tokens))
+    except KeyError:
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        for i, (token, h) in enumerate(zip(tokens, hashes, strict=True)):
-            if h is None:
-                hashes[i] = memo[token] = xxhash.xxh64_intdigest(token)
-    each = np.array(hashes, np.uint64)
+        for token in set(tokens).difference(memo):
+            memo[token] = xxhash.xxh64_intdigest(token)
+        hashes = array.array("Q", map(memo.__getitem__, tokens))
+    each = np.frombuffer(hashes, np.uint64)
     count = max(1, len(each) - words + 1)
     mixed = np.zeros(count, np.uint64)
     for k in range(min(words, len(each))):
-        mixed = (mixed ^ each[k : k + count]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= each[k : k + count]
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed * np.uint64(0xBF58476D1CE4E5B9))
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    mixed.sort()
+    first = np.ones(count, bool)
+    np.not_equal(mixed[1:], mixed[:-1], out=first[1:])
+    return mixed[first]
 
 
 def min_hashes(values: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
@@ -75,9 +82,11 @@ def min_hashes(values: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray
     a = rng.integers(1, 2**63, coordinates, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 2**63, coordinates, dtype=np.uint64)
     out = np.full(coordinates, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(values), 4096):
-        part = values[start : start + 4096, None] * a + b
-        out = np.minimum(out, (part ^ (part >> np.uint64(32))).min(0))
+    for start in range(0, len(values), 512):
+        part = a[:, None] * values[None, start : start + 512]
+        part += b[:, None]
+        part ^= part >> np.uint64(32)
+        np.minimum(out, part.min(1), out=out)
     return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
@@ -269,6 +278,18 @@ def linked(docs: DataFrame, sets: DataFrame, leaves: DataFrame, threshold: float
     return rows.groupBy("leaf", "i", "j").applyInPandas(lambda g: compare(g, threshold), kinds)
 
 
+def with_least(rows: DataFrame, least: DataFrame, key: str) -> DataFrame:
+    """rows joined with a stored table of one row a key, in which n is the number of its rows.
+
+    A key with more than its share of the rows, of which there are at most as many as shuffle partitions, is broadcast.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.col("n") * parts > every
+    few = F.broadcast(least.where(hot).drop("n"))
+    return rows.join(few, key).unionByName(rows.join(F.broadcast(least.where(hot).select(key)), key, "left_anti").join(least.where(~hot).drop("n"), key))
+
+
 def connect(edges: DataFrame) -> DataFrame:
     """a, b of connected components: b is the smallest node of a's component. Alternates large and small stars."""
 
@@ -277,20 +298,23 @@ def connect(edges: DataFrame) -> DataFrame:
             near = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         else:
             near = pairs
-        least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        joined = near.join(least, "a")
+        least = stored(near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")))
+        joined = with_least(near, least, "a")
         far = joined.where(F.col("b") > F.col("a")) if large else joined.where(F.col("b") != F.col("m"))
         moved = far.select(F.col("b").alias("a"), F.col("m").alias("b"))
         if not large:
             moved = moved.unionByName(least.select("a", F.col("m").alias("b")))
-        return moved.where(F.col("a") != F.col("b")).distinct()
+        out = stored(moved.where(F.col("a") != F.col("b")).distinct())
+        discard(least)
+        return out
 
     order = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
     now, known = stored(order), None
     while True:
-        later = stored(star(star(now, True), False))
+        wide = star(now, True)
+        later = star(wide, False)
+        discard(now, wide)
         state = later.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        discard(now)
         if state == known:
             return later
         now, known = later, state
@@ -298,25 +322,26 @@ def connect(edges: DataFrame) -> DataFrame:
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, small: int = SMALL, block: int = BLOCK, depth: int = DEPTH, id_column: str = "doc_id") -> DataFrame:
     """id, class_id (the smallest id of its class), n_links (other rows with similarity of at least the threshold)."""
-    rows = stored(sketches(docs, id_column))
+    rows = stored(sketches(docs, id_column))  # read by the result, so it stays
     sets = rows.where("name is not null").groupBy("name").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("at").alias("at"))
     sets = stored(sets)
     leaves = buckets(sets, recall, threshold, small, depth)
     found = stored(linked(docs, sets, leaves, threshold, block, id_column))
     links = found.groupBy("name").agg(F.sum("links").alias("links"))
-    parts = connect(found.select(F.col("name").alias("a"), F.col("least").alias("b")))
-    parts = parts.unionByName(parts.select(F.col("b").alias("a"), "b").distinct())
+    whole = connect(found.select(F.col("name").alias("a"), F.col("least").alias("b")))
+    parts = whole.unionByName(whole.select(F.col("b").alias("a"), "b").distinct())
     ids = stored(parts.join(sets.select(F.col("name").alias("a"), "first_id"), "a"))
-    least = ids.groupBy("b").agg(F.min("first_id").alias("class_id"))
-    of_set = links.join(ids.join(least, "b").select(F.col("a").alias("name"), "class_id"), "name")
+    least = stored(ids.groupBy("b").agg(F.min("first_id").alias("class_id"), F.count("*").alias("n")))
+    of_set = links.join(with_least(ids, least, "b").select(F.col("a").alias("name"), "class_id"), "name")
     of_set = stored(sets.select("name", "first_id", "copies").join(of_set, "name", "left").select("name", F.coalesce("class_id", "first_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    discard(sets, leaves, found, parts, ids)
+    discard(sets, leaves, found, whole, ids, least)
     out = rows.select("id", "name").join(of_set, "name", "left")
     return out.select(F.col("id").alias(id_column), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     """One row of each class (the first as the table is stored), all columns as they were."""
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
-    classes = jaccard_join(numbered.select("_row", "text"), id_column="_row", **settings)
-    return numbered.join(classes.where("_row = class_id").select("_row"), "_row", "left_semi").select(*docs.columns)
+    (row,) = fresh(docs, "row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    classes = jaccard_join(numbered.select(row, "text"), id_column=row, **settings)
+    return numbered.join(classes.where(F.col(row) == F.col("class_id")).select(row), row, "left_semi").select(*docs.columns)
