@@ -1,15 +1,17 @@
 r"""LM scoring (10): prediction by partial matching over bytes.
 
-Training counts every byte with the two before it (a text starts after two line feeds), over all training texts. Those
-counts are a trie of depth three: contexts of two, one and no bytes. A symbol's code length follows method C: in a
-context with total T and q distinct symbols a seen symbol has n / (T + q) and the escape q / (T + q); after an escape the
-symbols of the longer context are excluded from the counts of the shorter one, and the last resort is uniform over what
-is left. The model is static, so each context's 256 code lengths are worked out once (by Spark, a group a context) and
-a text's score is a sum of look-ups. There are at most 65,536 contexts of 256 numbers: that bound, 64 MB, holds for any
-corpus, and it is why the depth is three.
+Training counts every byte with the four before it (a text starts after four line feeds), over all training texts.
+Those counts are a byte-context trie: contexts of four bytes, and after an escape of two, one and none. A symbol's code
+length follows method C: in a context with total T and q distinct symbols a seen symbol has n / (T + q) and the escape
+q / (T + q); after an escape the symbols of the longer context are excluded from the counts of the shorter one, and the
+last resort is uniform over what is left.
 
-Beside it stands a unigram base score over white-space words. Words with at least a millionth of all tokens (so at most
-a million) are scored from a broadcast table; all others by a join on the word, whose keys are then never hot.
+The trie grows with the corpus, so it is never in one place: the counts of four-byte contexts are a table. Texts are
+dealt into batches of about `BATCH_BYTES`; each batch asks for the distinct grams and words that it has, the answers
+come from joins with the tables of counts, and a second look at the batch (the same shuffle) adds them up. Only the
+contexts of two bytes and less, at most 65,536 rows of 256 numbers or 64 MB for any corpus, are broadcast.
+
+Beside it stands a unigram base score over white-space words, by the same joins.
 
 Results for special cases: null or empty text has the end token alone and a score of 0.0 (no byte to code); with no
 training text all bytes have 1/256 and the base is log10(0.5 / 0.5) for each token. Repeated rows are scored alike and
@@ -18,6 +20,8 @@ count each time in training. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,71 +29,90 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .base import by_rows, stored, whole_text
+from .base import by_rows, stored, whole_text, worker_memo
 
-#: Words with at least one in so many tokens are broadcast; no more than so many words can have that.
-FREQUENT = 1_000_000
+LONG = 4  # bytes of the longest context
+BATCH_BYTES = 4 << 20
+BLOCK = 1 << 20  # grams that are worked on at once
 FLUSH_WORDS = 400_000
 
 
-def grams(raw: bytes) -> np.ndarray:
-    """Each byte of a text with the two before it, as one number."""
-    at = np.frombuffer(b"\n\n" + raw, np.uint8).astype(np.int32)
-    return at[:-2] << 16 | at[1:-1] << 8 | at[2:]
+def grams(raw: bytes, start: int = 0, end: int | None = None) -> np.ndarray:
+    """The bytes from start to end of a text, each with the four before it, as numbers."""
+    end = len(raw) if end is None else min(end, len(raw))
+    before = raw[max(0, start - LONG) : start].rjust(LONG, b"\n")
+    at = np.frombuffer(before + raw[start:end], np.uint8).astype(np.int64)
+    out = np.zeros(end - start, np.int64)
+    for k in range(LONG + 1):
+        out = out << 8 | at[k : k + len(out)]
+    return out
+
+
+def blocks_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(number of the text, gram) for every byte, in arrays of about BLOCK."""
+    rows, found, size = [], [], 0
+    for n, raw in enumerate(texts):
+        for start in range(0, len(raw), BLOCK):
+            g = grams(raw, start, start + BLOCK)
+            rows.append(np.full(len(g), n, np.int32))
+            found.append(g)
+            size += len(g)
+            if size >= BLOCK:
+                yield np.concatenate(rows), np.concatenate(found)
+                rows, found, size = [], [], 0
+    if size:
+        yield np.concatenate(rows), np.concatenate(found)
 
 
-def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    every, where = np.unique(np.concatenate(keys), return_inverse=True)
-    return every, np.bincount(where, np.concatenate(counts), len(every)).astype(np.int64)
+def words_of(raw: bytes) -> list[bytes]:
+    return raw.lower().split()
+
+
+def strings(words: list[bytes]) -> pd.Series:
+    return pd.Series([w.decode() for w in words], dtype=object)
 
 
 def gathered(docs: DataFrame, train: Column) -> DataFrame:
-    """gram, word, train, total: counts of byte triples (word null), words (gram null) and ends (both null)."""
+    """gram, word, n: counts of grams (word null), words (gram null) and ends (both null) in the training texts."""
+
+    def frame(keys: np.ndarray | None, words: list[bytes] | None, counts) -> pd.DataFrame:
+        size = len(counts)
+        return pd.DataFrame({"gram": pd.array(keys if keys is not None else [None] * size, "Int64"), "word": strings(words) if words is not None else pd.Series([None] * size, dtype=object), "n": np.asarray(counts, np.int64)})
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = {True: Counter(), False: Counter()}
-        ends, keys, counts, waiting = {True: 0, False: 0}, [], [], []
-
-        def flush() -> pd.DataFrame:
-            seen = [*(words[True].keys() | words[False].keys())]
-            ours = [words[True][w] for w in seen]
-            out = pd.DataFrame({"gram": pd.array([None] * len(seen), "Int32"), "word": pd.Series([w.decode() for w in seen], dtype=object), "train": ours, "total": [a + words[False][w] for w, a in zip(seen, ours, strict=True)]})
-            words[True].clear(), words[False].clear()
-            return out
-
-        def settle():
-            each, n = np.unique(np.concatenate(waiting), return_counts=True)
-            waiting.clear()
-            keys[:], counts[:] = zip(*[merged([*keys, each], [*counts, n])], strict=True)
-
-        for frame in by_rows(frames):
-            for text, learn in zip(frame["_text"], frame["_train"], strict=True):
-                raw = text.encode()
-                words[bool(learn)].update(raw.lower().split())
-                ends[bool(learn)] += 1
-                if learn and raw:
-                    waiting.append(grams(raw))
-            if sum(map(len, waiting)) > 2_000_000:
-                settle()
-            if len(words[True]) + len(words[False]) > FLUSH_WORDS:
-                yield flush()
-        if waiting:
-            settle()
-        yield flush()
-        yield pd.DataFrame({"gram": pd.array([None], "Int32"), "word": pd.Series([None], dtype=object), "train": [ends[True]], "total": [ends[True] + ends[False]]})
-        if keys:
-            yield pd.DataFrame({"gram": pd.array(keys[0], "Int32"), "word": pd.Series([None] * len(keys[0]), dtype=object), "train": counts[0], "total": counts[0]})
-
-    source = docs.select(whole_text().alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
-    counted = source.mapInPandas(count, "gram int, word string, train long, total long")
-    return counted.groupBy("gram", "word").agg(F.sum("train").alias("train"), F.sum("total").alias("total"))
-
-
-def method_c(orders: list[np.ndarray]) -> np.ndarray:
-    """log10 probabilities of the 256 symbols, from their counts in the longest context, the next one, and so on."""
+        words, ends, keys, counts = Counter(), 0, np.empty(0, np.int64), np.empty(0, np.int64)
+        for rows in by_rows(frames):
+            texts = [t.encode() for t in rows["_text"]]
+            ends += len(texts)
+            for raw in texts:
+                words.update(words_of(raw))
+            for _, found in blocks_of(texts):
+                where, each = pd.factorize(np.concatenate([keys, found]))
+                keys, counts = each, np.bincount(where, np.concatenate([counts, np.ones(len(found), np.int64)]), len(each)).astype(np.int64)
+                if len(keys) > 2 * BLOCK:
+                    yield frame(keys, None, counts)
+                    keys, counts = keys[:0], counts[:0]
+            if len(words) > FLUSH_WORDS:
+                yield frame(None, [*words], [*words.values()])
+                words.clear()
+        yield frame(None, [*words], [*words.values()])
+        yield frame(keys, None, counts)
+        yield pd.DataFrame({"gram": pd.array([None], "Int64"), "word": pd.Series([None], dtype=object), "n": [ends]})
+
+    source = docs.where(F.coalesce(train, F.lit(False))).select(whole_text().alias("_text"))
+    counted = source.mapInPandas(count, "gram long, word string, n long")
+    return counted.groupBy("gram", "word").agg(F.sum("n").alias("n"))
+
+
+def method_c(orders: list[np.ndarray], left: np.ndarray | None = None, escaped: float = 0.0) -> np.ndarray:
+    """log10 probabilities of the 256 symbols, from their counts in the longest context, the next one, and so on.
+
+    left: symbols that no longer context has excluded; escaped: log10 of its escape.
+    """
     out = np.zeros(256)
-    left, escaped = np.ones(256, bool), 0.0
+    left = np.ones(256, bool) if left is None else left.copy()
     for counts in orders:
         counts = np.where(left, counts, 0).astype(np.float64)
         seen = counts > 0
@@ -104,80 +127,131 @@ def method_c(orders: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-class Model:
-    """Rows of code lengths and, for every two bytes, the row to use."""
-
-    def __init__(self, contexts: list[int], rows: list[bytes], one: np.ndarray):
-        zero = one.sum(0)
-        short = [method_c([one[c], zero]) for c in range(256)]
-        self.table = np.concatenate([*(np.frombuffer(r, np.float32)[None] for r in rows), np.array(short, np.float32)])
-        self.row = np.tile(np.arange(256, dtype=np.int32) + len(rows), 256)
-        self.row[np.array(contexts, np.int64)] = np.arange(len(rows), dtype=np.int32)
-
-    def score(self, raw: bytes) -> float:
-        if not raw:
-            return 0.0
-        g = grams(raw)
-        return float(self.table[self.row[g >> 8], g & 255].sum(dtype=np.float64))
-
-
-def train_model(counts: DataFrame) -> Model:
-    """From the table of gathered(); all but the rows of contexts is at most 256 x 256 numbers."""
-    triples = counts.where("gram is not null").select((F.col("gram").bitwiseAND(255)).alias("symbol"), F.shiftright("gram", 8).alias("context"), "train")
-    pairs = triples.groupBy((F.col("context").bitwiseAND(255)).alias("last"), "symbol").agg(F.sum("train").alias("n")).collect()
-    one = np.zeros((256, 256))
-    for r in pairs:
-        one[r["last"], r["symbol"]] = r["n"]
-
-    def lengths(group: pd.DataFrame) -> pd.DataFrame:
-        context = int(group["context"].iloc[0])
-        two = np.zeros(256)
-        two[group["symbol"].to_numpy()] = group["train"].to_numpy()
-        row = method_c([two, one[context & 255], one.sum(0)])
-        return pd.DataFrame({"context": [context], "row": [row.astype(np.float32).tobytes()]})
-
-    known = triples.groupBy("context").applyInPandas(lengths, "context int, row binary").orderBy("context").collect()
-    return Model([r["context"] for r in known], [bytes(r["row"]) for r in known], one)
+class Short:
+    """The counts in contexts of two bytes and less, and code lengths from them as they are needed."""
+
+    def __init__(self, contexts: list[int], rows: list[bytes]):
+        self.two = dict(zip(contexts, rows, strict=True))
+        self.one = np.zeros((256, 256))
+        for c, row in self.two.items():
+            self.one[c & 255] += np.frombuffer(row, np.float32)
+        self.zero = self.one.sum(0)
+        self.known: dict[int, np.ndarray] = {}
+
+    def orders(self, context: int) -> list[np.ndarray]:
+        row = self.two.get(context)
+        return [np.zeros(256) if row is None else np.frombuffer(row, np.float32), self.one[context & 255], self.zero]
+
+    def row(self, context: int) -> np.ndarray:
+        found = self.known.get(context)
+        if found is None:
+            if len(self.known) > 4096:
+                self.known.clear()
+            found = self.known[context] = method_c(self.orders(context))
+        return found
+
+    def lengths(self, found: np.ndarray) -> np.ndarray:
+        """Code lengths of grams whose longest context is new."""
+        contexts, where = np.unique(found >> 8 & 0xFFFF, return_inverse=True)
+        out, order = np.zeros(len(found)), np.argsort(where, kind="stable")
+        for part, context in zip(np.split(order, np.flatnonzero(np.diff(where[order])) + 1), contexts, strict=True):
+            out[part] = self.row(int(context))[found[part] & 255]
+        return out
+
+    def excluding(self, found: int, escaped: float, seen: np.ndarray) -> float:
+        """Code length of a gram whose longest context is known, but not with this symbol."""
+        left = np.ones(256, bool)
+        left[np.asarray(seen, int)] = False
+        return float(method_c(self.orders(found >> 8 & 0xFFFF), left, escaped)[found & 255])
+
+
+def short_contexts(counts: DataFrame) -> tuple[str, list[int], list[bytes]]:
+    """A name and the arguments of Short, from the table of gathered(): at most 65,536 rows of 256 numbers."""
+    pairs = counts.where("gram is not null").groupBy(F.shiftright("gram", 8).bitwiseAND(0xFFFF).cast("int").alias("context"), F.col("gram").bitwiseAND(255).cast("int").alias("symbol")).agg(F.sum("n").alias("n"))
+
+    def dense(group: pd.DataFrame) -> pd.DataFrame:
+        row = np.zeros(256, np.float32)
+        row[group["symbol"].to_numpy()] = group["n"].to_numpy()
+        return pd.DataFrame({"context": group["context"].iloc[:1], "row": [row.tobytes()]})
+
+    known = pairs.groupBy("context").applyInPandas(dense, "context int, row binary").orderBy("context").collect()
+    return uuid.uuid4().hex, [r["context"] for r in known], [bytes(r["row"]) for r in known]
+
+
+def short_of(shared) -> Short:
+    """The broadcast short contexts, made once in each worker."""
+    memo, (name, contexts, rows) = worker_memo("short_contexts"), shared.value
+    if memo.get("name") != name:
+        memo.update(name=name, short=Short(contexts, rows))
+    return memo["short"]
+
+
+def asked(group: pd.DataFrame) -> pd.DataFrame:
+    """batch, gram, word: the distinct grams and words of a batch of texts."""
+    texts = [t.encode() for t in group["_text"]]
+    found = [pd.unique(g) for _, g in blocks_of(texts)]
+    each = pd.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+    words: set[bytes] = set()
+    for raw in texts:
+        words.update(words_of(raw))
+    gram = pd.arrays.IntegerArray(np.concatenate([each, np.zeros(len(words), np.int64)]), np.arange(len(each) + len(words)) >= len(each))
+    return pd.DataFrame({"batch": group["batch"].iloc[0], "gram": gram, "word": pd.concat([pd.Series([None] * len(each), dtype=object), strings([*words])], ignore_index=True)})
+
+
+def answered(requests: DataFrame, counts: DataFrame) -> DataFrame:
+    """batch, gram, word, value, seen: for a word its count; for a gram log10 of its probability in the longest context,
+    or of the escape there with the symbols seen; words and contexts that training lacks have no row."""
+    known = counts.where("gram is not null").select("gram", F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).cast("short").alias("symbol"), "n")
+    context = Window.partitionBy("context")
+    size = F.sum("n").over(context) + F.count("*").over(context)
+    lengths = known.select("gram", F.log10(F.col("n") / size).alias("value"))
+    escapes = known.groupBy("context").agg(F.log10(F.count("*") / (F.sum("n") + F.count("*"))).alias("value"), F.collect_list("symbol").alias("seen"))
+    wanted = requests.where("gram is not null").select("batch", "gram").join(lengths, "gram", "left")
+    none, no_word = F.lit(None).cast("array<short>"), F.lit(None).cast("string")
+    seen = wanted.where("value is not null").select("batch", "gram", no_word.alias("word"), "value", none.alias("seen"))
+    rest = wanted.where("value is null").select("batch", "gram", F.shiftright("gram", 8).alias("context")).join(escapes, "context").select("batch", "gram", no_word.alias("word"), "value", "seen")
+    words = requests.where("word is not null").select("batch", "word").join(counts.where("word is not null").select("word", F.col("n").cast("double").alias("value")), "word")
+    return seen.unionByName(rest).unionByName(words.select("batch", F.lit(None).cast("long").alias("gram"), "word", "value", none.alias("seen")))
 
 
 def score_texts(docs: DataFrame, train: Column, id_column: str = "doc_id") -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score; train says which rows to learn from."""
-    spark = docs.sparkSession
     counts = stored(gathered(docs, train))
-    words = counts.where("gram is null").select("word", "train", "total")
-    tokens, distinct, every = words.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count(F.when(F.col("train") > 0, 1)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    below = np.log10(tokens + 0.5 * (distinct + 1))
-    often = words.where(F.col("word").isNotNull() & (F.col("total") * FREQUENT >= every))
-    known = {r["word"].encode(): r["train"] for r in often.toLocalIterator()}
-    ends = words.where("word is null").agg(F.coalesce(F.sum("train"), F.lit(0))).first()[0]
-    shared = spark.sparkContext.broadcast((known, train_model(counts)))
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, model = shared.value
-        for frame in by_rows(frames):
-            rows = []
-            for text in frame["_text"]:
-                raw = text.encode()
-                found = Counter(raw.lower().split())
-                rare = [(w, n) for w, n in found.items() if w not in table]
-                common = [(table[w], n) for w, n in found.items() if w in table]
-                common.append((ends, 1))
-                c, n = np.array(common, np.float64).T
-                rows.append((int(sum(found.values())) + 1, int(n[c > 0].sum()), float((n * (np.log10(c + 0.5) - below)).sum()), model.score(raw), [w.decode() for w, _ in rare], [n for _, n in rare]))
-            out = pd.DataFrame(rows, columns=["n_tokens", "known", "base", "score", "rare", "times"])
-            out.insert(0, "id", frame["_id"].to_numpy())
-            yield out
-
+    words = counts.where("gram is null")
+    tokens, distinct, ends = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1)), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0))).first()
+    below = float(np.log10(tokens + 0.5 * (distinct + 1)))
+    shared = docs.sparkSession.sparkContext.broadcast(short_contexts(counts))
     kind = docs.schema[id_column].dataType.simpleString()
     source = docs.select(F.col(id_column).alias("_id"), whole_text().alias("_text"))
-    first = source.mapInPandas(score, f"id {kind}, n_tokens long, known long, base double, score double, rare array<string>, times array<long>")
-    first = stored(first.withColumn("row", F.monotonically_increasing_id()))
-    rare = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("n"))
-    rest = words.where(F.col("word").isNotNull() & (F.col("total") * FREQUENT < every) & (F.col("train") > 0)).select("word", "train")
-    c = F.coalesce(F.col("train"), F.lit(0))
-    added = rare.join(rest, "word", "left").groupBy("row").agg(F.sum(F.col("n") * (F.log10(c + 0.5) - F.lit(float(below)))).alias("base2"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known2"))
-    out = first.select("row", "id", "n_tokens", "known", "base", "score").join(added, "row", "left")
-    return out.select(
-        F.col("id").alias(id_column), "n_tokens", (F.col("known") + F.coalesce("known2", F.lit(0))).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base2", F.lit(0.0))).alias("base_score"), "score",
-    )
+    size = source.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
+    batch = F.pmod(F.xxhash64("_id", "_text"), F.lit(max(1, math.ceil(size / BATCH_BYTES)))).alias("batch")
+    texts = source.select(batch, "_id", "_text").groupBy("batch")
+
+    def score(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        short, raws = short_of(shared), [t.encode() for t in group["_text"]]
+        of_word = answers["word"].notna().to_numpy()
+        count = dict(zip((w.encode() for w in answers["word"][of_word]), answers["value"][of_word], strict=True))
+        of_gram = answers[~of_word]
+        value = of_gram["value"].to_numpy(np.float64).copy()
+        keys = of_gram["gram"].to_numpy(np.int64)
+        for n in np.flatnonzero(of_gram["seen"].notna().to_numpy()):
+            value[n] = short.excluding(int(keys[n]), value[n], of_gram["seen"].iat[n])
+        place, scores = pd.Index(keys), np.zeros(len(raws))
+        for rows, found in blocks_of(raws):
+            where, each = pd.factorize(found)
+            at = place.get_indexer(each)
+            code = value[at] if len(value) else np.zeros(len(each))
+            new = at < 0
+            if new.any():
+                code[new] = short.lengths(each[new])
+            scores += np.bincount(rows, code[where], len(raws))
+        out = []
+        for raw in raws:
+            c = np.array([*(count.get(w, 0.0) for w in words_of(raw)), float(ends)])
+            out.append((len(c), int((c > 0).sum()), float((np.log10(c + 0.5) - below).sum())))
+        base = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score"])
+        return base.assign(_id=group["_id"].to_numpy(), score=scores)[["_id", "n_tokens", "n_known", "base_score", "score"]]
+
+    answers = answered(texts.applyInPandas(asked, "batch long, gram long, word string"), counts)
+    scored = texts.cogroup(answers.groupBy("batch")).applyInPandas(score, f"_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return scored.select(F.col("_id").alias(id_column), "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score")
