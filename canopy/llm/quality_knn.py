@@ -1,8 +1,8 @@
 r"""Quality classifier (3): nearest-neighbour voting over latent-semantic vectors.
 
-A text's terms are the shapes of its words (letters, capitals, digits and other signs, runs shortened), pairs of
-neighbouring shapes, and bands of three rates: how much of the text repeats words, lines and word pairs. Terms are
-hashed, weighted by log count and inverse document frequency, and projected on the leading singular vectors of the
+A text's terms are its words in lower case, the shapes of its words (letters, capitals, digits and other signs, runs
+shortened), pairs of neighbouring shapes, and how much of the text repeats words, lines and word pairs, in tenths. Terms
+are hashed, weighted by log count and inverse document frequency, and projected on the leading singular vectors of the
 labelled texts' term matrix. Those labelled vectors (at most `neighbours` of them, at most `width` numbers each, so a
 proven bound) are broadcast. Every text gets its exact cosine with every one of them in blocks; the `votes` nearest
 vote with their similarity as weight.
@@ -12,23 +12,24 @@ the id, a documented bound; if fewer exist all are used.
 
 Results for special cases: null or empty text has no terms and gets the share of label 1 among the labelled rows;
 without any labelled row all scores are 0.5. Several labels for one id count as their mean, at least a half being 1;
-null labels are left out. Repeated rows get repeated results. Other columns are ignored.
+null labels are left out. If a labelled id has several texts, the least of them in string order is learnt from. Repeated rows get repeated results. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import array
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import stored, whole_text, worker_memo
+from .base import discard, stored, whole_text, worker_memo
 
-TERMS, WIDTH, NEIGHBOURS, VOTES = 1024, 48, 4096, 25
+TERMS, WIDTH, NEIGHBOURS, VOTES = 4096, 48, 4096, 25
+MEMO_TERMS = 400_000
 SHAPE = {**{c: "a" for c in range(ord("a"), ord("z") + 1)}, **{c: "A" for c in range(ord("A"), ord("Z") + 1)}, **{c: "0" for c in range(ord("0"), ord("9") + 1)}}
 SHAPE |= {c: ("a" if chr(c).islower() else "A") for c in range(0xC0, 0x250) if chr(c).isalpha()}
 RUNS = re.compile(r"(.)\1+")
@@ -38,35 +39,43 @@ def band(rate: float) -> int:
     return min(10, int(rate * 10 + 0.999))
 
 
-def terms(text: str) -> Counter:
-    words = text.split()
-    shapes = RUNS.sub(r"\1", text.translate(SHAPE)).split()
-    found = Counter(shapes)
-    found.update(zip(shapes, shapes[1:], strict=False))
-    if words:
-        lines = [x for x in text.split("\n") if x.strip()]
-        pairs = Counter(zip(words, words[1:], strict=False))
-        doubled = sum(a == b for a, b in zip(words, words[1:], strict=False))
-        weight = max(1, len(words) // 4)
-        found["doubled", band(doubled / len(words))] = weight
-        found["lines", band(1 - len(set(lines)) / max(1, len(lines)))] = weight
-        found["pairs", band(sum(n for n in pairs.values() if n > 1) / max(1, len(words) - 1))] = weight
-        found["size", len(words).bit_length()] = 1
-    return found
+def hashes(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of each token in lower case, and of its shape."""
+    import xxhash
+
+    words, shapes = worker_memo("hash of word"), worker_memo("hash of shape")
+    if len(words) > MEMO_TERMS:
+        words.clear(), shapes.clear()
+    for token in {t for t in tokens if t not in words}:
+        words[token] = xxhash.xxh64_intdigest(token.lower())
+        shapes[token] = xxhash.xxh64_intdigest(RUNS.sub(r"\1", token.translate(SHAPE)), 1)
+    return np.frombuffer(array.array("Q", map(words.__getitem__, tokens)), np.uint64), np.frombuffer(array.array("Q", map(shapes.__getitem__, tokens)), np.uint64)
+
+
+def paired(each: np.ndarray) -> np.ndarray:
+    """Hashes of neighbours."""
+    mixed = each[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ each[1:]
+    return mixed ^ mixed >> np.uint64(31)
+
+
+def repeats(words: np.ndarray, text: str) -> list[tuple[str, int]]:
+    """(term, number of times): tenths of the words that repeat the one before, of repeated lines, and of word pairs found twice."""
+    lines = [x for x in text.split("\n") if x.strip()]
+    times = np.unique(paired(words), return_counts=True)[1]
+    doubled, weight = int((words[1:] == words[:-1]).sum()), max(1, len(words) // 4)
+    rates = doubled / len(words), 1 - len(set(lines)) / max(1, len(lines)), int(times[times > 1].sum()) / max(1, len(words) - 1)
+    return [*((f"{name} {band(rate)}", weight) for name, rate in zip(("words", "lines", "pairs"), rates, strict=True)), (f"size {len(words).bit_length()}", 1)]
 
 
 def term_matrix(texts: list[str]) -> np.ndarray:
-    memo = worker_memo("term_place")
     out = np.zeros((len(texts), TERMS), np.float32)
-    for i, text in enumerate(texts):
-        row = out[i]
-        for term, n in terms(text).items():
-            place = memo.get(term)
-            if place is None:
-                if len(memo) > 200_000:
-                    memo.clear()
-                place = memo[term] = zlib.crc32(repr(term).encode()) % TERMS
-            row[place] += n
+    for row, text in zip(out, texts, strict=True):
+        tokens = text.split()
+        if tokens:
+            words, shapes = hashes(tokens)
+            row += np.bincount((np.concatenate([words, shapes, paired(shapes)]) % np.uint64(TERMS)).astype(np.int64), minlength=TERMS)
+            for term, n in repeats(words, text):
+                row[zlib.crc32(term.encode()) % TERMS] += n
     return np.log1p(out)
 
 
@@ -74,66 +83,67 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
 
 
-class Voters:
-    """The labelled vectors, and what turns a term matrix into vectors of their kind."""
-
-    def __init__(self, counts: np.ndarray, labels: np.ndarray, width: int, votes: int):
-        self.labels, self.votes = labels.astype(np.float32), min(votes, len(labels))
-        self.weight = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
-        rows = unit(counts * self.weight)
-        values, axes = np.linalg.eigh(rows.T.astype(np.float64) @ rows)
-        self.axes = axes[:, ::-1][:, : min(width, len(rows))].astype(np.float32)
-        self.vectors = unit(rows @ self.axes)
-        self.base = float(labels.mean())
-
-    def score(self, counts: np.ndarray, block: int = 1024) -> np.ndarray:
-        """Blocks of labelled vectors one after another, keeping each row's nearest so far."""
-        rows = unit(unit(counts * self.weight) @ self.axes)
-        near = np.full((len(rows), 0), 0, np.float32)
-        said = near
-        for start in range(0, len(self.vectors), block):
-            near = np.concatenate([near, rows @ self.vectors[start : start + block].T], 1)
-            said = np.concatenate([said, np.broadcast_to(self.labels[start : start + block], (len(rows), len(self.labels[start : start + block])))], 1)
-            if near.shape[1] > self.votes:
-                best = np.argpartition(-near, self.votes - 1, axis=1)[:, : self.votes]
-                near, said = np.take_along_axis(near, best, 1), np.take_along_axis(said, best, 1)
-        weight = np.maximum(near, 0).astype(np.float64) ** 4
-        total = weight.sum(1)
-        scored = np.where(total > 0, (weight * said).sum(1) / np.maximum(total, 1e-12), self.base)
-        return np.where(counts.any(1), np.clip(scored, 0, 1), self.base)
-
-
-def fit(docs: DataFrame, labels: DataFrame, neighbours: int, width: int, votes: int, id_column: str, label_column: str) -> Voters | None:
+def learnt(counts: np.ndarray, labels: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Term weights, leading singular axes (by subspace iteration), vectors and labels of the labelled texts."""
+    weight = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
+    rows = unit(counts * weight)
+    axes = np.random.default_rng(1).normal(size=(counts.shape[1], min(width + 16, *counts.shape))).astype(np.float32)
+    for _ in range(4):
+        axes, _ = np.linalg.qr(rows.T @ (rows @ axes))
+    axes = (axes @ np.linalg.svd(rows @ axes, full_matrices=False)[2].T)[:, :width]
+    return weight, axes, unit(rows @ axes), labels.astype(np.float32)
+
+
+def votes_for(known: tuple[np.ndarray, ...], counts: np.ndarray, votes: int, block: int = 1024) -> np.ndarray:
+    """Scores of rows of a term matrix; blocks of labelled vectors one after another, keeping each row's nearest so far."""
+    weight, axes, vectors, labels = known
+    rows, votes = unit(unit(counts * weight) @ axes), min(votes, len(labels))
+    near = said = np.full((len(rows), 0), 0, np.float32)
+    for start in range(0, len(vectors), block):
+        part = labels[start : start + block]
+        near = np.concatenate([near, rows @ vectors[start : start + block].T], 1)
+        said = np.concatenate([said, np.broadcast_to(part, (len(rows), len(part)))], 1)
+        if near.shape[1] > votes:
+            best = np.argpartition(-near, votes - 1, axis=1)[:, :votes]
+            near, said = np.take_along_axis(near, best, 1), np.take_along_axis(said, best, 1)
+    share, near = float(labels.mean()), np.maximum(near, 0).astype(np.float64)
+    total = near.sum(1)
+    scored = np.where(total > 0, (near * said).sum(1) / np.maximum(total, 1e-12), share)
+    return np.where(counts.any(1), np.clip(scored, 0, 1), share)
+
+
+def fit(docs: DataFrame, labels: DataFrame, neighbours: int, width: int, id_column: str, label_column: str) -> tuple[np.ndarray, ...] | None:
     """From the labelled rows given; reads the texts of at most `neighbours` of them."""
-    one = labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull()).groupBy(id_column).agg(F.avg(label_column).alias("label"))
-    some = stored(one.orderBy(F.md5(F.col(id_column).cast("string").cast("binary")), id_column).limit(neighbours))
+    one = labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg(F.avg(label_column).alias("label"))
+    some = stored(one.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(neighbours))
 
     @F.pandas_udf("place array<short>, value array<float>")
     def sparse(texts: pd.Series) -> pd.DataFrame:
         rows = term_matrix(texts.tolist())
         return pd.DataFrame({"place": [np.flatnonzero(r).astype(np.int16) for r in rows], "value": [r[r > 0] for r in rows]})
 
-    texts = docs.select(id_column, whole_text().alias("_text")).join(some, id_column).groupBy(id_column).agg(F.first("label").alias("label"), F.min("_text").alias("_text"))
-    rows = texts.select(F.col(id_column).alias("id"), "label", sparse("_text").alias("t")).select("id", "label", "t.*").toPandas().sort_values("id")
+    texts = docs.select(F.col(id_column).alias("id"), whole_text().alias("text")).join(some, "id").groupBy("id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
+    rows = texts.select("id", "label", sparse("text").alias("t")).select("id", "label", "t.*").toPandas().sort_values("id")
+    discard(some)
     if not len(rows):
         return None
     counts = np.zeros((len(rows), TERMS), np.float32)
     for i, (place, value) in enumerate(zip(rows["place"], rows["value"], strict=True)):
         counts[i, np.asarray(place, int)] = value
-    return Voters(counts, (rows["label"].to_numpy() >= 0.5).astype(float), width, votes)
+    return learnt(counts, (rows["label"].to_numpy() >= 0.5).astype(float), width)
 
 
 def vote(docs: DataFrame, labels: DataFrame, neighbours: int = NEIGHBOURS, width: int = WIDTH, votes: int = VOTES, id_column: str = "doc_id", label_column: str = "quality") -> DataFrame:
     """id, score: the similarity-weighted share of label 1 among the nearest labelled texts."""
-    voters = fit(docs, labels, neighbours, width, votes, id_column, label_column)
-    if voters is None:
+    found = fit(docs, labels, neighbours, width, id_column, label_column)
+    if found is None:
         return docs.select(id_column, F.lit(0.5).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(voters)
+    shared = docs.sparkSession.sparkContext.broadcast(found)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        known, rows = shared.value, texts.tolist()
-        return pd.Series(np.concatenate([known.score(term_matrix(rows[i : i + 512])) for i in range(0, len(rows), 512)] or [np.empty(0)]))
+        rows = texts.tolist()
+        return pd.Series(np.concatenate([votes_for(shared.value, term_matrix(rows[i : i + 256]), votes) for i in range(0, len(rows), 256)] or [np.empty(0)]))
 
     return docs.select(id_column, score(whole_text()).alias("score"))
 
