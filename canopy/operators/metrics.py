@@ -20,10 +20,10 @@ def class_counts(df: DataFrame, level: str) -> DataFrame:
 
 
 def longtail_profile(df: DataFrame, level: str, cuts: Sequence[int]) -> DataFrame:
-    """One row: classes, rows a class, and how many classes lie below each cut."""
+    """One row: classes, rows a class, and how many classes, and which share of them, lie below each cut and at or above it."""
     n = class_counts(df, level)
-    below = [F.count_if(F.col("n") < c).alias(f"below_{c}") for c in cuts]
-    return n.agg(F.count("*").alias("classes"), F.min("n").alias("least"), F.percentile("n", 0.5).alias("median"), F.avg("n").alias("mean"), F.max("n").alias("most"), *below)
+    sides = [c for cut in cuts for name, side in (("below", F.col("n") < cut), ("above", F.col("n") >= cut)) for c in (F.count_if(side).alias(f"{name}_{cut}"), rate(side).alias(f"share_{name}_{cut}"))]
+    return n.agg(F.count("*").alias("classes"), F.min("n").alias("least"), F.percentile("n", 0.5).alias("median"), F.avg("n").alias("mean"), F.max("n").alias("most"), *sides)
 
 
 def rank_abundance(df: DataFrame, level: str) -> DataFrame:
@@ -150,6 +150,16 @@ def abstention_metrics(summary: DataFrame) -> DataFrame:
     return summary.groupBy("level").agg(F.count("*").alias("n"), rate(F.col("correct")).alias("accuracy"), F.avg("confidence").alias("confidence"))
 
 
+def abstention_summary(summary: DataFrame) -> DataFrame:
+    """One row: rows, share answered, mean level of the answers, accuracy of all rows and of the answers, and mean
+    confidence of right and of wrong answers."""
+    said, right = F.col("level").isNotNull(), F.coalesce(F.col("correct"), F.lit(False))
+    return summary.agg(
+        F.count("*").alias("n"), rate(said).alias("coverage"), rate(~said).alias("unanswered"), F.avg("level").alias("mean_level"), rate(right).alias("accuracy"), F.avg(F.when(said, right.cast("double"))).alias("answered_accuracy"),
+        F.avg(F.when(said & right, F.col("confidence"))).alias("right_confidence"), F.avg(F.when(said & ~right, F.col("confidence"))).alias("wrong_confidence"),
+    )
+
+
 def subset_report(pred: DataFrame, subsets: Column) -> DataFrame:
     """metric_report for each name in an array column of overlapping subsets."""
     return metric_report(pred.withColumn("subset", F.explode(subsets)), ("subset", "level"))
@@ -159,6 +169,11 @@ def metric_spread(reports: DataFrame, metric: str = "macro_f1") -> DataFrame:
     return reports.groupBy("level").agg((F.max(metric) - F.min(metric)).alias("spread"), F.count("*").alias("runs"))
 
 
+def within_noise(deltas: DataFrame, spread: DataFrame) -> DataFrame:
+    """deltas (level, delta, ...) with the spread of repeated runs of their level, and whether they are no larger."""
+    return deltas.join(spread.select("level", "spread"), "level", "left").withColumn("noise", F.abs("delta") <= F.col("spread"))
+
+
 def top_classes_by(df: DataFrame, by: str, level: str, k: int) -> DataFrame:
     n = df.groupBy(by, level).agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), level))

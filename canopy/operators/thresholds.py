@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ordering import prefix_sum
-from .metrics import rate
+from ..functions.ordering import prefix_sum, quantiles
+from .metrics import macro_f1, rate
 
 
 def topk(scores: DataFrame, k: int, keys: Sequence[str] = ("instance_id",)) -> DataFrame:
@@ -28,8 +28,8 @@ def top1(scores: DataFrame, keys: Sequence[str] = ("instance_id",)) -> DataFrame
 
 def gate_quantile(pred: DataFrame, keep_frac: float) -> DataFrame:
     """Rows with at least the (1 - keep_frac) quantile of confidence, interpolated linearly."""
-    cut = pred.agg(F.percentile("confidence", 1 - keep_frac).alias("cut"))
-    return pred.join(F.broadcast(cut)).where(F.col("confidence") >= F.col("cut")).drop("cut")
+    cut = quantiles(pred, "confidence", [1 - keep_frac])  # one row
+    return pred.join(F.broadcast(cut)).where(F.col("confidence") >= F.col("q0")).select(*pred.columns)
 
 
 def gate_per_class(pred: DataFrame, k: int, key: str = "instance_id") -> DataFrame:
@@ -39,10 +39,12 @@ def gate_per_class(pred: DataFrame, k: int, key: str = "instance_id") -> DataFra
 
 
 def gate_report(pred: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows, accuracy, classes and confidence quantiles before and after a gate."""
+
     def of(df: DataFrame, name: str) -> DataFrame:
-        q = F.percentile("confidence", [0.1, 0.5, 0.9])
-        out = df.agg(F.count("*").alias("n"), rate(F.col("label") == F.col("prediction")).alias("accuracy"), F.count_distinct("prediction").alias("classes"), q.alias("q"))
-        return out.select(F.lit(name).alias("stage"), "n", "accuracy", "classes", *(F.col("q")[i].alias(c) for i, c in enumerate(("p10", "p50", "p90"))))
+        out = df.agg(F.count("*").alias("n"), rate(F.col("label") == F.col("prediction")).alias("accuracy"), F.count_distinct("prediction").alias("classes"))
+        q = quantiles(df, "confidence", [0.1, 0.5, 0.9, 0.99])
+        return out.crossJoin(F.broadcast(q)).select(F.lit(name).alias("stage"), "n", "accuracy", "classes", *(F.col(f"q{n}").alias(c) for n, c in enumerate(("p10", "p50", "p90", "p99"))))  # one row each
 
     return of(pred, "before").unionByName(of(kept, "after"))
 
@@ -59,7 +61,7 @@ def choose_threshold(pred: DataFrame, target: float, keys: Sequence[str] = ("lev
 
 
 def threshold_report(pred: DataFrame, thresholds: DataFrame, keys: Sequence[str] = ("level",)) -> DataFrame:
-    joined = pred.join(F.broadcast(thresholds), list(keys), "left")
+    joined = pred.join(thresholds, list(keys), "left")
     shown = F.coalesce(F.col("confidence") >= F.col("threshold"), F.lit(False))
     return joined.groupBy(*keys).agg(F.first("threshold").alias("threshold"), F.count("*").alias("n"), rate(shown).alias("coverage"), F.avg(F.when(shown, (F.col("label") == F.col("prediction")).cast("double"))).alias("precision"))
 
@@ -94,12 +96,22 @@ def chosen_rank(levels: Sequence[int], thresholds: Sequence[Column]) -> Column:
     return rank.otherwise(-1)
 
 
+def ranked(wide: DataFrame, levels: Sequence[int], threshold: float) -> DataFrame:
+    """wide with rank (-1: abstained) of the finest level that is sure enough, and whether it is right there."""
+    out = wide.withColumn("rank", chosen_rank(levels, [F.lit(threshold)] * len(levels)))
+    return out.withColumn("right", F.coalesce(*(F.when(F.col("rank") == n, F.col(f"ok_{n}")) for n in levels)))
+
+
 def rank_cascade(wide: DataFrame, levels: Sequence[int], threshold: float) -> DataFrame:
     """rank (-1: abstained), rows, coverage and precision of the finest level that is sure enough."""
-    ranked = wide.withColumn("rank", chosen_rank(levels, [F.lit(threshold)] * len(levels)))
-    right = F.coalesce(*(F.when(F.col("rank") == n, F.col(f"ok_{n}")) for n in levels))
     total = wide.agg(F.count("*").alias("total"))
-    return ranked.groupBy("rank").agg(F.count("*").alias("n"), rate(right).alias("precision")).join(F.broadcast(total)).select("rank", "n", "precision", (F.col("n") / F.col("total")).alias("coverage"))
+    return ranked(wide, levels, threshold).groupBy("rank").agg(F.count("*").alias("n"), rate(F.col("right")).alias("precision")).join(F.broadcast(total)).select("rank", "n", "precision", (F.col("n") / F.col("total")).alias("coverage"))
+
+
+def cascade_rates(wide: DataFrame, levels: Sequence[int], threshold: float) -> DataFrame:
+    """One row: the share answered at any level, the precision of the answers, and the share of rows answered rightly."""
+    said = F.col("rank") >= 0
+    return ranked(wide, levels, threshold).agg(F.count("*").alias("n"), rate(said).alias("answered"), F.avg(F.when(said, F.col("right").cast("double"))).alias("precision"), rate(said & F.col("right")).alias("useful"))
 
 
 def conditional_thresholds(pred: DataFrame, levels: Sequence[int], target: float, n_points: int = 101) -> DataFrame:
@@ -109,16 +121,24 @@ def conditional_thresholds(pred: DataFrame, levels: Sequence[int], target: float
         own = left.where(F.col("level") == n)
         t = curve_threshold(precision_curve(own, n_points), target)
         out = t if out is None else out.unionByName(t)
-        declined = own.join(F.broadcast(t), "level").where(F.coalesce(F.col("confidence") < F.col("threshold"), F.lit(True)))
+        declined = own.join(t, "level").where(F.coalesce(F.col("confidence") < F.col("threshold"), F.lit(True)))
         left = left.join(declined.select("instance_id"), "instance_id", "left_semi")
     return out
 
 
 def cascade_sweep(wide: DataFrame, levels: Sequence[int], steps: int) -> DataFrame:
-    """Rows at each rank for finest-level thresholds k / steps, the coarser ones fixed at one half."""
-    grid = wide.sparkSession.range(steps + 1).select(F.col("id").alias("step"))
-    tried = wide.join(F.broadcast(grid)).withColumn("rank", chosen_rank(levels, [F.col("step") / steps, *[F.lit(0.5)] * (len(levels) - 1)]))
-    return tried.groupBy("step", "rank").agg(F.count("*").alias("n"))
+    """Rows at each rank for finest-level thresholds k / steps, the coarser ones fixed at one half.
+
+    One histogram of the finest confidence by what the row would fall back to, then sums over its few cells.
+    """
+    finest, *others = levels
+    grid = F.array(*(F.lit(k / steps) for k in range(steps + 1)))
+    cell = F.size(F.filter(grid, lambda t: t <= F.col(f"conf_{finest}"))) - 1  # the last step that the row passes
+    back = chosen_rank(others, [F.lit(0.5)] * len(others)) if others else F.lit(-1)
+    cells = wide.groupBy(cell.alias("cell"), back.alias("back")).agg(F.count("*").alias("n"))
+    step = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps).cast("long"))).alias("step")
+    out = cells.select("cell", "back", "n", step).select("step", F.when(F.col("step") <= F.col("cell"), finest).otherwise(F.col("back")).alias("rank"), "n")
+    return out.groupBy("step", "rank").agg(F.sum("n").alias("n"))
 
 
 def deepest_confident(pred: DataFrame, threshold: float, strict: bool = False) -> DataFrame:
@@ -138,6 +158,12 @@ def auroc(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return out.drop("_")
 
 
+def level_scores(pred: DataFrame) -> DataFrame:
+    """For each level: macro-F1, and how well confidence ranks right answers before wrong ones."""
+    ranking = auroc(pred.select("level", F.col("confidence").alias("score"), (F.col("label") == F.col("prediction")).alias("positive")), ["level"])
+    return macro_f1(pred).join(ranking.select("level", "auroc", (F.col("n_pos") + F.col("n_neg")).alias("n")), "level")
+
+
 def knee_point(log: DataFrame, decay: float, tol: float) -> DataFrame:
     """Each run's largest x whose debiased moving average is at most tol times the least. Ordered within one run's log."""
     seq = log.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("s"))

@@ -23,9 +23,12 @@ def class_counts(spark, d):
     return E.class_counts(catalogue(spark, d), "leaf")
 
 
-@query(with_views("catalogue", "SELECT count(*) AS classes, min(n) AS least, quantile_cont(n, 0.5) AS median, round(avg(n), 9) AS mean, max(n) AS most, count(*) FILTER (n < 5) AS below_5, count(*) FILTER (n < 10) AS below_10 FROM (SELECT count(*) AS n FROM catalogue GROUP BY leaf)"))
+LONGTAIL = ", ".join(f"count(*) FILTER (n {op} {c}) AS {name}_{c}, round(avg((n {op} {c})::INT), 9) AS share_{name}_{c}" for c in (5, 10) for name, op in (("below", "<"), ("above", ">=")))
+
+
+@query(with_views("catalogue", f"SELECT count(*) AS classes, min(n) AS least, quantile_cont(n, 0.5) AS median, round(avg(n), 9) AS mean, max(n) AS most, {LONGTAIL} FROM (SELECT count(*) AS n FROM catalogue GROUP BY leaf)"))
 def longtail_profile(spark, d):
-    return rounded(E.longtail_profile(catalogue(spark, d), "leaf", [5, 10]), "mean")
+    return rounded(E.longtail_profile(catalogue(spark, d), "leaf", [5, 10]), "mean", *(f"share_{k}_{c}" for k in ("below", "above") for c in (5, 10)))
 
 
 @query(with_views("catalogue", ", c AS (SELECT n, count(*) AS classes, n * count(*) AS rows FROM (SELECT count(*) AS n FROM catalogue GROUP BY leaf) GROUP BY n) SELECT n, classes, CAST(sum(classes) OVER w AS BIGINT) AS cum_classes, round(sum(rows) OVER w / (SELECT sum(rows) FROM c), 9) AS share FROM c WINDOW w AS (ORDER BY n DESC)"))
@@ -141,6 +144,15 @@ def abstention_metrics(spark, d):
     return rounded(E.abstention_metrics(chosen), "accuracy", "confidence")
 
 
+@query(with_views("pred", DEEP + """, c AS (SELECT dc.instance_id, dc.level, coalesce(correct, false) AS ok, p.confidence FROM dc LEFT JOIN pred p ON dc.instance_id = p.instance_id AND dc.level = p.level)
+SELECT count(*) AS n, round(avg((level IS NOT NULL)::INT), 9) AS coverage, round(avg((level IS NULL)::INT), 9) AS unanswered, round(avg(level), 9) AS mean_level, round(avg(ok::INT), 9) AS accuracy, round(avg(ok::INT) FILTER (level IS NOT NULL), 9) AS answered_accuracy,
+ round(avg(confidence) FILTER (ok), 9) AS right_confidence, round(avg(confidence) FILTER (NOT ok AND level IS NOT NULL), 9) AS wrong_confidence FROM c"""))
+def abstention_summary(spark, d):
+    p = pred(spark, d)
+    chosen = T.deepest_confident(p, 0.6).join(p.select("instance_id", "level", "confidence"), ["instance_id", "level"], "left")
+    return rounded(E.abstention_summary(chosen), "coverage", "unanswered", "mean_level", "accuracy", "answered_accuracy", "right_confidence", "wrong_confidence")
+
+
 SUBSET = ", s AS (SELECT 'full' AS subset, * FROM pred UNION ALL SELECT 'probe', * FROM pred WHERE instance_id % 3 = 0)"
 
 
@@ -157,6 +169,14 @@ def metric_spread(spark, d):
     return rounded(E.metric_spread(reports, "micro_acc"), "spread")
 
 
+@query(with_views("pred", ", a AS (SELECT instance_id % 5 AS run, level, avg((label = prediction)::INT) AS m FROM pred GROUP BY ALL), s AS (SELECT level, max(m) - min(m) AS spread FROM a GROUP BY level) SELECT a.run, a.level, round(a.m - b.m, 9) AS delta, round(spread, 9) AS spread, abs(a.m - b.m) <= spread AS noise FROM a JOIN a b ON b.run = 0 AND a.level = b.level JOIN s ON s.level = a.level WHERE a.run > 0"))
+def within_noise(spark, d):
+    reports = E.micro_accuracy(pred(spark, d).withColumn("run", F.col("instance_id") % 5), ["run", "level"])
+    base = reports.where("run = 0").select("level", F.col("micro_acc").alias("base"))
+    deltas = reports.where("run > 0").join(base, "level").select("run", "level", (F.col("micro_acc") - F.col("base")).alias("delta"))
+    return rounded(E.within_noise(deltas, E.metric_spread(reports, "micro_acc")), "delta", "spread")
+
+
 @query(with_views("catalogue", ", c AS (SELECT country, mid, count(*) AS n FROM catalogue GROUP BY ALL) SELECT country, mid, n, CAST(row_number() OVER (PARTITION BY country ORDER BY n DESC, mid) AS INT) AS place FROM c QUALIFY place <= 3"))
 def top_classes_by(spark, d):
     return E.top_classes_by(catalogue(spark, d), "country", "mid", 3)
@@ -189,10 +209,10 @@ def gate_per_class(spark, d):
     return T.gate_per_class(pred(spark, d).where("level = 0"), 10).select("instance_id", "prediction", "confidence")
 
 
-@query(with_views("pred", GATE + "SELECT stage, count(*) AS n, round(avg((label = prediction)::INT), 9) AS accuracy, count(DISTINCT prediction) AS classes, round(quantile_cont(confidence, 0.1), 9) AS p10, round(quantile_cont(confidence, 0.5), 9) AS p50, round(quantile_cont(confidence, 0.9), 9) AS p90 FROM (SELECT 'before' AS stage, label, prediction, confidence FROM pred WHERE level = 0 UNION ALL SELECT 'after', label, prediction, confidence FROM kept) GROUP BY stage"))
+@query(with_views("pred", GATE + "SELECT stage, count(*) AS n, round(avg((label = prediction)::INT), 9) AS accuracy, count(DISTINCT prediction) AS classes, round(quantile_cont(confidence, 0.1), 9) AS p10, round(quantile_cont(confidence, 0.5), 9) AS p50, round(quantile_cont(confidence, 0.9), 9) AS p90, round(quantile_cont(confidence, 0.99), 9) AS p99 FROM (SELECT 'before' AS stage, label, prediction, confidence FROM pred WHERE level = 0 UNION ALL SELECT 'after', label, prediction, confidence FROM kept) GROUP BY stage"))
 def gate_report(spark, d):
     p = pred(spark, d).where("level = 0")
-    return rounded(T.gate_report(p, T.gate_quantile(p, 0.3)), "accuracy", "p10", "p50", "p90")
+    return rounded(T.gate_report(p, T.gate_quantile(p, 0.3)), "accuracy", "p10", "p50", "p90", "p99")
 
 
 CHOOSE = ", sh AS (SELECT level, confidence, sum(count(*)) OVER w AS n, sum(sum((label = prediction)::INT)) OVER w AS g FROM pred GROUP BY level, confidence WINDOW w AS (PARTITION BY level ORDER BY confidence DESC)), th AS (SELECT level, min(confidence) FILTER (g >= 0.7 * n) AS threshold FROM sh GROUP BY level)\n"
@@ -230,6 +250,11 @@ def rank_cascade(spark, d):
     return rounded(T.rank_cascade(T.wide_by_level(pred(spark, d), [0, 1, 2]), [0, 1, 2], 0.8), "precision", "coverage")
 
 
+@query(with_views("pred", WIDE + ", r AS (SELECT CASE WHEN c0 >= 0.8 THEN k0 WHEN c1 >= 0.8 THEN k1 WHEN c2 >= 0.8 THEN k2 END AS ok FROM wd) SELECT count(*) AS n, round(avg((ok IS NOT NULL)::INT), 9) AS answered, round(avg(ok::INT), 9) AS precision, round(avg(coalesce(ok, false)::INT), 9) AS useful FROM r"))
+def cascade_rates(spark, d):
+    return rounded(T.cascade_rates(T.wide_by_level(pred(spark, d), [0, 1, 2]), [0, 1, 2], 0.8), "answered", "precision", "useful")
+
+
 def curve_on(n, rows):
     return f", u{n} AS (SELECT {n} AS level, min(t) AS threshold FROM (SELECT i / 100.0::DOUBLE AS t, count(*) AS shown, count(*) FILTER (label = prediction) AS good FROM {rows} x JOIN g ON CAST(floor(confidence::DECIMAL(20,10) * 100) AS INT) >= i GROUP BY i) WHERE good / shown >= 0.8)"
 
@@ -250,7 +275,23 @@ def auroc(spark, d):
     return rounded(T.auroc(rows, ["level"]), "auroc")
 
 
-@query()
+@query("""WITH v AS (SELECT l_extendedprice AS score, count(*) FILTER (l_returnflag = 'R') AS pos, count(*) FILTER (l_returnflag <> 'R') AS neg FROM lineitem GROUP BY 1), c AS (SELECT *, sum(neg) OVER (ORDER BY score) - neg AS below FROM v)
+SELECT round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 9) AS auroc, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM c""")
+def auroc_of_prices(spark, d):
+    """AUROC with about as many distinct scores as rows."""
+    rows = table(spark, d, "lineitem").select(F.col("l_extendedprice").cast("double").alias("score"), (F.col("l_returnflag") == "R").alias("positive"))
+    return rounded(T.auroc(rows), "auroc")
+
+
+@query(with_views("pred", COUNTS + """, r AS (SELECT level, confidence, count(*) FILTER (label = prediction) AS pos, count(*) FILTER (label <> prediction) AS neg FROM pred GROUP BY ALL), c AS (SELECT *, sum(neg) OVER (PARTITION BY level ORDER BY confidence) - neg AS below FROM r),
+ a AS (SELECT level, round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 9) AS auroc FROM c GROUP BY level) SELECT level, round(m, 9) AS macro_f1, auroc, n FROM (SELECT level, avg(f1) AS m FROM f1 WHERE tp + fn > 0 GROUP BY 1) JOIN a USING (level) JOIN (SELECT level, count(*) AS n FROM pred GROUP BY 1) USING (level)"""))
+def level_scores(spark, d):
+    return rounded(T.level_scores(pred(spark, d)), "macro_f1", "auroc")
+
+
+@query("""WITH RECURSIVE log AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY x) AS n FROM (SELECT l_suppkey AS run_id, l_partkey AS x, avg(l_discount) AS y FROM lineitem GROUP BY ALL)),
+ m AS (SELECT run_id, n, x, 0.1 * y AS m FROM log WHERE n = 1 UNION ALL SELECT log.run_id, log.n, log.x, 0.9 * m.m + 0.1 * log.y FROM m JOIN log ON log.run_id = m.run_id AND log.n = m.n + 1),
+ s AS (SELECT run_id, x, m / (1 - pow(0.9, n)) AS y FROM m) SELECT run_id, max(x)::DOUBLE AS knee FROM s JOIN (SELECT run_id, min(y) AS least FROM s GROUP BY 1) USING (run_id) WHERE y <= least * 1.1 GROUP BY run_id""")
 def knee_point(spark, d):
     log = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("run_id"), F.col("l_partkey").alias("x")).agg(F.avg("l_discount").alias("y"))
     return T.knee_point(log, 0.9, 1.1)
