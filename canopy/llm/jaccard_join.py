@@ -8,7 +8,7 @@ average. A child holds those that have the same value there. Buckets of at most
 larger ones split again, until `depth` splits or until a child keeps more than half of its parent (then its sets are
 alike and splitting gains nothing). The first splits of the runs are on coordinates of their own, two of them in every
 fourth run. Runs are repeated until a pair at the threshold meets with `recall` in buckets split as often as the
-table's were at most: those for two splits take place at once, more follow if a bucket was split again. Runs share
+table's were at most: those for three splits take place at once, more follow if a bucket was split again. Runs share
 coordinates further down and so aren't independent; hence their number comes from playing them through.
 
 Comparing is exact, on whole sets read anew from the texts. A bucket over `block` sets is cut into blocks and each
@@ -40,7 +40,7 @@ from .base import discard, fresh, stored, whole_text, worker_memo
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 COORDINATES, SMALL, BLOCK, DEPTH = 64, 256, 512, 4
-SPLITS = 2  # the first runs suffice for so many
+SPLITS = 3  # the first runs suffice for so many
 MOST_RUNS = 48  # their first splits use up the coordinates well before
 SECOND = 0.25  # how often a bucket selects a second coordinate
 MEMO_WORDS = 400_000
