@@ -5,15 +5,17 @@ from __future__ import annotations
 import contextlib
 import contextvars
 import sys
-import tempfile
 import types
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_root
+
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -22,21 +24,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _scope: contextvars.ContextVar[str | None] = contextvars.ContextVar("canopy_scope", default=None)
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder spark.checkpoint.dir names, which all executors share.
-
-    Where it is unset, a temporary one in local mode (tests); on a cluster that is an error, as executors would each
-    write to a disk of their own.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="canopy-scratch-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+#: Where stored() wrote the frames that it returned.
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -56,12 +45,6 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         delete(spark, path)
 
 
-class Stored:
-    """Names of tables in the shared folder, by the frame that stored() returned for each."""
-
-    paths: dict[int, tuple[DataFrame, str]] = {}
-
-
 def stored(df: DataFrame, lasting: bool = False) -> DataFrame:
     """The rows of df, written once as Parquet in the shared folder: later reads survive lost executors.
 
@@ -71,15 +54,14 @@ def stored(df: DataFrame, lasting: bool = False) -> DataFrame:
     path = f"{(None if lasting else _scope.get()) or shared_root(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
-    Stored.paths[id(found)] = found, path
+    _written[found] = path
     return found
 
 
 def discard(*frames: DataFrame) -> None:
     """Deletes what stored() wrote for these frames, once nothing that is still to run reads them."""
     for df in frames:
-        _, path = Stored.paths.pop(id(df), (None, None))
-        if path:
+        if path := _written.pop(df, None):
             delete(df.sparkSession, path)
 
 
