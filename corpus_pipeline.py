@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopy.llm import byte_bpe, decontaminate, jaccard_join, pii, quality_rules
-from canopy.llm.base import stored
+from canopy.llm.base import discard, scratch, stored
 from canopy.llm.queries import small_batches, tokenizer_path
 
 
@@ -60,10 +60,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each stage's rows written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for n, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
-        if n < len(STAGES):
-            docs = stored(docs)
-    return docs
+    """All stages over documents, each stage's rows written and read again.
+
+    What a stage stores on its way is deleted when its rows are written, and these when the next stage's are.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for _, stage in STAGES[:-1]:
+        with scratch(spark):
+            docs = stored(stage(spark, docs, sf_dir), lasting=True)
+        discard(*before)
+        before = [docs]
+    return STAGES[-1][1](spark, docs, sf_dir)
