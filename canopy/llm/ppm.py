@@ -29,12 +29,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .base import by_rows, stored, whole_text, worker_memo
 
 LONG = 4  # bytes of the longest context
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 16 << 20
 BLOCK = 1 << 20  # grams that are worked on at once
 FLUSH_WORDS = 400_000
 
@@ -200,18 +199,20 @@ def asked(group: pd.DataFrame) -> pd.DataFrame:
 
 def answered(requests: DataFrame, counts: DataFrame) -> DataFrame:
     """batch, gram, word, value, seen: for a word its count; for a gram log10 of its probability in the longest context,
-    or of the escape there with the symbols seen; words and contexts that training lacks have no row."""
-    known = counts.where("gram is not null").select("gram", F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).cast("short").alias("symbol"), "n")
-    context = Window.partitionBy("context")
-    size = F.sum("n").over(context) + F.count("*").over(context)
-    lengths = known.select("gram", F.log10(F.col("n") / size).alias("value"))
-    escapes = known.groupBy("context").agg(F.log10(F.count("*") / (F.sum("n") + F.count("*"))).alias("value"), F.collect_list("symbol").alias("seen"))
-    wanted = requests.where("gram is not null").select("batch", "gram").join(lengths, "gram", "left")
-    none, no_word = F.lit(None).cast("array<short>"), F.lit(None).cast("string")
-    seen = wanted.where("value is not null").select("batch", "gram", no_word.alias("word"), "value", none.alias("seen"))
-    rest = wanted.where("value is null").select("batch", "gram", F.shiftright("gram", 8).alias("context")).join(escapes, "context").select("batch", "gram", no_word.alias("word"), "value", "seen")
-    words = requests.where("word is not null").select("batch", "word").join(counts.where("word is not null").select("word", F.col("n").cast("double").alias("value")), "word")
-    return seen.unionByName(rest).unionByName(words.select("batch", F.lit(None).cast("long").alias("gram"), "word", "value", none.alias("seen")))
+    or of the escape there with the symbols seen; words and contexts that training lacks have no row.
+
+    One join on (context, word), one of which is null: a request meets its context's counts, at most 256.
+    """
+    symbol = F.col("gram").bitwiseAND(255).cast("short")
+    of_context = counts.where("gram is not null").groupBy(F.shiftright("gram", 8).alias("context")).agg(F.collect_list(F.struct(symbol.alias("symbol"), "n")).alias("found"), (F.sum("n") + F.count("*")).alias("size"))
+    kind = of_context.schema["found"].dataType
+    of_word = counts.where("word is not null").select(F.lit(None).cast("long").alias("context"), F.lit(None).cast(kind).alias("found"), F.col("n").alias("size"), F.col("word").alias("of_word"))
+    known = of_context.withColumn("of_word", F.lit(None).cast("string")).unionByName(of_word).withColumnRenamed("context", "of_context")
+    met = requests.withColumn("context", F.shiftright("gram", 8)).join(known, F.col("context").eqNullSafe(F.col("of_context")) & F.col("word").eqNullSafe(F.col("of_word")))
+    mine = F.get(F.filter("found", lambda f: f["symbol"] == symbol), F.lit(0))["n"]
+    value = F.when(F.col("word").isNotNull(), F.col("size").cast("double")).otherwise(F.log10(F.coalesce(mine, F.size("found").cast("long")) / F.col("size")))
+    seen = F.when(F.col("word").isNull() & mine.isNull(), F.transform("found", lambda f: f["symbol"]))
+    return met.select("batch", "gram", "word", value.alias("value"), seen.alias("seen"))
 
 
 def score_texts(docs: DataFrame, train: Column, id_column: str = "doc_id") -> DataFrame:

@@ -28,3 +28,23 @@ def test_stages(spark):
     encoder = byte_bpe.rank_encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     assert all(encoder.decode(list(struct.unpack(f"<{r.n_tokens}I", bytes(r.ids)))) == masked[i].text for i, r in ids.items())
     assert len(seen[-1]) == corpus_pipeline.run(spark, SF).count()
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and repeated texts, an empty table and clashing names pass through every stage."""
+    from pyspark.sql import functions as F
+
+    from tests.llm.test_text_operators import ODD
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    for rows in (ODD, []):
+        docs = spark.createDataFrame(rows, kind).withColumns({c: F.lit(5) for c in ("row", "spans", "_id", "m", "n")})
+        for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, SF)
+            if n < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == docs.columns
+                assert out.where("row <> 5 OR spans <> 5 OR _id <> 5 OR m <> 5 OR n <> 5").count() == 0
+                assert n == 0 or out.where("text IS NULL").count() == docs.where("text IS NULL").count()
+            else:
+                assert out.count() == docs.count()
+            docs = docs if n == 0 else stored(out) if n < len(corpus_pipeline.STAGES) - 1 else out
