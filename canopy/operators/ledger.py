@@ -3,53 +3,96 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ordering import bounds
+from ..sources.scratch import stored
 
-def flatten_config(runs: DataFrame, column: str = "config") -> DataFrame:
-    """run_id, key, value from a JSON object; nested objects give dotted keys (two levels)."""
-    top = runs.select("run_id", F.explode(F.from_json(column, "map<string,string>")).alias("key", "value"))
-    nested = F.from_json("value", "map<string,string>")
-    inner = top.where(F.startswith(F.col("value"), F.lit("{"))).select("run_id", "key", F.explode(nested).alias("k2", "value")).select("run_id", F.concat_ws(".", "key", "k2").alias("key"), "value")
-    return top.where(~F.coalesce(F.startswith(F.col("value"), F.lit("{")), F.lit(False))).unionByName(inner)
+
+def flatten_config(runs: DataFrame, column: str = "config", depth: int = 16) -> DataFrame:
+    """run_id, key, value from a JSON object; nested objects give dotted keys, down to `depth` levels (an error beyond)."""
+    parsed = F.from_json("value", "map<string,string>")
+    rows, out = runs.select("run_id", F.lit("").alias("key"), F.col(column).alias("value")), []
+    for _ in range(depth):
+        name = F.when(F.col("key") == "", F.col("k")).otherwise(F.concat_ws(".", "key", "k"))
+        inner = rows.select("run_id", "key", F.explode(parsed).alias("k", "value")).select("run_id", name.alias("key"), "value")
+        nested = F.coalesce(F.startswith("value", F.lit("{")) & (F.trim("value") != "{}"), F.lit(False))
+        out.append(inner.where(~nested))
+        rows = inner.where(nested)
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+    raise ValueError(f"configurations are nested deeper than {depth} levels")
 
 
 def config_delta(runs: DataFrame, baseline: object, ignore: Sequence[str] = ()) -> DataFrame:
-    """run_id, key, change, value, base: what differs from the baseline run; unset is not null."""
-    base = runs.where(F.col("run_id") == baseline).select("key", F.col("value").alias("base"), F.lit(True).alias("in_base"))
-    ids = runs.where(F.col("run_id") != baseline).select("run_id").distinct()
-    grid = ids.join(F.broadcast(base))
-    mine = runs.where(F.col("run_id") != baseline).withColumn("in_run", F.lit(True))
-    both = mine.join(grid, ["run_id", "key"], "full_outer")
-    change = F.when(F.col("in_base").isNull(), "added").when(F.col("in_run").isNull(), "unset").when(~F.col("value").eqNullSafe(F.col("base")), "changed")
-    return both.withColumn("change", change).where(F.col("change").isNotNull() & ~F.col("key").isin("", *ignore)).select("run_id", "key", "change", "value", "base")
+    """run_id, key, change, value, base: what differs from the baseline run; unset is not null.
+
+    A run meets the baseline's keys, one configuration, as one array: what it lacks is a difference of arrays.
+    """
+    base = runs.where(F.col("run_id") == baseline).select("key", F.col("value").alias("base"))
+    others = runs.where(F.col("run_id") != baseline)
+    met = others.join(base.withColumn("in_base", F.lit(True)), "key", "left")
+    change = F.when(F.col("in_base").isNull(), "added").when(~F.col("value").eqNullSafe(F.col("base")), "changed")
+    own = met.select("run_id", "key", change.alias("change"), "value", "base").where("change is not null")
+    keys = base.agg(F.collect_list("key").alias("keys"))
+    lacks = others.groupBy("run_id").agg(F.collect_list("key").alias("mine")).crossJoin(F.broadcast(keys))  # one row
+    unset = lacks.select("run_id", F.explode(F.array_except("keys", "mine")).alias("key")).join(base, "key")
+    out = own.unionByName(unset.select("run_id", "key", F.lit("unset").alias("change"), F.lit(None).cast("string").alias("value"), "base"))
+    return out.where(~F.col("key").isin("", *ignore))
+
+
+def neighbours(order: DataFrame, parts: int = 64) -> DataFrame:
+    """run_id, previous: the run before each one by (at, run_id); null for the first. Ranges of `at` are ordered on their own."""
+    cuts = bounds(order, "at", parts)
+    kind = order.schema["at"].dataType
+    part = F.size(F.filter(F.array(*(F.lit(x).cast(kind) for x in cuts)), lambda b: b < F.col("at"))) if cuts else F.lit(0)
+    rows = order.select("run_id", "at", part.alias("part"))
+    within = Window.partitionBy("part").orderBy("at", "run_id")
+    last = rows.groupBy("part").agg(F.max(F.struct("at", "run_id"))["run_id"].alias("last"))
+    before = last.select("part", F.lag("last").over(Window.orderBy("part")).alias("before"))  # at most `parts` rows
+    return rows.withColumn("own", F.lag("run_id").over(within)).join(before, "part").select("run_id", F.coalesce("own", "before").alias("previous"))
 
 
 def config_chain(runs: DataFrame, order: DataFrame) -> DataFrame:
-    """run_id, key, value, before: keys whose value differs from the previous run's; order(run_id, at)."""
-    grid = order.join(runs.select("key").distinct()).join(runs, ["run_id", "key"], "left")
-    w = Window.partitionBy("key").orderBy("at")
-    rows = grid.withColumns({"before": F.lag("value").over(w), "first": F.row_number().over(w) == 1})
-    return rows.where(~F.col("first") & ~F.col("value").eqNullSafe(F.col("before"))).select("run_id", "key", "value", "before")
+    """run_id, key, value, before: keys whose value differs from the previous run's; order(run_id, at).
+
+    Only keys that a run or the one before it has are joined.
+    """
+    pairs = stored(neighbours(order)).where("previous is not null")
+    now = pairs.join(runs, "run_id").select("run_id", "key", "value")
+    then = pairs.join(runs.withColumnRenamed("run_id", "previous"), "previous").select("run_id", "key", F.col("value").alias("before"))
+    both = now.join(then, ["run_id", "key"], "full_outer")
+    return both.where(~F.col("value").eqNullSafe(F.col("before"))).select("run_id", "key", "value", "before")
 
 
 def format_delta(delta: DataFrame) -> DataFrame:
-    """run_id, text: changed keys, three or more under one prefix as prefix.*(n)."""
-    prefix = F.when(F.contains("key", F.lit(".")), F.regexp_extract("key", r"^([^.]+)\.", 1)).otherwise(F.col("key"))
-    groups = delta.withColumn("prefix", prefix).groupBy("run_id", "prefix").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.concat_ws("=", "key", "value"))).alias("tokens"))
-    token = F.when(F.col("n") >= 3, F.array(F.concat(F.col("prefix"), F.lit(".*("), F.col("n").cast("string"), F.lit(")")))).otherwise(F.col("tokens"))
+    """run_id, text: changed keys by their last part; three or more with the same parts before it as prefix.*(n)."""
+    prefix = F.regexp_extract("key", r"^(.*)\.[^.]*$", 1)
+    last = F.element_at(F.split("key", r"\."), -1)
+    groups = delta.withColumn("prefix", prefix).groupBy("run_id", "prefix").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.concat_ws("=", last, "value"))).alias("tokens"))
+    many = (F.col("n") >= 3) & (F.col("prefix") != "")
+    token = F.when(many, F.array(F.concat(F.col("prefix"), F.lit(".*("), F.col("n").cast("string"), F.lit(")")))).otherwise(F.col("tokens"))
     return groups.select("run_id", F.explode(token).alias("t")).groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_list("t")), ", ").alias("text"))
 
 
 def run_status(runs: DataFrame, exported: DataFrame, live: Sequence[str] = ()) -> DataFrame:
     """done if its artefact is there; else running if it is the newest of a live name; else died."""
-    done = exported.select("run_id", F.lit(True).alias("done"))
-    newest = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("at"), "run_id")) == 1
-    status = F.when(F.col("done"), "done").when(F.col("newest") & F.col("name").isin("", *live), "running").otherwise("died")
-    return runs.withColumn("newest", newest).join(done, "run_id", "left").select("run_id", "name", status.alias("status"))
+    done = exported.select("run_id", F.lit(True).alias("done")).distinct()
+    named = runs.where(F.col("name").isin("", *live))
+    latest = named.groupBy("name").agg(F.max("at").alias("at"))
+    newest = named.join(latest, ["name", "at"]).groupBy("name").agg(F.min("run_id").alias("newest"))
+    status = F.when(F.col("done"), "done").when(F.col("run_id") == F.col("newest"), "running").otherwise("died")
+    return runs.join(newest, "name", "left").join(done, "run_id", "left").select("run_id", "name", status.alias("status"))
+
+
+def pick_baseline(runs: DataFrame, evals: DataFrame, exported: DataFrame) -> DataFrame:
+    """One row: the earliest run that is done and has a score."""
+    done = runs.join(exported.select("run_id").distinct(), "run_id", "left_semi").join(evals, "run_id")
+    return done.agg(F.min_by("run_id", F.struct("at", "run_id")).alias("run_id"), F.min_by("score", F.struct("at", "run_id")).alias("score"))
 
 
 def leaderboard(runs: DataFrame, evals: DataFrame, k: int) -> DataFrame:
@@ -57,3 +100,8 @@ def leaderboard(runs: DataFrame, evals: DataFrame, k: int) -> DataFrame:
     scored = runs.join(evals, "run_id")
     first = scored.agg(F.min_by("score", F.struct("at", "run_id")).alias("base"))
     return scored.join(F.broadcast(first)).select("run_id", "name", "score", (F.col("score") - F.col("base")).alias("gain")).orderBy(F.desc("score"), "run_id").limit(k)
+
+
+def ledger(board: DataFrame, delta: DataFrame) -> DataFrame:
+    """A leaderboard with what each run changed, as text; empty if nothing."""
+    return board.join(format_delta(delta), "run_id", "left").withColumn("text", F.coalesce("text", F.lit("")))

@@ -6,6 +6,7 @@ Wide scores are arrays aligned to class indices; long ones are instance_id, clas
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,10 +15,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import arrays as A
-from .thresholds import auroc
+from ..functions.ordering import quantiles
+from ..sources.scratch import stored
+from .thresholds import auroc, top1
 
-#: A prototype matrix over this many numbers is not broadcast but joined, block by block.
+#: Prototypes are broadcast in blocks of at most so many numbers.
 BROADCAST_NUMBERS = 50_000_000
+#: Score modes: what a batch's cosines (rows by prototypes) become, given the number of dimensions and a scale.
+MODES: dict[str, Callable[[np.ndarray, int, float], np.ndarray]] = {
+    "cosine": lambda c, dims, scale: c,
+    "scaled": lambda c, dims, scale: scale * c,
+    "angle": lambda c, dims, scale: np.sqrt(dims - 2) * (np.arccos(-np.clip(c, -1 + 1e-7, 1 - 1e-7)) - np.pi / 2),
+}
 GRID = [float(0.25 * 32 ** (i / 95)) for i in range(96)]
 
 
@@ -34,22 +43,41 @@ def mean_centroids(emb: DataFrame, label: str = "label", vector: str = "embeddin
 
 def medoids(emb: DataFrame, key: str, label: str = "label", vector: str = "embedding") -> DataFrame:
     """The row of each class nearest to its mean."""
-    near = emb.join(F.broadcast(mean_centroids(emb, label, vector)), label).withColumn("cosine", F.round(A.dot(A.l2_normalise(F.col(vector)), F.col("vector")), 9))
+    near = emb.join(mean_centroids(emb, label, vector), label).withColumn("cosine", F.round(A.dot(A.l2_normalise(F.col(vector)), F.col("vector")), 9))
     return near.groupBy(label).agg(F.max_by(key, F.struct("cosine", (-F.col(key)).alias("i"))).alias(key), F.max("cosine").alias("cosine"))
 
 
-def cosine_scores(emb: DataFrame, protos: DataFrame, key: str, vector: str = "embedding", mode: str = "cosine") -> DataFrame:
-    """key, class_idx, score for few classes: a join with a small prototype table."""
-    cosine = A.dot(A.l2_normalise(F.col(vector)), F.col("vector"))
-    score = {"cosine": lambda: cosine, "angle": lambda: A.angle_score(cosine, 64)}[mode]()
-    return emb.join(F.broadcast(protos), how="cross").select(F.col(key).alias("instance_id"), F.col("class_idx"), score.alias("score"))
-
-
-def score_arrays(emb: DataFrame, matrix: np.ndarray, key: str, vector: str = "embedding") -> DataFrame:
-    """key, scores: cosine with every prototype by one matrix product a batch; the matrix's size is checked."""
-    if matrix.size > BROADCAST_NUMBERS:
-        raise ValueError("prototypes too large to broadcast; pass them in blocks and keep the best of each")
-    shared = emb.sparkSession.sparkContext.broadcast(np.ascontiguousarray(matrix, np.float64))
+def spherical_means(emb: DataFrame, k: int, key: str, label: str = "label", vector: str = "embedding", steps: int = 10) -> DataFrame:
+    """label, k, vector: k means of each class by Lloyd steps on the sphere, started from rows in hash order.
+
+    A step assigns every row to the nearest mean of its class and averages by class, mean and dimension; sums combine
+    map-side and means are stored, so no group of rows is ever in one place. A mean that loses all rows is dropped.
+    """
+    rows = emb.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(key).alias("key"), A.l2_normalise(F.col(vector)).alias("x"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.md5(F.col("key").cast("string").cast("binary")), "key")) - 1
+    means = stored(rows.withColumn("k", place).where(F.col("k") < k).select("label", "k", F.col("x").alias("vector")))
+    for _ in range(steps):
+        near = rows.join(means, "label").groupBy("key", "label").agg(F.max_by("k", F.struct(F.round(A.dot(F.col("x"), F.col("vector")), 9), -F.col("k"))).alias("k"), F.first("x").alias("x"))
+        sums = near.select("label", "k", F.posexplode("x").alias("d", "v")).groupBy("label", "k", "d").agg(F.sum("v").alias("v"))
+        found = sums.groupBy("label", "k").agg(F.array_sort(F.collect_list(F.struct("d", "v"))).alias("v"))
+        means = stored(found.select("label", "k", A.l2_normalise(F.transform("v", lambda p: p["v"])).alias("vector")))
+    return means
+
+
+def prototype_blocks(protos: DataFrame, numbers: int = BROADCAST_NUMBERS) -> Iterator[tuple[list, np.ndarray]]:
+    """(class indices, matrix) of blocks of at most about so many numbers; one block at a time is on the driver."""
+    rows, size = protos.agg(F.count("*"), F.max(F.size("vector"))).first()
+    blocks = max(1, -(-rows * (size or 1) // numbers))
+    for block in range(blocks):
+        found = protos.where(F.pmod(F.xxhash64("class_idx"), F.lit(blocks)) == block).orderBy("class_idx").collect()
+        yield [r["class_idx"] for r in found], np.array([r["vector"] for r in found], np.float64).reshape(len(found), size or 0)
+
+
+def block_scores(emb: DataFrame, matrix: np.ndarray, key: str, vector: str, mode: str, scale: float) -> DataFrame:
+    """key, scores: by one matrix product a batch with a broadcast block of prototypes."""
+    if matrix.size > 2 * BROADCAST_NUMBERS:
+        raise ValueError("prototypes too large for one broadcast: give them as a table, which is cut into blocks")
+    shared, how = emb.sparkSession.sparkContext.broadcast(np.ascontiguousarray(matrix, np.float64)), MODES[mode]
     kind = emb.schema[key].dataType.simpleString()
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -57,9 +85,37 @@ def score_arrays(emb: DataFrame, matrix: np.ndarray, key: str, vector: str = "em
         for frame in frames:
             x = np.stack(frame[vector].to_numpy()).astype(np.float64) if len(frame) else np.empty((0, protos.shape[1]))
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            yield pd.DataFrame({key: frame[key].to_numpy(), "scores": list(x @ protos.T)})
+            yield pd.DataFrame({key: frame[key].to_numpy(), "scores": list(how(x @ protos.T, protos.shape[1], scale))})
+
+    return emb.select(key, vector).mapInPandas(of, f"`{key}` {kind}, scores array<double>")
+
+
+def cosine_scores(emb: DataFrame, protos: DataFrame, key: str, vector: str = "embedding", mode: str = "cosine", scale: float = 1.0, numbers: int = BROADCAST_NUMBERS) -> DataFrame:
+    """instance_id, class_idx, score against every prototype (class_idx, vector), block by block; MODES names the modes."""
+    return reduce(DataFrame.unionByName, long_blocks(emb, protos, key, vector, mode, scale, numbers))
+
 
-    return emb.select(key, vector).mapInPandas(of, f"{key} {kind}, scores array<double>")
+def long_blocks(emb: DataFrame, protos: DataFrame, key: str, vector: str, mode: str, scale: float, numbers: int) -> Iterator[DataFrame]:
+    """instance_id, class_idx, score for one block of prototypes after another."""
+    for classes, matrix in prototype_blocks(protos, numbers):
+        names = F.array(*(F.lit(c) for c in classes))
+        rows = to_long(block_scores(emb, matrix, key, vector, mode, scale), keys=(key,))
+        yield rows.select(F.col(key).alias("instance_id"), F.get(names, F.col("class_idx")).alias("class_idx"), "score")
+
+
+def score_arrays(emb: DataFrame, matrix: np.ndarray, key: str, vector: str = "embedding", mode: str = "cosine", scale: float = 1.0, numbers: int = BROADCAST_NUMBERS) -> DataFrame:
+    """key, scores: the scores with every prototype, one array a row; a matrix over `numbers` is dealt with in blocks of rows."""
+    step = max(1, numbers // max(1, matrix.shape[1]))
+    parts = [block_scores(emb, matrix[at : at + step], key, vector, mode, scale).withColumn("block", F.lit(n)) for n, at in enumerate(range(0, max(1, len(matrix)), step))]
+    if len(parts) == 1:
+        return parts[0].drop("block")
+    every = reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block", "scores"))).alias("b"))
+    return every.select(key, F.flatten(F.transform("b", lambda b: b["scores"])).alias("scores"))
+
+
+def nearest_centroid(emb: DataFrame, protos: DataFrame, key: str, vector: str = "embedding", numbers: int = BROADCAST_NUMBERS) -> DataFrame:
+    """instance_id, class_idx, score of the most similar prototype; each block keeps only its best."""
+    return top1(reduce(DataFrame.unionByName, map(top1, long_blocks(emb, protos, key, vector, "cosine", 1.0, numbers))))
 
 
 def score_table(df: DataFrame, model: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]], key: str, columns: Sequence[str]) -> DataFrame:
@@ -83,14 +139,45 @@ def embedding_geometry(scores: DataFrame, truth: DataFrame) -> DataFrame:
     return each.groupBy("label").agg(F.avg("own").alias("own"), F.avg("other").alias("other"), F.avg(F.col("own") - F.col("other")).alias("margin"))
 
 
-def spectrum(vectors: DataFrame, vector: str = "vector") -> list[float]:
-    """Singular values of the class table's vectors, by the distributed row matrix."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
+def silhouette(emb: DataFrame, label: str = "label", vector: str = "embedding") -> float:
+    """Mean cosine silhouette of the classes."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    data = emb.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.col(label).cast("int").alias("prediction"))
+    return ClusteringEvaluator(distanceMeasure="cosine").evaluate(data)
 
-    rows = vectors.select(vector).rdd.map(lambda r: Vectors.dense([float(x) for x in r[0]]))
-    matrix = RowMatrix(rows)
-    return [float(x) for x in matrix.computeSVD(int(min(matrix.numCols(), matrix.numRows()))).s]
+
+def spectrum(vectors: DataFrame, vector: str = "vector") -> DataFrame:
+    """rank, value, energy: singular values of the class table's vectors and the share of energy up to each.
+
+    They are the roots of the eigenvalues of the Gram matrix, whose size is that of a vector; it is summed by Spark.
+    """
+    x = vectors.select(F.col(vector).cast("array<double>").alias("x"))
+    pairs = x.select(F.posexplode("x").alias("i", "a"), "x").select("i", F.posexplode(F.col("x")).alias("j", "b"), "a")
+    gram = pairs.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("g")).collect()
+    size, rows = 1 + max((r["i"] for r in gram), default=-1), vectors.count()
+    matrix = np.zeros((size, size))
+    for r in gram:
+        matrix[r["i"], r["j"]] = r["g"]
+    squares = np.maximum(np.linalg.eigvalsh(matrix)[::-1][: min(size, rows)], 0)
+    energy = np.cumsum(squares) / max(squares.sum(), 1e-300)
+    made = [(n, float(np.sqrt(s)), float(e)) for n, (s, e) in enumerate(zip(squares, energy, strict=True))]
+    return vectors.sparkSession.createDataFrame(made, "rank int, value double, energy double")
+
+
+def spectrum_summary(values: DataFrame) -> DataFrame:
+    """One row: ranks for 90 and 99 % of the energy, and the participation ratio (sum of values)^2 / sum of their squares."""
+    ranks = [(F.min(F.when(F.col("energy") >= q - 1e-12, F.col("rank"))) + 1).alias(f"rank_{int(100 * q)}") for q in (0.9, 0.99)]
+    return values.agg(*ranks, (F.pow(F.sum("value"), F.lit(2.0)) / F.sum(F.col("value") * F.col("value"))).alias("participation"))
+
+
+def truncated(protos: DataFrame, rank: int) -> DataFrame:
+    """class_idx, vector: the prototypes cut to their leading `rank` singular directions; a table of classes."""
+    rows = protos.orderBy("class_idx").collect()
+    u, s, v = np.linalg.svd(np.array([r["vector"] for r in rows], float), full_matrices=False)
+    low = (u[:, :rank] * s[:rank]) @ v[:rank]
+    return protos.sparkSession.createDataFrame([(r["class_idx"], [float(x) for x in y]) for r, y in zip(rows, low, strict=True)], protos.select("class_idx", F.col("vector").cast("array<double>").alias("vector")).schema)
 
 
 def retrain_classifier(emb: DataFrame, label: str = "label", vector: str = "embedding", weight: str | None = None, **settings):
@@ -113,15 +200,14 @@ def average_views(scores: DataFrame, base: str | None = None, beta: float = 1.0)
 
 def marginalise(scores: DataFrame, parents: DataFrame) -> DataFrame:
     """Parent log-probabilities: logsumexp over children, with the largest taken out first."""
-    joined = scores.join(F.broadcast(parents.select(F.col("child_idx").alias("class_idx"), "parent_idx")), "class_idx")
+    joined = scores.join(parents.select(F.col("child_idx").alias("class_idx"), "parent_idx"), "class_idx")
     top = joined.groupBy("instance_id", "parent_idx").agg(F.max("score").alias("top"), F.collect_list("score").alias("all"))
     return top.select("instance_id", F.col("parent_idx").alias("class_idx"), (F.col("top") + F.ln(A.total(F.transform("all", lambda x: F.exp(x - F.col("top")))))).alias("score"))
 
 
 def condition_on_parent(scores: DataFrame, parent_scores: DataFrame, parents: DataFrame) -> DataFrame:
     """Scores among siblings, plus the parent's own score."""
-    table = F.broadcast(parents.select(F.col("child_idx").alias("class_idx"), "parent_idx"))
-    rows = scores.join(table, "class_idx")
+    rows = scores.join(parents.select(F.col("child_idx").alias("class_idx"), "parent_idx"), "class_idx")
     among = Window.partitionBy("instance_id", "parent_idx")
     top = F.max("score").over(among)
     rows = rows.withColumn("top", top).withColumn("lse", F.col("top") + F.ln(F.sum(F.exp(F.col("score") - F.col("top"))).over(among)))
@@ -168,10 +254,23 @@ def openset_report(rows: DataFrame) -> DataFrame:
     """From rule, score (rounded by the caller), stratum: AUROC of each novel stratum, and of all, against the known."""
     novel = rows.where("stratum <> 'known'").select("rule", "score", F.explode(F.array("stratum", F.lit("all"))).alias("against"), F.lit(True).alias("positive"))
     kinds = novel.select("rule", "against").distinct()
-    known = rows.where("stratum = 'known'").select("rule", "score", F.lit(False).alias("positive")).join(F.broadcast(kinds), "rule")
+    known = rows.where("stratum = 'known'").select("rule", "score", F.lit(False).alias("positive")).join(kinds, "rule")
     return auroc(novel.unionByName(known.select("rule", "score", "against", "positive")), ["rule", "against"])
 
 
+def openset_summary(rows: DataFrame) -> DataFrame:
+    """rule, auroc of all novel against known, means and deviations of both sides' scores, and whether no live rule is better.
+
+    A rule is live if its scores differ at all.
+    """
+    novel = F.col("stratum") != "known"
+    sides = [f(F.when(side, F.col("score"))).alias(f"{kind}_{name}") for kind, side in (("known", ~novel), ("novel", novel)) for name, f in (("mean", F.avg), ("std", F.stddev))]
+    each = rows.groupBy("rule").agg((F.max("score") > F.min("score")).alias("live"), *sides)
+    found = each.join(openset_report(rows).where("against = 'all'").select("rule", "auroc"), "rule")
+    best = found.where("live").agg(F.max("auroc").alias("_best"))
+    return found.crossJoin(F.broadcast(best)).withColumn("best", F.col("live") & (F.col("auroc") == F.col("_best"))).drop("_best")  # one row
+
+
 def adjust_logits(df: DataFrame, prior: Column, tau: float, scores: str = "scores") -> DataFrame:
     return df.withColumn(scores, F.zip_with(scores, prior, lambda x, p: x + tau * p))
 
@@ -197,6 +296,11 @@ def saturation_rates(df: DataFrame, limit: float, scores: str = "scores") -> Dat
     return df.agg((F.sum(high) / F.sum(F.size(z))).alias("all_scores"), F.avg((F.array_max(z) >= limit).cast("double")).alias("top1"), F.avg((high >= 2).cast("double")).alias("several"))
 
 
+def top1_quantiles(df: DataFrame, shares: Sequence[float] = (0.5, 0.9, 0.99), scores: str = "scores") -> DataFrame:
+    """One row, q0, q1, ...: quantiles of each row's largest score."""
+    return quantiles(df.select(F.array_max(scores).alias("top")), "top", shares)
+
+
 def split_levels(df: DataFrame, level_idx: Sequence[int], scores: str = "scores") -> DataFrame:
     """One flat score vector cut into vectors by level; long result with each level's best class."""
     levels = F.array(*(F.lit(x) for x in level_idx))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import catalogue as C
 from ..operators import ledger as K
 from ..sources import files
+from ..sources.scratch import scratch_path
 from . import views as V
-from .registry import query
+from .registry import ORACLES, query
 from .views import LEVELS, catalogue, pred, table, with_views
 
 
@@ -222,18 +223,18 @@ def catalogue_from_predictions(spark, d):
     return files.catalogue_from_predictions(pred(spark, d), LEVELS)
 
 
-RUNS = "r AS (SELECT o_orderkey AS run_id, o_custkey % 7 AS name, o_orderdate AS \"at\", o_totalprice AS score, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS lr, o_orderstatus AS head, o_custkey % 2 AS seed FROM orders)"
+RUNS = "r AS (SELECT o_orderkey AS run_id, o_custkey % 7 AS name, o_orderdate AS \"at\", o_totalprice AS score, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS lr, o_orderstatus AS head, o_custkey % 2 AS seed, o_custkey % 3 AS oa, o_custkey % 5 AS ob, o_orderkey % 2 AS oc FROM orders)"
 
 
 def runs_of(spark, d):
     """Orders as runs, with a nested configuration each: model.lr (may be null), model.head, and seed."""
     return table(spark, d, "orders").select(
         F.col("o_orderkey").alias("run_id"), (F.col("o_custkey") % 7).cast("string").alias("name"), F.col("o_orderdate").alias("at"), F.col("o_totalprice").alias("score"),
-        F.to_json(F.struct(F.struct(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("lr"), F.col("o_orderstatus").alias("head")).alias("model"), (F.col("o_custkey") % 2).alias("seed"))).alias("config"),
+        F.to_json(F.struct(F.struct(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("lr"), F.col("o_orderstatus").alias("head"), F.struct((F.col("o_custkey") % 3).alias("a"), (F.col("o_custkey") % 5).alias("b"), (F.col("o_orderkey") % 2).alias("c")).alias("opt")).alias("model"), (F.col("o_custkey") % 2).alias("seed"))).alias("config"),
     )
 
 
-FLAT = ", f AS (SELECT run_id, 'model.lr' AS key, lr AS value FROM r WHERE lr IS NOT NULL UNION ALL SELECT run_id, 'model.head', head FROM r UNION ALL SELECT run_id, 'seed', CAST(seed AS VARCHAR) FROM r)\n"
+FLAT = ", f AS (SELECT run_id, 'model.lr' AS key, lr AS value FROM r WHERE lr IS NOT NULL UNION ALL SELECT run_id, 'model.head', head FROM r UNION ALL SELECT run_id, 'seed', CAST(seed AS VARCHAR) FROM r UNION ALL SELECT run_id, 'model.opt.a', CAST(oa AS VARCHAR) FROM r UNION ALL SELECT run_id, 'model.opt.b', CAST(ob AS VARCHAR) FROM r UNION ALL SELECT run_id, 'model.opt.c', CAST(oc AS VARCHAR) FROM r)\n"
 
 
 @query("WITH " + RUNS + FLAT + "SELECT run_id, key, value FROM f")
@@ -251,7 +252,7 @@ def config_delta(spark, d):
     return K.config_delta(K.flatten_config(runs_of(spark, d)), 1)
 
 
-@query("WITH " + RUNS + DELTA + """SELECT run_id, string_agg(t, ', ' ORDER BY t) AS text FROM (SELECT run_id, unnest(CASE WHEN count(*) >= 3 THEN [any_value(p) || '.*(' || count(*) || ')'] ELSE list(tok) END) AS t FROM (SELECT run_id, CASE WHEN contains(key, '.') THEN split_part(key, '.', 1) ELSE key END AS p, concat_ws('=', key, value) AS tok FROM delta) GROUP BY run_id, p) GROUP BY run_id""")
+@query("WITH " + RUNS + DELTA + """SELECT run_id, string_agg(t, ', ' ORDER BY t) AS text FROM (SELECT run_id, unnest(CASE WHEN count(*) >= 3 AND p <> '' THEN [any_value(p) || '.*(' || count(*) || ')'] ELSE list(tok) END) AS t FROM (SELECT run_id, regexp_extract(key, '^(.*)\\.[^.]*$', 1) AS p, concat_ws('=', split_part(key, '.', -1), value) AS tok FROM delta) GROUP BY run_id, p) GROUP BY run_id""")
 def format_delta(spark, d):
     return K.format_delta(K.config_delta(K.flatten_config(runs_of(spark, d)), 1))
 
@@ -259,7 +260,7 @@ def format_delta(spark, d):
 @query("WITH " + RUNS + FLAT + ", k AS (SELECT DISTINCT key FROM f), w AS (SELECT r.run_id, k.key, f.value, lag(f.value) OVER (PARTITION BY k.key ORDER BY r.\"at\", r.run_id) AS before, row_number() OVER (PARTITION BY k.key ORDER BY r.\"at\", r.run_id) AS n FROM r CROSS JOIN k LEFT JOIN f ON f.run_id = r.run_id AND f.key = k.key) SELECT run_id, key, value, before FROM w WHERE n > 1 AND value IS DISTINCT FROM before")
 def config_chain(spark, d):
     r = runs_of(spark, d)
-    return K.config_chain(K.flatten_config(r), r.select("run_id", F.struct("at", "run_id").alias("at")))
+    return K.config_chain(K.flatten_config(r), r.select("run_id", "at"))
 
 
 @query("WITH " + RUNS + " SELECT run_id, CAST(name AS VARCHAR) AS name, CASE WHEN run_id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') THEN 'done' WHEN row_number() OVER (PARTITION BY name ORDER BY \"at\" DESC, run_id) = 1 AND name IN (1, 2) THEN 'running' ELSE 'died' END AS status FROM r")
@@ -270,8 +271,74 @@ def run_status(spark, d):
 
 @query("WITH " + RUNS + ", s AS (SELECT run_id, CAST(name AS VARCHAR) AS name, \"at\", round(sum(l_extendedprice), 2) AS score FROM r JOIN lineitem ON run_id = l_orderkey GROUP BY ALL) SELECT run_id, name, score, round(score - (SELECT arg_min(score, (\"at\", run_id)) FROM s), 2) AS gain FROM s ORDER BY score DESC, run_id LIMIT 20")
 def leaderboard(spark, d):
-    evals = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.round(F.sum("l_extendedprice"), 2).alias("score"))
-    return K.leaderboard(runs_of(spark, d).drop("score"), evals, 20).withColumn("gain", F.round("gain", 2))
+    return K.leaderboard(runs_of(spark, d).drop("score"), scored(spark, d), 20).withColumn("gain", F.round("gain", 2))
+
+
+BASELINE = ", done AS (SELECT DISTINCT l_orderkey AS run_id FROM lineitem WHERE l_returnflag = 'R'), s AS (SELECT run_id, CAST(name AS VARCHAR) AS name, \"at\", round(sum(l_extendedprice), 2) AS score FROM r JOIN lineitem ON run_id = l_orderkey GROUP BY ALL)"
+
+
+def scored(spark, d):
+    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.round(F.sum("l_extendedprice"), 2).alias("score"))
+
+
+@query("WITH " + RUNS + BASELINE + ' SELECT arg_min(run_id, ("at", run_id)) AS run_id, arg_min(score, ("at", run_id)) AS score FROM s WHERE run_id IN (SELECT run_id FROM done)')
+def pick_baseline(spark, d):
+    done = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("run_id"))
+    return K.pick_baseline(runs_of(spark, d).drop("score"), scored(spark, d), done)
+
+
+@query("WITH board AS (" + ORACLES["leaderboard"] + "), deltas AS (" + ORACLES["format_delta"] + ") SELECT run_id, name, score, gain, coalesce(text, '') AS text FROM board LEFT JOIN deltas USING (run_id)")
+def ledger(spark, d):
+    board = K.leaderboard(runs_of(spark, d).drop("score"), scored(spark, d), 20).withColumn("gain", F.round("gain", 2))
+    return K.ledger(board, K.config_delta(K.flatten_config(runs_of(spark, d)), 1))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders")
+def read_catalogue(spark, d):
+    return files.read_catalogue(spark, f"{d}/orders.parquet", ["o_orderkey", "o_custkey"])
+
+
+@query(with_views("pred", "SELECT instance_id, filename, level, label, prediction, confidence, 0.5::DOUBLE AS threshold, true AS known_label FROM pred"))
+def predictions_round_trip(spark, d):
+    path = scratch_path(spark)
+    files.write_predictions(pred(spark, d).withColumns({"threshold": F.lit(0.5), "known_label": F.lit(True)}), path)
+    return files.read_predictions(spark, path)
+
+
+@query(with_views("catalogue", "SELECT leaf || '/' || filename AS image_path, \"set\" = '1' AS is_valid, leaf, mid, top FROM catalogue"))
+def prepared_cache(spark, d):
+    base = scratch_path(spark)
+    first = files.prepared_cache(C.prepare(catalogue(spark, d), LEVELS), d, {"valid": "1"}, base)
+    return files.prepared_cache(first.limit(0), d, {"valid": "1"}, base)
+
+
+@query(with_views("catalogue", "SELECT top, count(*) AS n FROM catalogue GROUP BY top"))
+def report_round_trip(spark, d):
+    path = scratch_path(spark)
+    files.write_report(catalogue(spark, d).groupBy("top").agg(F.count("*").alias("n")), path)
+    return spark.read.json(path).select(F.col("top").cast("string").alias("top"), "n")
+
+
+@query("SELECT c_custkey, c_nationkey, NULL AS s_suppkey FROM customer UNION ALL SELECT NULL, NULL, s_suppkey FROM supplier")
+def read_union(spark, d):
+    return files.read_union(spark, [f"{d}/customer.parquet", f"{d}/supplier.parquet"]).select("c_custkey", "c_nationkey", "s_suppkey")
+
+
+@query(with_views("catalogue", "SELECT DISTINCT 'mid=' || mid AS class_folder, 'parquet' AS kind, true AS filled FROM catalogue"))
+def catalogue_from_listing(spark, d):
+    path = scratch_path(spark)
+    catalogue(spark, d).repartition("mid").write.partitionBy("mid").parquet(path)
+    found = files.catalogue_from_listing(spark, path, "*.parquet")
+    return found.select("class_folder", F.substring_index("filename", ".", -1).alias("kind"), (F.col("size") > 0).alias("filled")).distinct()
+
+
+@query("SELECT printf('%04d-run', n_nationkey) AS run_id, printf('%04d-run-x', n_nationkey) AS run_dir, n AS customers FROM (SELECT c_nationkey AS n_nationkey, count(*) AS n FROM customer GROUP BY 1)")
+def read_runs(spark, d):
+    path = scratch_path(spark)
+    runs = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("customers"))
+    runs.select(F.to_json(F.struct("customers")).alias("value"), F.format_string("%04d-run-x", F.col("c_nationkey")).alias("run")).repartition("run").write.partitionBy("run").text(path)
+    found = files.read_runs(spark, path, "*.txt").withColumn("run_dir", F.regexp_replace("run_dir", "^run=", ""))
+    return found.select(F.substring_index("run_dir", "-", 2).alias("run_id"), "run_dir", F.get_json_object("config", "$.customers").cast("long").alias("customers"))
 
 
 @query(with_views("catalogue", "SELECT id, leaf, mid, top FROM catalogue"))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators import scores as H
+from ..operators.metrics import macro_f1
 from ..streaming import streams
 from .queries_metrics import COUNTS, rounded
 from .queries_sampling import nights
-from .registry import query
+from .registry import ORACLES, query
 from .views import pred, scores, table, tree, with_views
 
 SOFT = ", sm AS (SELECT *, max(score) OVER (PARTITION BY instance_id) AS mx FROM long), lp AS (SELECT instance_id, label_idx, class_idx, score, other, score - mx - ln(sum(exp(score - mx)) OVER (PARTITION BY instance_id)) AS logp FROM sm)\n"
@@ -42,9 +43,12 @@ def medoids(spark, d):
     return rounded(H.medoids(table(spark, d, "embeddings"), "vec_id"), "cosine", n=6)
 
 
-def cosines(spark, d, mode="cosine"):
-    e = table(spark, d, "embeddings")
-    return H.cosine_scores(e, H.mean_centroids(e).withColumnRenamed("label", "class_idx"), "vec_id", mode=mode)
+def prototypes(spark, d):
+    return H.mean_centroids(table(spark, d, "embeddings")).withColumnRenamed("label", "class_idx")
+
+
+def cosines(spark, d, mode="cosine", scale=1.0):
+    return H.cosine_scores(table(spark, d, "embeddings"), prototypes(spark, d), "vec_id", mode=mode, scale=scale)
 
 
 @query(CENT + "SELECT instance_id, class_idx, round(score, 6) AS score FROM cs")
@@ -66,12 +70,31 @@ def score_arrays(spark, d):
     return rounded(long.select(F.col("vec_id").alias("instance_id"), F.get(classes, F.col("class_idx")).alias("class_idx"), "score"), "score", n=6)
 
 
+@query(CENT + "SELECT instance_id, class_idx, round(16 * score, 5) AS score FROM cs")
+def scaled_scores(spark, d):
+    return rounded(cosines(spark, d, "scaled", 16.0), "score", n=5)
+
+
 @query(CENT + "SELECT label, class_idx, count(*) AS n FROM (SELECT label, class_idx FROM cs QUALIFY row_number() OVER (PARTITION BY instance_id ORDER BY score DESC, class_idx) = 1) GROUP BY ALL")
 def nearest_centroid(spark, d):
-    from ..operators.thresholds import top1
+    e = table(spark, d, "embeddings")
+    best = H.nearest_centroid(e, prototypes(spark, d), "vec_id", numbers=256)
+    return best.join(e.select(F.col("vec_id").alias("instance_id"), "label"), "instance_id").groupBy("label", "class_idx").agg(F.count("*").alias("n"))
 
-    best = top1(cosines(spark, d)).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("instance_id"), "label"), "instance_id")
-    return best.groupBy("label", "class_idx").agg(F.count("*").alias("n"))
+
+@query(CENT + """, s AS (SELECT label, i, sum(x) AS x FROM n GROUP BY ALL), k AS (SELECT label, count(*) AS k FROM embeddings GROUP BY 1), dd AS (SELECT vec_id, n.label, s.label AS other, 1 - sum(n.x * s.x) / any_value(k) AS dist, any_value(k) AS k FROM n JOIN s USING (i) JOIN k ON k.label = s.label GROUP BY ALL),
+ ab AS (SELECT vec_id, max(CASE WHEN k > 1 THEN dist * k / (k - 1) END) FILTER (label = other) AS a, min(dist) FILTER (label <> other) AS b FROM dd GROUP BY vec_id) SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 5) AS silhouette FROM ab""")
+def silhouette(spark, d):
+    return spark.createDataFrame([(round(H.silhouette(table(spark, d, "embeddings")), 5),)], "silhouette double")
+
+
+@query()
+def spherical_means(spark, d):
+    """How many vectors each of three means of a class is nearest to, after ten Lloyd steps."""
+    e = table(spark, d, "embeddings")
+    means = H.spherical_means(e, 3, "vec_id")
+    near = e.join(means, "label").groupBy("vec_id", "label").agg(F.max_by("k", F.struct(F.round(A.dot(F.col("embedding"), F.col("vector")), 6), -F.col("k"))).alias("k"))
+    return near.groupBy("label", "k").agg(F.count("*").alias("n"))
 
 
 @query(CENT + "SELECT label, round(avg(own), 6) AS own, round(avg(other), 6) AS other, round(avg(own - other), 6) AS margin FROM (SELECT instance_id, label, max(score) FILTER (class_idx = label) AS own, max(score) FILTER (class_idx <> label) AS other FROM cs GROUP BY ALL) GROUP BY label")
@@ -83,9 +106,20 @@ def embedding_geometry(spark, d):
 @query()
 def spectrum(spark, d):
     """Singular values of the class centroids, with the share of energy up to each."""
-    s = H.spectrum(H.mean_centroids(table(spark, d, "embeddings")))
-    energy = np.cumsum(np.square(s)) / np.sum(np.square(s))
-    return spark.createDataFrame([(i, v, float(e)) for i, (v, e) in enumerate(zip(s, energy, strict=True))], "rank int, value double, energy double")
+    return H.spectrum(H.mean_centroids(table(spark, d, "embeddings")))
+
+
+@query()
+def spectrum_summary(spark, d):
+    """Ranks for most of the energy, the participation ratio, and macro-F1 of the nearest centroid after truncation to a few ranks."""
+    e, protos = table(spark, d, "embeddings"), prototypes(spark, d)
+    found = H.spectrum_summary(H.spectrum(protos))
+    truth, out = e.select(F.col("vec_id").alias("instance_id"), F.col("label").cast("string").alias("label"), F.lit(0).alias("level")), None
+    for rank in (2, 4, 8):
+        best = H.nearest_centroid(e, H.truncated(protos, rank), "vec_id").select("instance_id", F.col("class_idx").cast("string").alias("prediction"))
+        f1 = macro_f1(truth.join(best, "instance_id")).select(F.lit(rank).alias("rank"), "macro_f1")
+        out = f1 if out is None else out.unionByName(f1)
+    return out.crossJoin(F.broadcast(found))  # one row
 
 
 @query()
@@ -175,6 +209,16 @@ def openset_report(spark, d):
     return rounded(H.openset_report(rows.select("rule", F.round("score", 5).alias("score"), stratum.alias("stratum"))), "auroc", n=4)
 
 
+@query("WITH a AS (" + ORACLES["openset_report"] + "), m AS (" + with_views("scores", NOVEL + """, r AS (SELECT rule, round(score, 5) AS score, label_idx >= 8 AS novel FROM nl)
+SELECT rule, max(score) > min(score) AS live, round(avg(score) FILTER (NOT novel), 5) AS known_mean, round(stddev(score) FILTER (NOT novel), 5) AS known_std, round(avg(score) FILTER (novel), 5) AS novel_mean, round(stddev(score) FILTER (novel), 5) AS novel_std FROM r GROUP BY rule""") + """)
+SELECT m.*, auroc, live AND auroc = (SELECT max(auroc) FROM m JOIN a USING (rule) WHERE against = 'all' AND live) AS best FROM m JOIN a USING (rule) WHERE against = 'all'""")
+def openset_summary(spark, d):
+    rows = H.novelty_scores(scores(spark, d).select("instance_id", "label_idx", "scores"))
+    stratum = F.when(F.col("label_idx") == 8, "near").when(F.col("label_idx") == 9, "far").otherwise("known")
+    found = H.openset_summary(rows.select("rule", F.round("score", 5).alias("score"), stratum.alias("stratum")))
+    return rounded(rounded(found, "auroc", n=4), "known_mean", "known_std", "novel_mean", "novel_std", n=5)
+
+
 @query(with_views("scores", "SELECT instance_id, class_idx, round(score + 0.5 * ln((class_idx + 1) / 55.0), 6) AS score FROM long"))
 def adjust_logits(spark, d):
     prior = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.ln(i / 55.0))
@@ -196,6 +240,11 @@ def saturation_rates(spark, d):
     return rounded(H.saturation_rates(scores(spark, d), 1.5), "all_scores", "top1", "several", n=6)
 
 
+@query(with_views("scores", ", t AS (SELECT max(score) AS m FROM long GROUP BY instance_id) SELECT " + ", ".join(f"round(quantile_cont(m, {q}), 6) AS q{n}" for n, q in enumerate((0.5, 0.9, 0.99))) + " FROM t"))
+def top1_quantiles(spark, d):
+    return rounded(H.top1_quantiles(scores(spark, d)), "q0", "q1", "q2", n=6)
+
+
 @query(with_views("scores", "SELECT instance_id, CASE WHEN class_idx < 6 THEN 0 WHEN class_idx < 9 THEN 1 ELSE 2 END AS level, class_idx, round(score, 6) AS score FROM long QUALIFY row_number() OVER (PARTITION BY instance_id, level ORDER BY score DESC, class_idx) = 1"))
 def split_levels(spark, d):
     return rounded(H.split_levels(scores(spark, d), [0] * 6 + [1] * 3 + [2]), "score", n=6)
@@ -223,3 +272,8 @@ def stream_nights_batch(spark, d):
 @query("SELECT label, CAST(i - 1 AS INT) AS d, round(sum(CAST(embedding[i] AS DOUBLE)), 6) AS total, count(*) AS n FROM embeddings, range(1, 65) r(i) GROUP BY ALL")
 def stream_centroids_batch(spark, d):
     return rounded(streams.stream_centroid_sums(table(spark, d, "embeddings")), "total", n=6)
+
+
+@query(CENT + "SELECT label, CAST(i - 1 AS INT) AS d, round(x, 6) AS x FROM c")
+def stream_centroids_finish(spark, d):
+    return rounded(streams.stream_centroids(streams.stream_centroid_sums(table(spark, d, "embeddings"))).select("label", F.posexplode("vector").alias("d", "x")), "x", n=6)

@@ -33,8 +33,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def prepared_cache(df: DataFrame, source: str, args: dict, base: str) -> DataFrame:
-    """The frame as stored under a key of source and arguments; written on the first call."""
-    key = hashlib.sha1(json.dumps({"source": source, **args}, sort_keys=True).encode()).hexdigest()[:8]
+    """The frame as stored under a key of source, columns (the hierarchy's among them) and arguments; written on the first call."""
+    key = hashlib.sha1(json.dumps({"source": source, "columns": df.columns, "args": args}, sort_keys=True).encode()).hexdigest()[:8]
     path, spark = f"{base}/key={key}", df.sparkSession
     if not exists(spark, f"{path}/_SUCCESS"):
         df.write.mode("overwrite").parquet(path)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import l2_normalise
+from ..operators.metrics import class_f1
+
 
 def stream_confusion(pred: DataFrame) -> DataFrame:
     """Streaming tp, fp, fn for each level and class; complete or update mode."""
@@ -29,6 +32,22 @@ def stream_centroid_sums(emb: DataFrame) -> DataFrame:
     return emb.select("label", F.posexplode("embedding").alias("d", "x")).groupBy("label", "d").agg(F.sum(F.col("x").cast("double")).alias("total"), F.count("*").alias("n"))
 
 
+def stream_centroids(sums: DataFrame) -> DataFrame:
+    """label, vector: normalised means from stream_centroid_sums, as a batch of its result."""
+    rows = sums.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("d", (F.col("total") / F.col("n")).alias("x")))).alias("v"))
+    return rows.select("label", l2_normalise(F.transform("v", lambda p: p["x"])).alias("vector"))
+
+
+def stream_macro_f1(pred: DataFrame, path: str, checkpoint: str):
+    """Starts a query that writes, after each batch, macro-F1 of all levels to path/batch=n."""
+
+    def report(counts: DataFrame, batch: int) -> None:
+        f1 = class_f1(counts).where(F.col("tp") + F.col("fn") > 0)
+        f1.groupBy("level").agg(F.avg("f1").alias("macro_f1")).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return stream_confusion(pred).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(report).trigger(availableNow=True).start()
+
+
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """Takes all that is there now, and returns the result table."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
