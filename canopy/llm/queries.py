@@ -89,11 +89,49 @@ def op10_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold("doc_id", 5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op6_license_scan that SQL expresses."""
+    return op6_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def license_base_sql() -> str:
+    tests = [" AND ".join(f"w{n} = '{w}'" for n, w in enumerate(p.split())) for p in licenses.BASE_PHRASES]
+    places = " UNION ALL ".join(f"SELECT rid, i - 1 AS place, '{label}' AS label FROM e WHERE {test}" for test, label in zip(tests, licenses.BASE_PHRASES.values(), strict=True))
+    leads = ", ".join(f"lead(w, {n}) OVER o AS w{n}" for n in range(1, max(len(p.split()) for p in licenses.BASE_PHRASES)))
+    return rf"""WITH w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+ u AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w), e AS (SELECT rid, i, w AS w0, {leads} FROM u WINDOW o AS (PARTITION BY rid ORDER BY i)), b AS ({places}),
+ g AS (SELECT rid, count(*) AS n, min(place) AS a, max(place) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM b GROUP BY rid)
+SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z AS last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN g USING (rid)"""
+
+
+def personal_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op7_personal_data that SQL expresses."""
+    return op7_personal_data(spark, sf_dir).select("doc_id", *(f"n_{k}" for k in pii.BASE_KINDS), "base_sha256")
+
+
+def personal_data_base_sql() -> str:
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN reverse({digits})[i]::INT ELSE (2 * reverse({digits})[i]::INT) // 10 + (2 * reverse({digits})[i]::INT) % 10 END)) % 10 = 0"
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        "ip": (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "list_bool_and(list_transform(string_split(m, '.'), lambda x: coalesce(TRY_CAST('0' || ltrim(x, '0') AS HUGEINT) <= 255, false)))"),
+        "card": (r"[0-9](?:[\x20-]?[0-9])+", f"length({digits}) BETWEEN 14 AND 19 AND {luhn}"),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 10 AND 15"),
+    }
+    found = " UNION ALL ".join(
+        f"SELECT rid, {n} AS n, '{k}' AS kind, m, list_sum(list_transform(bs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS a FROM (SELECT rid, ms, bs, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM (SELECT rid, regexp_extract_all(t, '{p}') AS ms, regexp_split_to_array(t, '{p}') AS bs FROM d)) WHERE {ok}"
+        for n, (k, (p, ok)) in enumerate(kinds.items())
+    )
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in kinds)
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), s AS ({found})
+SELECT doc_id, {counts}, sha256(coalesce(string_agg(kind || ':' || CAST(CAST(a AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(a + length(m) AS BIGINT) AS VARCHAR), ',' ORDER BY a, n), '')) AS base_sha256 FROM d LEFT JOIN s USING (rid) GROUP BY rid, doc_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_jaccard_join, op2_token_counts, op3_quality_classifier, op4_quality_rules, op5_decontaminate, op6_license_scan, op7_personal_data, op8_main_text, op9_byte_bpe, op10_ppm_score]
+    made = [op1_jaccard_join, op2_token_counts, op3_quality_classifier, op4_quality_rules, op5_decontaminate, op6_license_scan, op7_personal_data, op8_main_text, op9_byte_bpe, op10_ppm_score, license_base, personal_data_base]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL that DuckDB runs on the same tables; what is left out is tested against brute force."""
-    return {"op4_quality_rules": quality_rules.sql()}
+    return {"op4_quality_rules": quality_rules.sql(), "license_base": license_base_sql(), "personal_data_base": personal_data_base_sql()}
