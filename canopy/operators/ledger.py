@@ -14,13 +14,16 @@ from ..sources.scratch import stored
 
 
 def flatten_config(runs: DataFrame, column: str = "config", depth: int = 16) -> DataFrame:
-    """run_id, key, value from a JSON object; nested objects give dotted keys, down to `depth` levels (an error beyond)."""
+    """run_id, key, value from a JSON object; nested objects give dotted keys, down to `depth` levels (an error beyond).
+
+    A string that holds a JSON object counts as one; an empty object is a value.
+    """
     parsed = F.from_json("value", "map<string,string>")
     rows, out = runs.select("run_id", F.lit("").alias("key"), F.col(column).alias("value")), []
     for _ in range(depth):
         name = F.when(F.col("key") == "", F.col("k")).otherwise(F.concat_ws(".", "key", "k"))
         inner = rows.select("run_id", "key", F.explode(parsed).alias("k", "value")).select("run_id", name.alias("key"), "value")
-        nested = F.coalesce(F.startswith("value", F.lit("{")) & (F.trim("value") != "{}"), F.lit(False))
+        nested = F.coalesce(F.startswith("value", F.lit("{")) & (F.size(parsed) > 0), F.lit(False))
         out.append(inner.where(~nested))
         rows = inner.where(nested)
         if rows.isEmpty():
