@@ -86,16 +86,23 @@ def build_hierarchy(df: DataFrame, levels: Sequence[str], key: str) -> DataFrame
 
 
 def hierarchy_nested(hier: DataFrame, levels: Sequence[str]) -> DataFrame:
-    """top, and a map from mid to its sorted leaves."""
-    leaf, mid, top = levels
-    inner = hier.groupBy(top, mid).agg(F.array_sort(F.collect_set(leaf)).alias("leaves"))
-    return inner.groupBy(top).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(mid, "leaves")))).alias("children"))
+    """The coarsest key, and maps from each coarser key to its finer ones, down to sorted lists of leaves."""
+    leaf, *coarse = levels
+    down = coarse[::-1]
+    rows = hier.groupBy(*down).agg(F.array_sort(F.collect_set(leaf)).alias("children"))
+    for depth in range(len(down) - 1, 0, -1):
+        pairs = F.collect_list(F.struct(down[depth], "children"))
+        rows = rows.groupBy(*down[:depth]).agg(F.map_from_entries(F.array_sort(pairs) if depth == len(down) - 1 else pairs).alias("children"))
+    return rows
 
 
 def hierarchy_from_nested(doc: DataFrame, levels: Sequence[str]) -> DataFrame:
-    leaf, mid, top = levels
-    rows = doc.select(top, F.explode("children").alias(mid, "_leaves"))
-    return rows.select(F.explode("_leaves").alias(leaf), mid, top)
+    leaf, *coarse = levels
+    top, *down = coarse[::-1]
+    rows = doc.select(top, "children")
+    for n, level in enumerate(down):
+        rows = rows.select(top, *down[:n], F.explode("children").alias(level, "children"))
+    return rows.select(F.explode("children").alias(leaf), *coarse)
 
 
 def parent_map(hier: DataFrame, vocab: DataFrame, levels: Sequence[str], strict: bool = False) -> DataFrame:

@@ -43,6 +43,14 @@ def test_vocabulary_is_in_string_order(spark):
     assert [(r["class"], r["idx"]) for r in C.build_vocab(df, ["species"]).orderBy("idx").collect()] == [("10", 0), ("9", 1)]
 
 
+def test_nested_hierarchies_of_any_depth(spark):
+    rows = [(f"s{i}", f"g{i // 2}", f"f{i // 4}", f"o{i // 8}") for i in range(16)]
+    names = ["s", "g", "f", "o"]
+    for n in (2, 3, 4):
+        hier = spark.createDataFrame(rows, names).select(*names[:n]).distinct()
+        assert C.hierarchy_from_nested(C.hierarchy_nested(hier, names[:n]), names[:n]).exceptAll(hier).count() == 0
+
+
 def test_conflicting_parents_raise(spark):
     hier = spark.createDataFrame([("a", "g1"), ("a", "g2"), ("b", "g1")], "species string, genus string")
     vocab = C.build_vocab(hier, ["species", "genus"])
