@@ -11,7 +11,7 @@ fourth run. Runs are repeated until a pair at the threshold meets with `recall`
 table's were at most: those for three splits take place at once, more follow if a bucket was split again. Runs share
 coordinates further down and so aren't independent; hence their number comes from playing them through.
 
-Comparing is exact, on whole sets read anew from the texts. A bucket over `block` sets is cut into blocks and each
+Comparing is exact, on whole sets read anew from the texts, which are shuffled in compressed form. A bucket over `block` sets is cut into blocks and each
 pair of blocks is a task of its own. A pair counts only in the first of the buckets that its two sets share, so links
 are counted once and no table of pairs exists. Each task gives a row for each set: its links there, and one edge to
 the smallest set that it is connected to there; classes are the connected components of those edges.
@@ -46,12 +46,12 @@ SECOND = 0.25  # how often a bucket selects a second coordinate
 MEMO_WORDS = 400_000
 
 
-def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
-    """The distinct 64-bit shingle hashes of a text, sorted."""
+def shingle_set(text: str | bytes, words: int = WORDS) -> np.ndarray:
+    """The distinct 64-bit shingle hashes of a text (or its UTF-8), sorted."""
     import xxhash
 
     memo = worker_memo("word_hash")
-    tokens = text.encode().split()
+    tokens = (text.encode() if isinstance(text, str) else text).split()
     if not tokens:
         return np.empty(0, np.uint64)
     try:
@@ -94,6 +94,19 @@ def name_of(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
+def packed(text: Column) -> Column:
+    """The text's UTF-8 in compressed form: what the shuffles of whole texts carry."""
+
+    @F.pandas_udf("binary")
+    def of(texts: pd.Series) -> pd.Series:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        return pd.Series([squeeze(t.encode()) for t in texts], dtype=object)
+
+    return of(text)
+
+
 def sketches(docs: DataFrame, id_column: str) -> DataFrame:
     """id, name of the set (null without words) and its coordinates."""
 
@@ -244,7 +257,10 @@ def components(alike: np.ndarray) -> np.ndarray:
 
 def compare(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """One pair of blocks of a bucket: links that count here, and the smallest set connected to each."""
-    sets = [shingle_set(t) for t in group["text"]]
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    sets = [shingle_set(unpack(t)) for t in group["text"]]
     ours = np.array([name_of(s) == n for s, n in zip(sets, group["name"], strict=True)], bool)
     group, sets = group[ours], [s for s, ok in zip(sets, ours, strict=True) if ok]
     order = np.argsort(group["name"].to_numpy(), kind="stable")
@@ -269,7 +285,7 @@ def compare(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
 def linked(docs: DataFrame, sets: DataFrame, leaves: DataFrame, threshold: float, block: int, id_column: str) -> DataFrame:
     """name, links, least: for each pair of blocks, the sets with a link there."""
     mine = leaves.groupBy("name").agg(F.collect_list(F.struct("leaf", "n")).alias("found")).join(sets.select("name", "first_id", "copies"), "name")
-    texts = docs.select(F.col(id_column).alias("first_id"), whole_text().alias("text"))
+    texts = docs.select(F.col(id_column).alias("first_id"), packed(whole_text()).alias("text"))
     rows = mine.join(texts, "first_id").select("name", "copies", "text", F.col("found.leaf").alias("leaves"), F.explode("found").alias("at"))
     blocks = F.ceil(F.col("at.n") / block).cast("long")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("name", F.lit("block")), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
