@@ -29,6 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .base import by_rows, stored, whole_text, worker_memo
 
@@ -186,33 +187,31 @@ def short_of(shared) -> Short:
 
 
 def asked(group: pd.DataFrame) -> pd.DataFrame:
-    """batch, gram, word: the distinct grams and words of a batch of texts."""
+    """batch, key, word: the distinct grams (the number itself), longest contexts (-1 less the context) and words of a batch of texts."""
     texts = [t.encode() for t in group["_text"]]
     found = [pd.unique(g) for _, g in blocks_of(texts)]
     each = pd.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+    keys = np.concatenate([each, -1 - pd.unique(each >> 8)])
     words: set[bytes] = set()
     for raw in texts:
         words.update(words_of(raw))
-    gram = pd.arrays.IntegerArray(np.concatenate([each, np.zeros(len(words), np.int64)]), np.arange(len(each) + len(words)) >= len(each))
-    return pd.DataFrame({"batch": group["batch"].iloc[0], "gram": gram, "word": pd.concat([pd.Series([None] * len(each), dtype=object), strings([*words])], ignore_index=True)})
+    key = pd.arrays.IntegerArray(np.concatenate([keys, np.zeros(len(words), np.int64)]), np.arange(len(keys) + len(words)) >= len(keys))
+    return pd.DataFrame({"batch": group["batch"].iloc[0], "key": key, "word": pd.concat([pd.Series([None] * len(keys), dtype=object), strings([*words])], ignore_index=True)})
 
 
 def answered(requests: DataFrame, counts: DataFrame) -> DataFrame:
-    """batch, gram, word, value, seen: for a word its count; for a gram log10 of its probability in the longest context,
-    or of the escape there with the symbols seen; words and contexts that training lacks have no row.
-
-    One join on (context, word), one of which is null: a request meets its context's counts, at most 256.
-    """
-    symbol = F.col("gram").bitwiseAND(255).cast("short")
-    of_context = counts.where("gram is not null").groupBy(F.shiftright("gram", 8).alias("context")).agg(F.collect_list(F.struct(symbol.alias("symbol"), "n")).alias("found"), (F.sum("n") + F.count("*")).alias("size"))
-    kind = of_context.schema["found"].dataType
-    of_word = counts.where("word is not null").select(F.lit(None).cast("long").alias("context"), F.lit(None).cast(kind).alias("found"), F.col("n").alias("size"), F.col("word").alias("of_word"))
-    known = of_context.withColumn("of_word", F.lit(None).cast("string")).unionByName(of_word).withColumnRenamed("context", "of_context")
-    met = requests.withColumn("context", F.shiftright("gram", 8)).join(known, F.col("context").eqNullSafe(F.col("of_context")) & F.col("word").eqNullSafe(F.col("of_word")))
-    mine = F.get(F.filter("found", lambda f: f["symbol"] == symbol), F.lit(0))["n"]
-    value = F.when(F.col("word").isNotNull(), F.col("size").cast("double")).otherwise(F.log10(F.coalesce(mine, F.size("found").cast("long")) / F.col("size")))
-    seen = F.when(F.col("word").isNull() & mine.isNull(), F.transform("found", lambda f: f["symbol"]))
-    return met.select("batch", "gram", "word", value.alias("value"), seen.alias("seen"))
+    """batch, key, word, value, seen: for a gram log10 of its probability in the longest context, for a context log10 of
+    its escape and the symbols seen there, for a word its count; what training lacks has no row. One join for all three."""
+    grams_ = counts.where("gram is not null").select("gram", F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).cast("short").alias("symbol"), "n")
+    context = Window.partitionBy("context")
+    size = F.sum("n").over(context) + F.count("*").over(context)
+    no_word, none = F.lit(None).cast("string").alias("known_word"), F.lit(None).cast("array<short>").alias("seen")
+    of_gram = grams_.select(F.col("gram").alias("known"), no_word, F.log10(F.col("n") / size).alias("value"), none)
+    escape = F.log10(F.count("*") / (F.sum("n") + F.count("*")))
+    of_context = grams_.groupBy("context").agg(escape.alias("value"), F.collect_list("symbol").alias("seen")).select((-1 - F.col("context")).alias("known"), no_word, "value", "seen")
+    of_word = counts.where("word is not null").select(F.lit(None).cast("long").alias("known"), F.col("word").alias("known_word"), F.col("n").cast("double").alias("value"), none)
+    known = of_gram.unionByName(of_context).unionByName(of_word)
+    return requests.join(known, F.col("key").eqNullSafe(F.col("known")) & F.col("word").eqNullSafe(F.col("known_word"))).select("batch", "key", "word", "value", "seen")
 
 
 def score_texts(docs: DataFrame, train: Column, id_column: str = "doc_id") -> DataFrame:
@@ -232,19 +231,23 @@ def score_texts(docs: DataFrame, train: Column, id_column: str = "doc_id") -> Da
         short, raws = short_of(shared), [t.encode() for t in group["_text"]]
         of_word = answers["word"].notna().to_numpy()
         count = dict(zip((w.encode() for w in answers["word"][of_word]), answers["value"][of_word], strict=True))
-        of_gram = answers[~of_word]
-        value = of_gram["value"].to_numpy(np.float64).copy()
-        keys = of_gram["gram"].to_numpy(np.int64)
-        for n in np.flatnonzero(of_gram["seen"].notna().to_numpy()):
-            value[n] = short.excluding(int(keys[n]), value[n], of_gram["seen"].iat[n])
+        rest = answers[~of_word]
+        keys, value = rest["key"].to_numpy(np.int64), rest["value"].to_numpy(np.float64)
         place, scores = pd.Index(keys), np.zeros(len(raws))
+        excluded: dict[int, float] = {}  # grams whose context is known, but not with their symbol
         for rows, found in blocks_of(raws):
             where, each = pd.factorize(found)
             at = place.get_indexer(each)
             code = value[at] if len(value) else np.zeros(len(each))
-            new = at < 0
-            if new.any():
-                code[new] = short.lengths(each[new])
+            new = np.flatnonzero(at < 0)
+            met = place.get_indexer(-1 - (each[new] >> 8))
+            if (met < 0).any():
+                code[new[met < 0]] = short.lengths(each[new[met < 0]])
+            for n, of_context in zip(new[met >= 0], met[met >= 0], strict=True):
+                gram = int(each[n])
+                if gram not in excluded:
+                    excluded[gram] = short.excluding(gram, value[of_context], rest["seen"].iat[of_context])
+                code[n] = excluded[gram]
             scores += np.bincount(rows, code[where], len(raws))
         out = []
         for raw in raws:
@@ -253,6 +256,6 @@ def score_texts(docs: DataFrame, train: Column, id_column: str = "doc_id") -> Da
         base = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score"])
         return base.assign(_id=group["_id"].to_numpy(), score=scores)[["_id", "n_tokens", "n_known", "base_score", "score"]]
 
-    answers = answered(texts.applyInPandas(asked, "batch long, gram long, word string"), counts)
+    answers = answered(texts.applyInPandas(asked, "batch long, key long, word string"), counts)
     scored = texts.cogroup(answers.groupBy("batch")).applyInPandas(score, f"_id {kind}, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("_id").alias(id_column), "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score")
