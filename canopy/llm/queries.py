@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, html_text, jaccard_join, licenses, pii, ppm, quality_knn, quality_rules, token_counts
+from . import byte_bpe, collocations, decontaminate, forced_bpe, hard_negatives, html_text, jaccard_join, licenses, pii, ppm, quality_knn, quality_rules, token_counts
 from .base import documents, fold
 
 #: Rows of an Arrow batch: keeps a batch of very long texts small.
@@ -89,6 +89,24 @@ def op10_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold("doc_id", 5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0, id_column="vec_id", vector_column="embedding")
+
+
+def op12_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    coded = forced_bpe.encode(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+    listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return coded.select("doc_id", "n_tokens", F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op6_license_scan that SQL expresses."""
     return op6_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -128,10 +146,10 @@ SELECT doc_id, {counts}, sha256(coalesce(string_agg(kind || ':' || CAST(CAST(a A
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_jaccard_join, op2_token_counts, op3_quality_classifier, op4_quality_rules, op5_decontaminate, op6_license_scan, op7_personal_data, op8_main_text, op9_byte_bpe, op10_ppm_score, license_base, personal_data_base]
+    made = [op1_jaccard_join, op2_token_counts, op3_quality_classifier, op4_quality_rules, op5_decontaminate, op6_license_scan, op7_personal_data, op8_main_text, op9_byte_bpe, op10_ppm_score, op11_hard_negatives, op12_forced_bpe, op13_collocations, license_base, personal_data_base]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL that DuckDB runs on the same tables; what is left out is tested against brute force."""
-    return {"op4_quality_rules": quality_rules.sql(), "license_base": license_base_sql(), "personal_data_base": personal_data_base_sql()}
+    return {"op4_quality_rules": quality_rules.sql(), "op11_hard_negatives": hard_negatives.sql(), "op13_collocations": collocations.sql(), "license_base": license_base_sql(), "personal_data_base": personal_data_base_sql()}
