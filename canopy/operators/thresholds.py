@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ordering import prefix_sum, quantiles
+from ..functions.scans import affine_scan, places
+from ..sources.scratch import stored
 from .metrics import macro_f1, rate
 
 
@@ -164,24 +166,27 @@ def level_scores(pred: DataFrame) -> DataFrame:
     return macro_f1(pred).join(ranking.select("level", "auroc", (F.col("n_pos") + F.col("n_neg")).alias("n")), "level")
 
 
-def knee_point(log: DataFrame, decay: float, tol: float) -> DataFrame:
-    """Each run's largest x whose debiased moving average is at most tol times the least. Ordered within one run's log."""
-    seq = log.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("s"))
-    start = F.expr("named_struct('m', 0D, 'w', 1D, 'out', cast(array() as array<struct<x:double,y:double>>))")
+def knee_point(log: DataFrame, decay: float, tol: float, safety: float = 0.75) -> DataFrame:
+    """run_id, knee, recommended: each run's largest x whose debiased moving average is at most tol times the least, and a
+    safe share of it.
 
-    def step(a: Column, p: Column) -> Column:
-        m, w = a["m"] * decay + p["y"] * (1 - decay), a["w"] * decay
-        return F.struct(m.alias("m"), w.alias("w"), F.concat(a["out"], F.array(F.struct(p["x"].cast("double").alias("x"), (m / (1 - w)).alias("y")))).alias("out"))
-
-    smooth = seq.select("run_id", F.aggregate("s", start, step, lambda a: a["out"]).alias("s"))
-    least = F.array_min(F.transform("s", lambda p: p["y"]))
-    return smooth.select("run_id", F.array_max(F.transform(F.filter("s", lambda p: p["y"] <= least * tol), lambda p: p["x"])).alias("knee"))
+    The moving average is a recurrence, scanned in blocks: a run of any length is many tasks.
+    """
+    rows = places(log.select("run_id", "x", "y"), ["run_id"], ["x", "y"])
+    rows = rows.select("run_id", "n", F.col("x").cast("double").alias("x"), F.lit(decay).alias("a"), (F.col("y") * (1 - decay)).alias("c"))
+    smooth = stored(affine_scan(rows, ["run_id"], ["x"]).select("run_id", "x", (F.col("s") / (1 - F.pow(F.lit(decay), F.col("n") + 1))).alias("y")))
+    least = smooth.groupBy(F.col("run_id").alias("_run")).agg(F.min("y").alias("least"))
+    low = F.max(F.when(F.col("y") <= F.col("least") * tol, F.col("x"))).alias("knee")
+    return smooth.join(least, F.col("run_id").eqNullSafe(F.col("_run"))).groupBy("run_id").agg(low).withColumn("recommended", F.col("knee") * safety)
 
 
 def nonfinite_runs(log: DataFrame, longest: int) -> DataFrame:
-    """Each run's rows without a finite value and whether so many follow one another."""
-    bad = F.col("value").isNull() | F.isnan("value")
-    w = Window.partitionBy("run_id").orderBy("x")
-    islands = log.withColumn("bad", bad).withColumn("island", F.sum((~bad).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    per = islands.groupBy("run_id", "island").agg(F.count_if("bad").alias("n"))
-    return per.groupBy("run_id").agg(F.sum("n").alias("skipped"), F.max(F.col("n") >= longest).alias("aborted"))
+    """run_id, skipped, aborted: each run's rows without a finite value, and whether so many follow one another.
+
+    How many bad rows end at a row is a recurrence (one more after a bad row, none after a good one), scanned in blocks.
+    """
+    value = F.col("value").cast("double")
+    bad = (value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))).cast("int")
+    rows = places(log.select("run_id", "x", bad.alias("bad")), ["run_id"], ["x", "bad"])
+    streaks = affine_scan(rows.select("run_id", "n", F.col("bad").alias("a"), F.col("bad").alias("c"), "bad"), ["run_id"], ["bad"])
+    return streaks.groupBy("run_id").agg(F.sum("bad").alias("skipped"), (F.max("s") >= longest).alias("aborted"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scans import places
 from ..operators import metrics as E
 from ..operators import thresholds as T
 from .registry import query
@@ -291,12 +292,29 @@ def level_scores(spark, d):
 
 @query("""WITH RECURSIVE log AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY x) AS n FROM (SELECT l_suppkey AS run_id, l_partkey AS x, avg(l_discount) AS y FROM lineitem GROUP BY ALL)),
  m AS (SELECT run_id, n, x, 0.1 * y AS m FROM log WHERE n = 1 UNION ALL SELECT log.run_id, log.n, log.x, 0.9 * m.m + 0.1 * log.y FROM m JOIN log ON log.run_id = m.run_id AND log.n = m.n + 1),
- s AS (SELECT run_id, x, m / (1 - pow(0.9, n)) AS y FROM m) SELECT run_id, max(x)::DOUBLE AS knee FROM s JOIN (SELECT run_id, min(y) AS least FROM s GROUP BY 1) USING (run_id) WHERE y <= least * 1.1 GROUP BY run_id""")
+ s AS (SELECT run_id, x, m / (1 - pow(0.9, n)) AS y FROM m) SELECT run_id, max(x)::DOUBLE AS knee, max(x) * 0.75::DOUBLE AS recommended FROM s JOIN (SELECT run_id, min(y) AS least FROM s GROUP BY 1) USING (run_id) WHERE y <= least * 1.1 GROUP BY run_id""")
 def knee_point(spark, d):
     log = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("run_id"), F.col("l_partkey").alias("x")).agg(F.avg("l_discount").alias("y"))
     return T.knee_point(log, 0.9, 1.1)
 
 
+@query("""WITH log AS (SELECT l_discount::DOUBLE AS y, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_discount) - 1 AS n FROM lineitem),
+ s AS (SELECT b.n, sum(0.01 * pow(0.99, b.n - a.n) * a.y) / (1 - pow(0.99, b.n + 1)) AS y FROM log b JOIN log a ON a.n BETWEEN b.n - 3999 AND b.n GROUP BY b.n) SELECT 1 AS run_id, max(n)::DOUBLE AS knee, max(n) * 0.75::DOUBLE AS recommended FROM s WHERE y <= (SELECT min(y) FROM s) * 1.2""")
+def knee_point_long(spark, d):
+    """All line items as a single run: its length grows with the table."""
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").cast("double").alias("y"))
+    log = places(items, [], ["l_orderkey", "l_linenumber", "y"], "x").select(F.lit(1).alias("run_id"), "x", "y")
+    return T.knee_point(log, 0.99, 1.2)
+
+
+@query("""WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS x, l_tax < 0.03 OR l_discount > 0.05 AS bad FROM lineitem), i AS (SELECT bad, sum((NOT bad)::INT) OVER (ORDER BY x) AS island FROM l)
+SELECT 1 AS run_id, CAST(sum(n) AS BIGINT) AS skipped, max(n) >= 11 AS aborted FROM (SELECT island, count(*) FILTER (bad) AS n FROM i GROUP BY ALL)""")
+def nonfinite_runs_long(spark, d):
+    """All line items as a single run."""
+    bad = (F.col("l_tax") < 0.03) | (F.col("l_discount") > 0.05)
+    return T.nonfinite_runs(table(spark, d, "lineitem").select(F.lit(1).alias("run_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("x"), F.when(~bad, F.col("l_quantity")).alias("value")), 11)
+
+
 @query("""WITH l AS (SELECT user_id AS run_id, event_id AS x, CASE WHEN event_id % 3 = 0 OR value > 60 THEN NULL ELSE value END AS value FROM events), i AS (SELECT run_id, value IS NULL AS bad, sum((value IS NOT NULL)::INT) OVER (PARTITION BY run_id ORDER BY x) AS island FROM l)
 SELECT run_id, CAST(sum(n) AS BIGINT) AS skipped, max(n) >= 3 AS aborted FROM (SELECT run_id, island, count(*) FILTER (bad) AS n FROM i GROUP BY ALL) GROUP BY run_id""")
 def nonfinite_runs(spark, d):
