@@ -10,9 +10,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.ordering import hash_order
+from ..functions.scans import places
 
 
 def filter_catalogue(df: DataFrame, levels: Sequence[str], remove_in: Sequence[str] = (), keep_in: Sequence[str] = (), min_count: int = 0, coarse_filter: Sequence[str] = ()) -> DataFrame:
@@ -74,9 +74,8 @@ def long_classes(df: DataFrame, levels: Sequence[str]) -> DataFrame:
 
 
 def build_vocab(df: DataFrame, levels: Sequence[str]) -> DataFrame:
-    """level, class, idx: distinct keys in string order. A class table, so one window a level."""
-    place = F.row_number().over(Window.partitionBy("level").orderBy("class")) - 1
-    return long_classes(df, levels).distinct().withColumn("idx", place)
+    """level, class, idx: distinct keys in string order, numbered by ranges of keys."""
+    return places(long_classes(df, levels).distinct(), ["level"], ["class"], "idx").withColumn("idx", F.col("idx").cast("int"))
 
 
 def build_hierarchy(df: DataFrame, levels: Sequence[str], key: str) -> DataFrame:
@@ -151,7 +150,8 @@ def invert_hierarchy(hier: DataFrame, levels: Sequence[str]) -> DataFrame:
 def flatten_hierarchy(hier: DataFrame, levels: Sequence[str]) -> DataFrame:
     """level, class in order: coarse levels first, then by key; position from 0."""
     order = F.create_map(*(F.lit(x) for n, c in enumerate(reversed(levels)) for x in (c, n)))[F.col("level")]
-    return long_classes(hier, levels).distinct().withColumn("position", F.row_number().over(Window.orderBy(order, "class")) - 1)
+    rows = long_classes(hier, levels).distinct().withColumn("_depth", order)
+    return places(rows, [], ["_depth", "class"], "position").select("level", "class", F.col("position").cast("int").alias("position"))
 
 
 def level_of(keys: DataFrame, hier: DataFrame, levels: Sequence[str]) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+import json
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,22 +14,53 @@ from ..functions.ordering import bounds
 from ..sources.scratch import stored
 
 
-def flatten_config(runs: DataFrame, column: str = "config", depth: int = 16) -> DataFrame:
-    """run_id, key, value from a JSON object; nested objects give dotted keys, down to `depth` levels (an error beyond).
+class Number(str):
+    """A number as it is written."""
 
-    A string that holds a JSON object counts as one; an empty object is a value.
+
+def written(v) -> str:
+    """A JSON value as text, numbers as they were."""
+    if isinstance(v, Number):
+        return str(v)
+    if isinstance(v, list):
+        return f"[{','.join(map(written, v))}]"
+    if isinstance(v, dict):
+        return f"{{{','.join(f'{written(k)}:{written(x)}' for k, x in v.items())}}}"
+    return json.dumps(v, ensure_ascii=False)
+
+
+def leaves(text: str | None) -> list[tuple[str, str | None]]:
+    """(dotted key, value) of a JSON object's leaves, as they are written; none if it isn't an object."""
+    try:
+        root = json.loads(text or "", parse_float=Number, parse_int=Number, parse_constant=Number)
+    except ValueError:
+        return []
+    out, left = [], [("", root)] if isinstance(root, dict) else []
+    while left:
+        at, node = left.pop()
+        for k, v in node.items():
+            key = f"{at}.{k}" if at else k
+            if isinstance(v, dict) and v:
+                left.append((key, v))
+            else:
+                out.append((key, None if v is None else str(v) if isinstance(v, str) else written(v)))
+    return out
+
+
+def flatten_config(runs: DataFrame, column: str = "config") -> DataFrame:
+    """run_id, key, value from a JSON object; nested objects give dotted keys, at any depth, in one pass over the runs.
+
+    An empty object is a value, as are arrays (as JSON) and null; what isn't a JSON object gives no rows.
     """
-    parsed = F.from_json("value", "map<string,string>")
-    rows, out = runs.select("run_id", F.lit("").alias("key"), F.col(column).alias("value")), []
-    for _ in range(depth):
-        name = F.when(F.col("key") == "", F.col("k")).otherwise(F.concat_ws(".", "key", "k"))
-        inner = rows.select("run_id", "key", F.explode(parsed).alias("k", "value")).select("run_id", name.alias("key"), "value")
-        nested = F.coalesce(F.startswith("value", F.lit("{")) & (F.size(parsed) > 0), F.lit(False))
-        out.append(inner.where(~nested))
-        rows = inner.where(nested)
-        if rows.isEmpty():
-            return reduce(DataFrame.unionByName, out)
-    raise ValueError(f"configurations are nested deeper than {depth} levels")
+    kind = runs.schema["run_id"].dataType.simpleString()
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(run, *leaf) for run, text in zip(frame["run_id"], frame["config"], strict=True) for leaf in leaves(text)]
+            yield pd.DataFrame(rows, columns=["run_id", "key", "value"], dtype=object)
+
+    found = runs.select(F.col("run_id").cast("string").alias("run_id"), F.col(column).cast("string").alias("config")).mapInPandas(of, "run_id string, key string, value string")
+    return found.select(F.col("run_id").cast(kind).alias("run_id"), "key", "value")
 
 
 def config_delta(runs: DataFrame, baseline: object, ignore: Sequence[str] = ()) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ordering import hash_of, hash_order, hash_place
+from ..functions.scans import running_sums
 from ..sources.scratch import stored
 from .catalogue import derive_coarse, filter_catalogue, limit_random
 from .metrics import class_counts
@@ -134,13 +135,13 @@ def restrict_novel(df: DataFrame, scoreable: DataFrame, leaf: str, most_known: f
 
 
 def weighted_resample(df: DataFrame, level: str, power: float, n: int, key: str, seed: object = 0) -> DataFrame:
-    """n rows with replacement, classes in proportion to count ** (1 - power): quotas by cumulative floor, then each
-    row of a class equally often but for the first few by hash."""
-    sizes = class_counts(df, level).withColumn("mass", F.pow(F.col("n").cast("double"), F.lit(1.0 - power)))
-    run = Window.orderBy("class").rowsBetween(Window.unboundedPreceding, 0)  # the class table
+    """n rows with replacement, classes in proportion to count ** (1 - power): quotas by cumulative floor over ranges of
+    classes, then each row of a class equally often but for the first few by hash."""
+    sizes = class_counts(df, level).withColumn("mass", F.pow(F.col("n").cast("double"), F.lit(1.0 - power)).cast("decimal(28,10)"))  # sums are exact in any order
     total = sizes.agg(F.sum("mass").alias("total"))
-    cum = sizes.withColumn("cum", F.sum("mass").over(run)).join(F.broadcast(total)).withColumn("upto", F.floor(F.col("cum") / F.col("total") * n + 1e-6))
-    quota = cum.withColumn("quota", F.col("upto") - F.coalesce(F.lag("upto").over(Window.orderBy("class")), F.lit(0))).select(F.col("class").alias(level), "n", "quota")
+    cum = running_sums(sizes, ["class"], ["mass"]).join(F.broadcast(total))  # one row
+    upto = lambda c: F.floor(c.cast("double") / F.col("total").cast("double") * n + 1e-6)
+    quota = cum.select(F.col("class").alias(level), "n", (upto(F.col("cum_mass")) - upto(F.col("cum_mass") - F.col("mass"))).alias("quota"))
     placed = hash_place(df, [level], key, seed).join(quota, level)
     reps = F.floor(F.col("quota") / F.col("n")) + (F.col("_place") <= F.col("quota") % F.col("n")).cast("long")
     return placed.withColumn("_reps", reps).where("_reps > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_reps")))).drop("_reps", "_place", "n", "quota")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalogue as C
+from ..operators import forest as G
 from ..operators import ledger as K
 from ..sources import files
 from ..sources.scratch import scratch_path
@@ -121,6 +122,49 @@ def level_of(spark, d):
     return C.level_of(keys, hier_of(spark, d), LEVELS)
 
 
+#: Reply chains and a tree of parts: parents by halving, so that depths grow with the table.
+FOREST = "WITH RECURSIVE e AS (SELECT 'p' || p_partkey AS child, 'p' || p_partkey // 2 AS parent FROM part WHERE p_partkey > 1 UNION ALL SELECT 'c' || conv_id || '.' || turn, 'c' || conv_id || '.' || (turn - 1) FROM conversations WHERE turn > 1), up AS (SELECT child AS node, parent AS ancestor, 1::BIGINT AS distance FROM e UNION ALL SELECT up.node, e.parent, up.distance + 1 FROM up JOIN e ON up.ancestor = e.child), nodes AS (SELECT child AS node FROM e UNION SELECT parent FROM e), depth AS (SELECT node, coalesce(max(distance), 0) AS depth, coalesce(arg_max(ancestor, distance), node) AS root FROM nodes LEFT JOIN up USING (node) GROUP BY node)\n"
+
+
+def forest_edges(spark, d):
+    part, turn = table(spark, d, "part"), table(spark, d, "conversations")
+    halves = part.where("p_partkey > 1").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("child"), F.expr("concat('p', p_partkey div 2)").alias("parent"))
+    return halves.unionByName(turn.where("turn > 1").select(F.concat(F.lit("c"), F.col("conv_id"), F.lit("."), F.col("turn")).alias("child"), F.concat(F.lit("c"), F.col("conv_id"), F.lit("."), F.col("turn") - 1).alias("parent")))
+
+
+@query(FOREST + "SELECT node, ancestor, distance FROM up")
+def forest_ancestors(spark, d):
+    return G.ancestors(forest_edges(spark, d))
+
+
+@query(FOREST + "SELECT node, depth, root FROM depth")
+def forest_depths(spark, d):
+    return G.depths(forest_edges(spark, d))
+
+
+@query(FOREST + ", h AS (SELECT ancestor AS node, max(distance) AS height FROM up GROUP BY 1) SELECT node, coalesce(height, 0) AS height FROM nodes LEFT JOIN h USING (node)")
+def forest_heights(spark, d):
+    return G.heights(forest_edges(spark, d))
+
+
+@query(FOREST + ", p AS (SELECT node, list(ancestor ORDER BY distance DESC) AS above FROM up GROUP BY node) SELECT node, array_to_string(coalesce(above, []) || [node], '/') AS path FROM nodes LEFT JOIN p USING (node)")
+def forest_paths(spark, d):
+    return G.paths(forest_edges(spark, d)).select("node", F.array_join("path", "/").alias("path"))
+
+
+@query(FOREST + ", p AS (SELECT node, list(ancestor ORDER BY distance DESC) AS above FROM up GROUP BY node) SELECT node, row_number() OVER (ORDER BY coalesce(above, []), node) - 1 AS position FROM nodes LEFT JOIN p USING (node)")
+def forest_flat_list(spark, d):
+    return G.flat_list(forest_edges(spark, d))
+
+
+@query("WITH RECURSIVE e AS (SELECT c_custkey AS child, (c_custkey * c_custkey + 1) % (SELECT max(c_custkey) FROM customer) AS parent FROM customer), up AS (SELECT child AS node, parent AS ancestor FROM e UNION SELECT up.node, e.parent FROM up JOIN e ON up.ancestor = e.child) SELECT DISTINCT CAST(node AS VARCHAR) AS node FROM up WHERE node = ancestor")
+def forest_cycles(spark, d):
+    """Each customer points at another one: most lead to a cycle, some are on one."""
+    c = table(spark, d, "customer")
+    most = c.agg(F.max("c_custkey").alias("most"))
+    return G.cycles(c.crossJoin(F.broadcast(most)).select(F.col("c_custkey").alias("child"), ((F.col("c_custkey") * F.col("c_custkey") + 1) % F.col("most")).alias("parent")))  # one row
+
+
 @query(with_views("catalogue", "SELECT id, leaf FROM catalogue WHERE leaf = '3' OR mid = '3' OR top = '3' ORDER BY md5(CAST(id AS VARCHAR) || '|0'), id LIMIT 50"))
 def taxon_members(spark, d):
     return C.taxon_members(catalogue(spark, d), LEVELS, "3", 50, "id").select("id", "leaf")
