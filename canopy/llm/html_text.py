@@ -1,16 +1,17 @@
 r"""HTML extraction (8): text-to-tag ratios over streamed parser events.
 
-The standard library's parser sends events; block-level tags end a line, and each line remembers its text, the number
-of tags in it, the share of its text inside links, and its element. Elements that never hold main text (menus, headers
-and footers of the page, asides, forms, scripts, styles, hidden ones) are left out. The text-to-tag ratios of the other
-lines are smoothed by a Gaussian and clustered by a threshold (their standard deviation, at most their mean): the lines
+The standard library's parser sends events; block-level tags end a line. Each stretch of characters belongs to the
+element that it stands in, whatever is open when its line ends. Characters in elements that never hold main text (menus,
+headers and footers of the page, asides, forms, scripts, styles, hidden ones) are left out, inside a line as well. A
+line has its stretches, the number of tags in it and how much of its text is inside links. The text-to-tag ratios of the
+lines, links not counted, are smoothed by a Gaussian and clustered by a threshold (their standard deviation, at most their mean): the lines
 over it are the content cluster.
 
-The cluster decides twice. An element whose class or id names a menu, advert, notice, comment list and the like goes,
-unless it holds at least half of the cluster's text, and the article or main element if there is one: then it is the
-frame of the content. And the innermost article or main element, else container, that holds nearly all of the cluster's text is the content region. In an article or main
-element all lines stay, short ones as well; elsewhere those from the first to the last line of the cluster, without
-lists of links that aren't in the cluster.
+The cluster decides three times. An element whose class or id names a menu, advert, notice, comment list and the like
+goes, unless it holds at least half of the cluster's text, and the article or main element if there is one: then it is
+the frame of the content. Lines that are mostly links, several in a row and at most half of them in the cluster, are a
+menu and go, in an article too. And beside an article or main element only lines of the cluster stay. All else stays,
+short lines as well: a page without such an element loses nothing by where its lines stand.
 
 Elements are numbers with a parent each, so that work and memory are linear in the page, however deep it is nested.
 
@@ -22,8 +23,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -36,7 +38,7 @@ BLOCKS = set("address article aside blockquote body br caption center dd details
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = set("head title script style noscript template iframe object svg canvas nav footer aside form button select textarea input dialog menu audio video".split())
 #: Whole names (of class or id) that tell of something else than main text, with what may stand before and after.
-BEFORE = "site page global main top bottom left right primary secondary post article js block"
+BEFORE = "site page global main top bottom left right primary secondary post article js block user reader visitor customer google email inline sticky mobile desktop"
 NAMES = (
     r"ads?|advert\w*|adsense|adbox|sponsor(?:ed|s|ship)?|promo(?:tion)?s?|banners?|nav|navbar|navigation|menus?|breadcrumbs?|masthead|footer|sidebar|aside|widgets?|comments?|commentlist|disqus|replies|respond|"
     r"cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend(?:ed|ations?)|pagination|pager|toolbar|copyright|search"
@@ -45,20 +47,30 @@ AFTER = "area list bar box wrapper wrap container section block left right top b
 
 
 def whole_name(names: str) -> re.Pattern:
-    return re.compile(rf"(?:(?:{'|'.join(BEFORE.split())})[-_])*(?:{names})(?:[-_]?(?:{'|'.join(AFTER.split())}))*")
+    return re.compile(rf"(?:(?:{'|'.join(BEFORE.split())})[-_])*(?:{names})(?:[-_]?(?:{'|'.join(AFTER.split())}|{names}))*")
 
 
 NAMED, HEADER = whole_name(NAMES), whole_name("header|head")
 ROLES = set("navigation banner contentinfo complementary search alert dialog form menu menubar toolbar".split())
-#: Elements that can be the content region: an article or main element first, else the innermost of the others.
-REGIONS = set("article main html body div section td center".split())
+#: So many lines in a row that are mostly links are a menu, inside an article or main element and elsewhere.
+MENU_INSIDE, MENU = 3, 2
 #: An end tag closes these, when their kind follows without one.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PARAGRAPH_ENDS = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 
+class Line(NamedTuple):
+    parts: list[tuple[str, int]]  # text and its element
+    tags: int
+    linked: int
+    element: int  # the innermost block-level one
+
+    def text(self, gone: Sequence[bool] = ()) -> str:
+        return " ".join("".join(t for t, e in self.parts if not (gone and gone[e])).split())
+
+
 class Lines(HTMLParser):
-    """Collects (text, tags, link characters, element) for each line, and each element's parent and kind."""
+    """Collects the page's lines, and each element's parent and kind."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -67,14 +79,13 @@ class Lines(HTMLParser):
         self.stack = [0]
         self.blocks: list[int] = []  # depths of the open block-level elements
         self.open: Counter = Counter()
-        self.lines: list[tuple[str, int, int, int]] = []
-        self.parts: list[str] = []
+        self.lines: list[Line] = []
+        self.parts: list[tuple[str, int]] = []
         self.tags = self.linked = 0
 
     def end_line(self):
-        text = " ".join("".join(self.parts).split())
-        if text:
-            self.lines.append((text, self.tags, self.linked, self.stack[-1]))
+        if any(not t.isspace() for t, _ in self.parts):
+            self.lines.append(Line(self.parts, self.tags, self.linked, self.stack[self.blocks[-1]] if self.blocks else 0))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def pop_to(self, depth: int):
@@ -104,14 +115,14 @@ class Lines(HTMLParser):
         return False, any(NAMED.fullmatch(n) or (not inside and HEADER.fullmatch(n)) for n in names)
 
     def handle_starttag(self, tag, attrs):
-        block = tag in BLOCKS
-        if block:
+        block, left_out = tag in BLOCKS, self.out[self.stack[-1]]
+        if block and not left_out:
             self.end_line()
         if tag in PARAGRAPH_ENDS:
             self.close_tag({"p"})
         if tag in CLOSES:
             self.close_tag(CLOSES[tag])
-        self.tags += not block
+        self.tags += not block and not left_out
         if tag in VOID:
             return
         out, suspect = self.kind(tag, attrs)
@@ -128,6 +139,8 @@ class Lines(HTMLParser):
         """Closes an open element of these kinds, unless a container stands between."""
         for depth in reversed(self.blocks):
             name = self.tag[self.stack[depth]]
+            if self.out[self.stack[-1]] and not self.out[self.stack[depth]]:
+                return None
             if name in kinds:
                 return self.pop_to(depth)
             if name != "p":
@@ -140,7 +153,7 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in BLOCKS:
+        if tag in BLOCKS and not self.out[self.stack[-1]]:
             self.end_line()
         if self.open[tag] > 0:
             depth = len(self.stack) - 1
@@ -149,9 +162,11 @@ class Lines(HTMLParser):
             self.pop_to(depth)
 
     def handle_data(self, data):
-        self.parts.append(data)
-        if self.open["a"] > 0:
-            self.linked += len(data.strip())
+        element = self.stack[-1]
+        if not self.out[element]:
+            self.parts.append((data, element))
+            if self.open["a"] > 0:
+                self.linked += len(data.strip())
 
 
 def smooth(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -161,53 +176,54 @@ def smooth(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(np.pad(values, reach, mode="edge"), kernel, mode="valid")
 
 
-def cluster(lines: list[tuple[str, int, int, int]]) -> np.ndarray:
-    """Whether each line is over the threshold of the smoothed text-to-tag ratios."""
-    smoothed = smooth(np.array([len(text) / max(1, tags) for text, tags, *_ in lines], float))
+def cluster(lines: Sequence[Line], texts: Sequence[str]) -> np.ndarray:
+    """Whether each line is over the threshold of the smoothed ratios of text outside of links to tags."""
+    smoothed = smooth(np.array([max(0, len(text) - x.linked) / max(1, x.tags) for x, text in zip(lines, texts, strict=True)], float))
     return smoothed >= min(smoothed.std(), smoothed.mean())
 
 
-def main_text(html: str, hold: float = 0.9) -> str:
+def menus(links: Sequence[bool], inside: Sequence[bool], dense: Sequence[bool]) -> list[bool]:
+    """Which lines are in a run of enough lines of links, at most half of them in the cluster."""
+    out, start = [False] * len(links), 0
+    for n in range(len(links) + 1):
+        if n == len(links) or links[n] != links[start] or inside[n] != inside[start]:
+            run = n - start if start < n and links[start] else 0
+            if run and run >= (MENU_INSIDE if inside[start] else MENU) and 2 * sum(dense[start:n]) <= run:
+                out[start:n] = [True] * run
+            start = n
+    return out
+
+
+def main_text(html: str) -> str:
     page = Lines()
     page.feed(html)
     page.close()
-    size = len(page.tag)
-
-    def held_by(lines: list[tuple[str, int, int, int]], chosen: np.ndarray) -> list[int]:
-        """Characters of chosen lines in each element."""
-        held = [0] * size
-        for (text, _, _, element), c in zip(lines, chosen, strict=True):
-            held[element] += len(text) * bool(c)
-        for element in range(size - 1, 0, -1):
-            held[page.parent[element]] += held[element]
-        return held
-
-    lines = [x for x in page.lines if not page.out[x[3]]]
+    size, lines = len(page.tag), page.lines
     if not lines:
         return ""
+    frames = [page.tag[e] in ("article", "main") and not page.out[e] for e in range(size)]
+    gone = [False] * size
     if any(page.suspect):
-        held, named, gone = held_by(lines, cluster(lines)), [page.tag[e] in ("article", "main") and not page.out[e] for e in range(size)], [False] * size
+        held, framed = [0] * size, list(frames)
+        for line, dense in zip(lines, cluster(lines, [x.text() for x in lines]), strict=True):
+            for text, element in line.parts:
+                held[element] += len(text.strip()) * bool(dense)
         for element in range(size - 1, 0, -1):
-            named[page.parent[element]] |= named[element]
+            held[page.parent[element]] += held[element]
+            framed[page.parent[element]] |= framed[element]
         for element in range(1, size):
-            frame = 2 * held[element] >= held[0] and (named[element] or not named[0])
+            frame = 2 * held[element] >= held[0] and (framed[element] or not framed[0])
             gone[element] = gone[page.parent[element]] or (page.suspect[element] and not frame)
-        lines = [x for x in lines if not gone[x[3]]]
-        if not lines:
-            return ""
-    chosen = cluster(lines)
-    held = held_by(lines, chosen)
-    whole = [e for e in range(1, size) if held[e] >= hold * held[0] and page.tag[e] in REGIONS]
-    region = max([e for e in whole if page.tag[e] in ("article", "main")] or whole, default=0)
-    within = [False] * size
-    within[region] = True
-    for element in range(region + 1, size):
-        within[element] = within[page.parent[element]]
-    inside = [n for n, x in enumerate(lines) if within[x[3]]]
-    if page.tag[region] not in ("article", "main"):
-        dense = [n for n in inside if chosen[n]]
-        inside = [n for n in inside if dense and dense[0] <= n <= dense[-1] and (chosen[n] or 2 * lines[n][2] <= len(lines[n][0]))]
-    return "\n".join(lines[n][0] for n in inside)
+    for element in range(1, size):
+        frames[element] |= frames[page.parent[element]]
+    kept = [(x, text) for x in lines if (text := x.text(gone))]
+    if not kept:
+        return ""
+    dense = cluster(*zip(*kept, strict=True))
+    inside = [frames[x.element] for x, _ in kept]
+    menu = menus([2 * x.linked > len(t) for x, t in kept], inside, dense.tolist())
+    beside = any(inside)
+    return "\n".join(t for n, (_, t) in enumerate(kept) if not menu[n] and (inside[n] or not beside or dense[n]))
 
 
 def extract(pages: DataFrame, id_column: str = "page_id") -> DataFrame:

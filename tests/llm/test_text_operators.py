@@ -403,10 +403,53 @@ def test_op8_names_need_the_cluster():
 def test_op8_the_cluster_decides_without_an_article(monkeypatch):
     page = a_page("content").replace("<ul class=links>", "<ul class=links>" + "<li><a href=/x>one more link of a list</a></li>" * 60)
     before = html_text.main_text(page)
-    monkeypatch.setattr(html_text, "cluster", lambda lines: np.ones(len(lines), bool))
+    monkeypatch.setattr(html_text, "cluster", lambda lines, texts: np.ones(len(texts), bool))
     assert html_text.main_text(page) != before
 
 
+LONG_ONE, LINKS = f"<p>{PARAGRAPH}</p>", "".join(f"<li><a href=/{n}>see also {n}</a></li>" for n in range(5))
+
+
+@pytest.mark.parametrize(
+    "html, wanted",
+    [
+        ("<article><p>one</p><script>var y=2;</script><p>two</article>", "one\ntwo"),
+        ("<article><p>Hello <script>var x=1;</script> world</p></article>", "Hello world"),
+        ("<article><p>A</p><style>.a{color:red}</style><p>B</p></article>", "A\nB"),
+        ("<article><p>A</p><noscript>no</noscript><p>B <button>Subscribe now</button></p></article>", "A\nB"),
+        ("<article><p>A<select><option>x<option>y</select></p><textarea>t</textarea></article>", "A"),
+        ("<article><p>A <span hidden>h</span>B <i aria-hidden='true'>w</i><b style='display: none'>q</b>C</p></article>", "A B C"),
+        ("<article><p>Hello <span class=ad>Buy</span> world</p></article>", "Hello world"),
+        ("<p>Hello <svg><title>no</title><p>no</p></svg> world</p>", "Hello world"),
+        ("<article>t<div class='user-comments'>c</div><div class=reader-comments>c</div><div class=google-ads>c</div><div class=newsletter-signup>c</div></article>", "t"),
+        ("<div id=content><h1>Title</h1><p>By A. Author</p>" + LONG_ONE * 5 + "<p>Short one.</p><p>Q?</p><p>Thanks.</p><p>The end.</p></div>", "Title\nBy A. Author\n" + f"{PARAGRAPH.strip()}\n" * 5 + "Short one.\nQ?\nThanks.\nThe end."),
+        ("<ul>" + "".join(f"<li>item {n}</li>" for n in range(12)) + "</ul>" + LONG_ONE, "".join(f"item {n}\n" for n in range(12)) + PARAGRAPH.strip()),
+        (f"<div>{LONG_ONE * 11}</div><div>{LONG_ONE}</div>", "\n".join([PARAGRAPH.strip()] * 12)),
+        (f"<main>{LONG_ONE * 3}</main><div>{LONG_ONE}</div><table>{'<tr><td>a<b>1</b>' * 9}</table>", "\n".join([PARAGRAPH.strip()] * 4)),
+        (f"<article>{LONG_ONE * 3}<ul>{LINKS}</ul><p>Last <a href=/x>link</a></p></article>", "\n".join([PARAGRAPH.strip()] * 3) + "\nLast link"),
+        (f"<body>{LONG_ONE * 3}<ul>{LINKS}</ul><p><a href=/x>A source</a></p><p>End</p></body>", "\n".join([PARAGRAPH.strip()] * 3) + "\nEnd"),
+    ],
+)
+def test_op8_characters_belong_to_their_element(html, wanted):
+    assert html_text.main_text(html) == wanted
+
+
+def test_op8_the_cluster_decides_on_built_pages(monkeypatch):
+    pages = [f"<article>{LONG_ONE * 3}<ul>{LINKS}</ul></article>", f"<main>{LONG_ONE * 3}</main><div>tiny</div>", a_page("sidebar"), a_page("content")]
+    before = [html_text.main_text(p) for p in pages]
+    for void in (np.ones, np.zeros):
+        monkeypatch.setattr(html_text, "cluster", lambda lines, texts, void=void: void(len(texts), bool))
+        assert sum(html_text.main_text(p) != x for p, x in zip(pages, before, strict=True)) >= 1
+        monkeypatch.undo()
+
+
+def test_op8_repeats_nulls_and_clashing_names(spark):
+    rows = [(1, "u", f"<article>{LONG_ONE}</article>"), (1, "u", f"<article>{LONG_ONE}</article>"), (None, None, "<p>x"), (2, "u", None), (3, "u", "<p>" + "word " * 200_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(5) for c in ("text", "_html", "element", "n_chars")})
+    got = sorted((r.page_id or 0, r.text or "") for r in html_text.extract(df).collect())
+    assert got == [(0, "x"), (1, PARAGRAPH.strip()), (1, PARAGRAPH.strip()), (2, ""), (3, ("word " * 200_000).strip())]
+
+
 def test_op8_agrees_with_a_plain_reading_of_all_pages(spark):
     """The driver's pages: one article, in which <br> and <p> end lines; everything else goes."""
     import html
@@ -420,7 +463,7 @@ def test_op8_agrees_with_a_plain_reading_of_all_pages(spark):
 
 def test_op8_is_linear_in_nesting(spark):
     deep = spark.createDataFrame([(1, "u", "<div>x" * 20_000), (2, "u", "<b>x" * 20_000 + "</i>" * 20_000)], "page_id long, url string, html string").withColumns({"text": F.lit(7), "_html": F.lit(8), "n_chars": F.lit(9)})
-    assert {r.page_id: len(r.text) for r in html_text.extract(deep).collect()} == {1: 35_999, 2: 20_000}  # the region is the innermost div with nine tenths of the text
+    assert {r.page_id: len(r.text) for r in html_text.extract(deep).collect()} == {1: 39_999, 2: 20_000}
 
 
 def test_op9_agrees_with_the_library(spark, texts):
