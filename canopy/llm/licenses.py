@@ -45,13 +45,13 @@ FAMILIES = {
     "cddl-1": ("common development|cddl", r"(?:common development and distribution|cddl)(?: licen[sc]e)?(?: version)?(?: 1(?: [01])?)?", r"cddl 1 [01]"), "cpl-1": ("common public|cpl", r"common public", r"cpl 1 0"), "cpal": ("common public|cpal", r"common public attribution", r"cpal 1 0"), "ipl": ("ibm|ipl", r"ibm public", r"ipl 1 0"),
     "eupl": ("european union|eupl", r"(?:european union public|eupl)(?: licen[sc]e)?(?: version)?(?: 1 [012])?", r"eupl 1 [012]"), "artistic-1": ("artistic", r"artistic(?: licen[sc]e)?(?: version)? 1(?: 0)?", r"artistic 1 0"), "artistic-2": ("artistic", r"artistic(?: licen[sc]e)?(?: version)? 2(?: 0)?", r"artistic 2 0"), "artistic": ("artistic", r"artistic", r"artistic"),
     "boost": ("boost|bsl", r"boost software", r"bsl 1 0"), "zlib": ("zlib", r"zlib(?: libpng)?", r"zlib"), "libpng": ("libpng", r"libpng", r"libpng(?: 2 0)?"), "curl": ("curl", r"curl", r"curl"), "unlicense": ("unlicense", r"unlicense", r"unlicense"), "wtfpl": ("wtfpl|do what the f", r"wtfpl|do what the f\w+ you want to public", r"wtfpl"),
-    "python": ("python|psf", r"python software foundation|psf|python", r"(?:psf|python) 2 0"), "ruby": ("ruby", r"ruby", r"ruby"), "php": ("php", r"php(?: licen[sc]e)?(?: version)?(?: 3(?: 0[01])?)?", r"php 3 0[01]?"), "perl": ("perl", r"perl", r"perl"), "tcl": ("tcl", r"tcl(?: tk)?", r"tcl"), "zpl": ("zope|zpl", r"zope public", r"zpl [12] [01]"), "openssl": ("openssl", r"openssl", r"openssl"),
+    "python": ("python|psf", r"python software foundation|psf", r"(?:psf|python) 2 0"), "ruby": ("ruby", r"ruby", r"ruby"), "php": ("php", r"php(?: licen[sc]e)?(?: version)?(?: 3(?: 0[01])?)?", r"php 3 0[01]?"), "perl": ("perl", r"perl", r"perl"), "tcl": ("tcl", r"tcl(?: tk)?", r"tcl"), "zpl": ("zope|zpl", r"zope public", r"zpl [12] [01]"), "openssl": ("openssl", r"openssl", r"openssl"),
     "ofl": ("open font|ofl", r"(?:sil )?open font|ofl", r"ofl 1 [01]"), "postgresql": ("postgresql", r"postgresql", r"postgresql"), "ncsa": ("ncsa", r"(?:university of illinois )?ncsa(?: open source)?", r"ncsa"), "w3c": ("w3c", r"w3c(?: software)?", r"w3c"), "unicode": ("unicode", r"unicode(?: inc)?", r"unicode(?: dfs 201[56])?"), "icu": ("icu", r"icu", r"icu"),
     "osl": ("open software|osl", r"open software", r"osl [123] [01]"), "afl": ("academic|afl", r"academic free", r"afl [123] [012]"), "ecl": ("educational|ecl", r"educational community", r"ecl [12] 0"), "ms-pl": ("microsoft public|ms pl", r"microsoft public|ms pl", r"ms pl"), "ms-rl": ("microsoft reciprocal|ms rl", r"microsoft reciprocal|ms rl", r"ms rl"), "odbl": ("open data|odbl", r"open (?:data commons open )?database|odbl", r"odbl 1 0"),
     "odc-by": ("open data|odc", r"open data commons attribution", r"odc by 1 0"), "pddl": ("public domain|pddl", r"public domain dedication and|pddl", r"pddl 1 0"), "cecill": ("cecill", r"cecill(?: [abc])?(?: 2(?: [01])?)?", r"cecill(?: [abc12])?(?: [01])?"), "qpl": ("q public|qpl", r"q public|qpl", r"qpl 1 0"), "sleepycat": ("sleepycat", r"sleepycat", r"sleepycat"), "vim": ("vim", r"vim", r"vim"),
     "apple": ("apple|apsl", r"apple public source", r"apsl 2 0"), "nasa": ("nasa", r"nasa open source", r"nasa 1 3"), "nokia": ("nokia", r"nokia open source", r"nokia"), "sun": ("sun|spl|sissl", r"sun (?:public|industry standards source)", r"(?:spl 1 0|sissl)"), "intel": ("intel", r"intel open source|intel simplified software", r"intel"), "netscape": ("netscape|npl", r"netscape public", r"npl 1 [01]"),
-    "upl": ("universal permissive|upl", r"universal permissive|upl", r"upl 1 0"), "elastic": ("elastic", r"elastic(?: licen[sc]e)?(?: version)? 2(?: 0)?|elastic", r"elastic 2 0"), "sspl": ("server side|sspl", r"server side public|sspl", r"sspl 1 0"), "busl": ("business|busl", r"business source", r"busl 1 1"), "commons-clause": ("commons", r"commons clause", r"commons clause"), "polyform": ("polyform", r"polyform (?:noncommercial|small business|shield)", r"polyform \w+ 1 0 0"),
-    "blueoak": ("blue oak|blueoak", r"blue oak model", r"blueoak 1 0 0"), "hippocratic": ("hippocratic", r"hippocratic", r"hippocratic 2 1"), "json": ("json", r"json", r"json"), "beerware": ("beer", r"beer ?ware", r"beerware"), "fair": ("fair", r"fair", r"fair"), "mulan": ("mulan", r"mulan (?:permissive software|psl)(?: v?[12])?", r"mulanpsl [12] 0"), "openrail": ("rail|open rail|openrail|creativeml|bigscience", r"(?:creativeml |bigscience )?(?:open ?rail(?: m)?|rail)", r"openrail(?: m)?"),
+    "upl": ("universal permissive|upl", r"universal permissive|upl", r"upl 1 0"), "elastic": ("elastic", r"elastic licen[sc]e(?: version)? 2(?: 0)?|elastic 2 0", r"elastic 2 0"), "sspl": ("server side|sspl", r"server side public|sspl", r"sspl 1 0"), "busl": ("business|busl", r"business source", r"busl 1 1"), "commons-clause": ("commons", r"commons clause", r"commons clause"), "polyform": ("polyform", r"polyform (?:noncommercial|small business|shield)", r"polyform \w+ 1 0 0"),
+    "blueoak": ("blue oak|blueoak", r"blue oak model", r"blueoak 1 0 0"), "hippocratic": ("hippocratic", r"hippocratic", r"hippocratic 2 1"), "json": ("json", r"json", r"json"), "beerware": ("beer", r"beer ?ware", r"beerware"), "fair": ("fair", r"fair", r"fair"), "mulan": ("mulan", r"mulan (?:permissive software|psl)(?: v?[12])?", r"mulanpsl [12] 0"), "openrail": ("rail|open rail|openrail|creativeml|bigscience", r"(?:creativeml |bigscience )?open ?rail(?: m)?", r"openrail(?: m)?"),
     "llama": ("llama", r"llama(?: [23])?(?: community)?", r"llama\w*"), "cc0": ("cc|creative commons", r"cc ?0(?: 1 0)?|creative commons zero", r"cc0 1 0"), "public-domain": ("public domain", r"public domain", r"public domain"),
     **{f"cc-{'-'.join(p)}": ("cc", rf"cc {' '.join(p)}(?: [1234](?: 0)?)?", rf"cc {' '.join(p)}(?: [1234](?: 0)?)?") for p in (("by",), ("by", "sa"), ("by", "nd"), ("by", "nc"), ("by", "nc", "sa"), ("by", "nc", "nd"))},
 }
@@ -195,7 +195,15 @@ TEXTS = [
 ]
 VERBS = r"(?:licen[sc]ed|released|distributed|available|published|provided|covered|made available|redistributed?|offered|governed)"
 WORD = r"licen[sc]es?"
+TERMS = r"under (?:the )?terms (?:and conditions )?of (?:the )?(?:a |an )?"
 NOTICE = r"under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:a |an )?"
+#: Families whose names are ordinary words or those of programs as well; and such names of other families.
+COMMON = set("artistic curl ruby php perl tcl vim json fair unicode icu x11 llama".split())
+ORDINARY = set("afl ecl osl cpl-1 cpal ipl edl-1 boost busl nokia nasa apple intel netscape upl sun".split())  # unfinished titles
+COMMON_NAMES = {"python": "python", "elastic": "elastic", "openrail": "rail"}
+#: Families whose names stand for a licence and nothing else, so that "under NAME" is enough.
+PLAIN = ("gpl", "lgpl", "agpl", "gfdl", "mpl", "epl", "apache-", "bsd-", "0bsd", "cc-", "cc0", "cddl", "eupl", "unlicense", "wtfpl", "cecill", "mit-0")
+VERSION = r"(?:version \d+|v?\d+)(?: \d+)?"
 #: Families with names that say enough without a notice.
 MENTIONED = ("cc-", "cc0", "gpl-", "lgpl-", "agpl-", "apache-", "mpl-", "epl-")
 #: What every match of a form of rules has.
@@ -203,15 +211,35 @@ NEEDS = {"identifier": "licen", "notice": " under ", "named": "licen", "mention"
 PRIORITIES = (1, 2, 3, 4, 9)
 
 
+def noticed(name: str, label: str, common: bool) -> str:
+    """"under NAME" with what shows that a licence is meant: a verb, its terms, the word licence or a version; for names
+    that are common words a verb with one of the latter two, or more of a licence's title."""
+    title = rf"(?:{name})(?: (?:open source |public |software |international )?{WORD})"
+    if common:
+        return rf"{VERBS} {NOTICE}(?:{title}(?: {VERSION})?|(?:{name}) {VERSION})|{NOTICE}(?:{name}) (?:open source |public |software |international ){WORD}(?: {VERSION})?"
+    if label.startswith(PLAIN):
+        return rf"(?:{VERBS} )?{NOTICE}{title}?(?: {VERSION})?"
+    if label in ORDINARY:
+        return rf"(?:{VERBS} )?{NOTICE}(?:{title}(?: {VERSION})?|(?:{name}) {VERSION})"
+    return rf"{VERBS} {NOTICE}{title}?(?: {VERSION})?|{NOTICE}(?:{title}(?: {VERSION})?|(?:{name}) {VERSION})|{TERMS}{title}?(?: {VERSION})?"
+
+
+def named(name: str, common: bool) -> str:
+    """The name with the word licence; of common words with more of its title, or a version."""
+    more = "(?:open source |public |software |general public |international )"
+    return rf"(?:the )?(?:{name}) (?:{more}{WORD}|{WORD} {VERSION})" if common else rf"(?:the )?(?:{name}) {more}?{WORD}"
+
+
 def rules() -> list[dict]:
-    """All signature rules in their order: texts, identifiers, notices with a verb, named licences, and plain names."""
+    """All signature rules in their order: texts, identifiers, notices, named licences, and plain names."""
     found = [{"label": label, "need": " ", "keys": [keyword], "regex": regex.replace("~", r"(?:\S+ ){0,7}\S+"), "priority": 1, "confidence": 0.95} for label, keyword, regex in TEXTS]
+    names = [(label, keyword, name, spdx, label in COMMON) for label, (keyword, name, spdx) in FAMILIES.items()] + [(label, name, name, None, True) for label, name in COMMON_NAMES.items()]
     for form in ("identifier", "notice", "named", "mention"):
-        for label, (keyword, name, spdx) in FAMILIES.items():
+        for label, keyword, name, spdx, common in names:
             regex = {
-                "identifier": rf"(?:spdx licen[sc]e identifier|licen[sc]e identifier|licen[sc]e) (?:{spdx})" if " " in spdx or label in ("mit", "isc", "unlicense") else rf"spdx licen[sc]e identifier (?:{spdx})",
-                "notice": rf"(?:{VERBS} )?{NOTICE}(?:{name})(?: (?:open source |public |software |international )?{WORD})?(?: version \d+(?: \d+)?)?",
-                "named": rf"(?:the )?(?:{name}) (?:open source |public |software |general public |international )?{WORD}",
+                "identifier": spdx and (rf"(?:spdx licen[sc]e identifier|licen[sc]e identifier|licen[sc]e) (?:{spdx})" if " " in spdx or label in ("mit", "isc", "unlicense") else rf"spdx licen[sc]e identifier (?:{spdx})"),
+                "notice": noticed(name, label, common),
+                "named": named(name, common),
                 "mention": name if label.startswith(MENTIONED) else None,
             }[form]
             if regex:
@@ -219,6 +247,7 @@ def rules() -> list[dict]:
     for label, words in CREATIVE.items():
         found.append({"label": label, "need": " ", "keys": ["creative commons"], "regex": rf"creative commons attribution{words}(?: (?:licen[sc]e|international|unported|generic|[1234] 0))*", "priority": 2, "confidence": 0.95})
     found.append({"label": "proprietary", "need": " ", "keys": ["all rights reserved"], "regex": "all rights reserved", "priority": 4, "confidence": 0.4})
+    found.append({"label": "unknown", "need": "licen", "keys": ["licen"], "regex": rf"(?:\S+ ){{1,3}}?(?:public|open|source|software|community|free|permissive|model) licen[sc]e (?:version \d+|v\d+)(?: \d+)?", "priority": 9, "confidence": 0.3})
     found.append({"label": "unknown", "need": " under ", "keys": ["licen"], "regex": rf"{VERBS} under (?:the )?(?:terms of )?(?:the |a |an )?(?:\S+ ){{1,4}}?{WORD}", "priority": 9, "confidence": 0.3})
     return [r | {"rank": n, "regex": f"(?<= )(?:{r['regex']})(?= )"} for n, r in enumerate(found)]
 
@@ -242,7 +271,7 @@ def either(keys: Iterable[str]) -> str:
 
 def may_match(words: Column) -> Column:
     """Whether any rule or base phrase can match: the words of a text rule, the stem of license, or a name in the forms without it."""
-    names = "|".join(name for _, name, _ in FAMILIES.values())
+    names = "|".join([*(name for _, name, _ in FAMILIES.values()), *COMMON_NAMES.values()])
     mentioned = "|".join(name for label, (_, name, _) in FAMILIES.items() if label.startswith(MENTIONED))
     said = either(shortest([*(k for _, k, _ in TEXTS), "creative commons attribution"]).values())
     stems = either(shortest(k for label, (keys, _, _) in FAMILIES.items() if label.startswith(MENTIONED) for k in keys.split("|")).values())

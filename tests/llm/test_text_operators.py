@@ -313,6 +313,26 @@ def test_op6_names_without_the_word_license(spark):
     assert {r.text: r.labels for r in licenses.scan_licenses(df, id_column="text").collect()} == texts
 
 
+PROSE = """He was under the ruby lights. The band slept under the elastic band. It hid under the python nest. They stood under the sun public gaze.
+She got her driving license under the curl of the road. He went under the fair license officer. The python license plate was sold. Under the rail a cat slept.
+He studied under the MIT professor. The llama stood under the json file. She released the bird under the apple tree. It was published under the artistic eye of a friend.
+Under perl strings the diver swam. We covered the fair under the icu roof. The vim of the crowd died under the unicode sign. The open software was under the boost software team.
+An artistic license is what poets take. The x11 bus ran under the nokia tower. All of it was provided under the academic free hour. A fishing license costs ten. It lay under the common public gaze.
+The zlib bridge was under repair. The business source of the news was under the educational community centre. PHP is a language, and so is Perl.""".split(". ")
+
+
+def test_op6_prose_stays_without_label(spark):
+    df = spark.createDataFrame([(" ".join(x.split()),) for x in PROSE], "text string")
+    assert {r.text: r.labels for r in licenses.scan_licenses(df, id_column="text").collect() if r.labels} == {}
+
+
+def test_op6_common_words_with_evidence(spark):
+    texts = {"Licensed under the Ruby license": "ruby", "released under the terms of the PHP License 3.01": "php", "under the Python Software Foundation License": "python", "distributed under the Artistic License 2.0": "artistic-2", "licensed under Elastic License 2.0": "elastic",
+             "under the zlib license": "zlib", "available under the terms of the MIT": "mit", "ACME Open License v1": "unknown", "dual licensed under the curl license": "curl", "the JSON License 1": "json", "under the python 2.0 tree": ""}
+    df = spark.createDataFrame(list(texts.items()), "text string, want string")
+    assert {r.text: r.labels for r in licenses.scan_licenses(df, id_column="text").collect()} == texts
+
+
 def luhn_ok(d):
     return sum(sum(divmod(int(x) * (1 + n % 2), 10)) for n, x in enumerate(reversed(d))) % 10 == 0
 
