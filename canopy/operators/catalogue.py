@@ -216,12 +216,40 @@ def existing_only(df: DataFrame, listing: DataFrame, key: str) -> DataFrame:
     return df.join(listing.select(key), key, "left_semi")
 
 
+def manifest_status() -> Column:
+    return F.when(F.col("_p").isNull(), "missing").when(F.col("_e").isNull(), "extra").when(F.col("want") == F.col("got"), "ok").otherwise("size_mismatch")
+
+
 def reconcile_manifest(expected: DataFrame, present: DataFrame) -> DataFrame:
     """path, status: ok, size_mismatch, missing or extra."""
     e = expected.distinct().select("path", F.col("size").alias("want"), F.lit(1).alias("_e"))
     p = present.select("path", F.col("size").alias("got"), F.lit(1).alias("_p"))
-    status = F.when(F.col("_p").isNull(), "missing").when(F.col("_e").isNull(), "extra").when(F.col("want") == F.col("got"), "ok").otherwise("size_mismatch")
-    return e.join(p, "path", "full_outer").select("path", status.alias("status"))
+    return e.join(p, "path", "full_outer").select("path", manifest_status().alias("status"))
+
+
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """df as a table of the warehouse in buckets of key, sorted: joins of two such tables on it shuffle neither side.
+
+    Write a large listing so once, and compare it with every later one.
+    """
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def reconcile_once_each(expected: DataFrame, present: DataFrame) -> DataFrame:
+    """reconcile_manifest for bucketed tables of one row a path: no distinct, so neither side moves."""
+    e = expected.select("path", F.col("size").alias("want"), F.lit(1).alias("_e"))
+    p = present.select("path", F.col("size").alias("got"), F.lit(1).alias("_p"))
+    return e.join(p, "path", "full_outer").select("path", manifest_status().alias("status"))
+
+
+def check_manifest(status: DataFrame, most_short: int = 0) -> DataFrame:
+    """status, n; an error if more than most_short paths are missing or of another size."""
+    counts = status.groupBy("status").agg(F.count("*").alias("n"))
+    short = counts.where(F.col("status").isin("missing", "size_mismatch")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if short > most_short:
+        raise ValueError(f"{short} of the expected files are missing or of another size")
+    return counts
 
 
 def join_evals(runs: DataFrame, evals: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ordering import bounds
+from ..functions.scans import places
 from ..sources.scratch import stored
 
 
@@ -140,3 +141,25 @@ def leaderboard(runs: DataFrame, evals: DataFrame, k: int) -> DataFrame:
 def ledger(board: DataFrame, delta: DataFrame) -> DataFrame:
     """A leaderboard with what each run changed, as text; empty if nothing."""
     return board.join(format_delta(delta), "run_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def results_table(runs: DataFrame, validation: DataFrame, tests: DataFrame, status: DataFrame, baseline: object, delta: DataFrame, order: str = "test") -> DataFrame:
+    """run_id, name, delta, val, test, status, is_baseline, place: every run with what it changed and both of its scores.
+
+    validation and tests hold run_id and score, at most one row a run; a run without a score has null. place is the rank
+    by `order` (test or val: the best first, runs without one last; run: by id), ties by id. delta is empty for runs
+    that change nothing.
+    """
+    scored = runs.select("run_id", "name").join(validation.select("run_id", F.col("score").alias("val")), "run_id", "left").join(tests.select("run_id", F.col("score").alias("test")), "run_id", "left")
+    told = scored.join(status.select("run_id", "status"), "run_id", "left").join(format_delta(delta).withColumnRenamed("text", "delta"), "run_id", "left")
+    rows = told.select("run_id", "name", F.coalesce("delta", F.lit("")).alias("delta"), "val", "test", "status", F.col("run_id").eqNullSafe(F.lit(baseline)).alias("is_baseline"))
+    by = [F.lit(0)] if order == "run" else [-F.coalesce(order, F.lit(float("-inf")))]
+    placed = places(rows.withColumn("_by", by[0]), [], ["_by", "run_id"], "place")
+    return placed.withColumn("place", F.col("place") + 1).drop("_by")
+
+
+def best_run(table: DataFrame) -> DataFrame:
+    """One row: the run with the best test score, of equal ones the least id; null if none has a score."""
+    best = F.struct("test", "run_id")
+    known = table.where(F.col("test").isNotNull()).groupBy("test").agg(F.min("run_id").alias("run_id"))
+    return known.agg(F.max_by("run_id", best).alias("run_id"), F.max("test").alias("test"))

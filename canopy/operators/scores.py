@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions import arrays as A
 from ..functions.ordering import quantiles
-from ..sources.scratch import stored
+from ..sources.scratch import discard, stored
 from .thresholds import auroc, top1
 
 #: Prototypes are broadcast in blocks of at most so many numbers.
@@ -47,30 +47,80 @@ def medoids(emb: DataFrame, key: str, label: str = "label", vector: str = "embed
     return near.groupBy(label).agg(F.max_by(key, F.struct("cosine", (-F.col(key)).alias("i"))).alias(key), F.max("cosine").alias("cosine"))
 
 
-def spherical_means(emb: DataFrame, k: int, key: str, label: str = "label", vector: str = "embedding", steps: int = 10) -> DataFrame:
+def summed(parts: DataFrame, keys: Sequence[str], normalised: bool = True) -> DataFrame:
+    """keys, vector: the sums of partial sums (keys, vector, of which a task gives one a key), of unit length if wanted."""
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        whole = np.sum(np.stack(group["vector"].to_numpy()), axis=0)
+        return group.iloc[:1][list(keys)].assign(vector=[whole / max(np.linalg.norm(whole), 1e-300) if normalised else whole])
+
+    return parts.groupBy(*keys).applyInPandas(add, parts.select(*keys, "vector").schema)
+
+
+def lloyd_sums(emb: DataFrame, means: list, label: str, vector: str) -> DataFrame:
+    """label, k, vector: each task's sums of its unit vectors by the nearest of these means of their class."""
+    shared = emb.sparkSession.sparkContext.broadcast(means)
+    kind = emb.schema[label].dataType.simpleString()
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict = {}
+        for name, k, v in sorted(shared.value, key=lambda m: m[1]):
+            known.setdefault(name, []).append((k, v))
+        sums: dict = {}
+        for frame in frames:
+            for name, group in frame.groupby("label", sort=False):
+                if name not in known:
+                    continue
+                x = unit_rows(group["vector"])
+                near = np.round(x @ np.array([v for _, v in known[name]]).T, 9).argmax(1)  # of equal ones the lowest k
+                for place in np.unique(near):
+                    at = (name, known[name][place][0])
+                    sums[at] = sums.get(at, 0) + x[near == place].sum(0)
+        yield pd.DataFrame({"label": [n for n, _ in sums], "k": [k for _, k in sums], "vector": list(sums.values())})
+
+    return emb.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(vector).alias("vector")).mapInPandas(of, f"label {kind}, k int, vector array<double>")
+
+
+def unit_rows(vectors) -> np.ndarray:
+    x = np.stack(vectors.to_numpy()).astype(np.float64) if len(vectors) else np.empty((0, 0))
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def spherical_means(emb: DataFrame, k: int, key: str, label: str = "label", vector: str = "embedding", steps: int = 10, numbers: int = BROADCAST_NUMBERS) -> DataFrame:
     """label, k, vector: k means of each class by Lloyd steps on the sphere, started from rows in hash order.
 
-    A step assigns every row to the nearest mean of its class and averages by class, mean and dimension; sums combine
-    map-side and means are stored, so no group of rows is ever in one place. A mean that loses all rows is dropped.
+    Means are broadcast in blocks of classes of at most about so many numbers. A step reads the rows once a block, keeps
+    them where they are, and shuffles one sum a task and mean. A mean that loses all rows is dropped.
     """
-    rows = emb.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(key).alias("key"), A.l2_normalise(F.col(vector)).alias("x"))
+    rows = emb.where(F.col(label).isNotNull())
     place = F.row_number().over(Window.partitionBy("label").orderBy(F.md5(F.col("key").cast("string").cast("binary")), "key")) - 1
-    means = stored(rows.withColumn("k", place).where(F.col("k") < k).select("label", "k", F.col("x").alias("vector")))
+    first = rows.select(F.col(label).alias("label"), F.col(key).alias("key"), F.col(vector).alias("x")).withColumn("k", place).where(F.col("k") < k)  # cut to k rows a task first
+    means = stored(first.select("label", "k", A.l2_normalise(F.col("x")).alias("vector")))
     for _ in range(steps):
-        near = rows.join(means, "label").groupBy("key", "label").agg(F.max_by("k", F.struct(F.round(A.dot(F.col("x"), F.col("vector")), 9), -F.col("k"))).alias("k"), F.first("x").alias("x"))
-        sums = near.select("label", "k", F.posexplode("x").alias("d", "v")).groupBy("label", "k", "d").agg(F.sum("v").alias("v"))
-        found = sums.groupBy("label", "k").agg(F.array_sort(F.collect_list(F.struct("d", "v"))).alias("v"))
-        means = stored(found.select("label", "k", A.l2_normalise(F.transform("v", lambda p: p["v"])).alias("vector")))
+        size, dims = means.agg(F.count("*"), F.max(F.size("vector"))).first()
+        blocks = max(1, -(-size * (dims or 1) // numbers))
+        parts = []
+        for block in range(blocks):
+            own = means.where(F.pmod(F.xxhash64("label"), F.lit(blocks)) == block).collect()
+            parts.append(lloyd_sums(rows, [(m["label"], m["k"], m["vector"]) for m in own], label, vector))
+        new = stored(summed(reduce(DataFrame.unionByName, parts), ["label", "k"]))
+        discard(means)
+        means = new
     return means
 
 
-def prototype_blocks(protos: DataFrame, numbers: int = BROADCAST_NUMBERS) -> Iterator[tuple[list, np.ndarray]]:
-    """(class indices, matrix) of blocks of at most about so many numbers; one block at a time is on the driver."""
+def prototype_blocks(protos: DataFrame, numbers: int = BROADCAST_NUMBERS, keep_norms: bool = False) -> Iterator[tuple[list, np.ndarray]]:
+    """(class indices, matrix) of blocks of at most about so many numbers; one block at a time is on the driver.
+
+    Prototypes are taken at unit length, or as they are: a classifier whose rows have drifted from unit length ranks
+    classes by length times cosine.
+    """
     rows, size = protos.agg(F.count("*"), F.max(F.size("vector"))).first()
     blocks = max(1, -(-rows * (size or 1) // numbers))
     for block in range(blocks):
         found = protos.where(F.pmod(F.xxhash64("class_idx"), F.lit(blocks)) == block).orderBy("class_idx").collect()
-        yield [r["class_idx"] for r in found], np.array([r["vector"] for r in found], np.float64).reshape(len(found), size or 0)
+        matrix = np.array([r["vector"] for r in found], np.float64).reshape(len(found), size or 0)
+        yield [r["class_idx"] for r in found], matrix if keep_norms else matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
 
 
 def block_scores(emb: DataFrame, matrix: np.ndarray, key: str, vector: str, mode: str, scale: float) -> DataFrame:
@@ -90,14 +140,17 @@ def block_scores(emb: DataFrame, matrix: np.ndarray, key: str, vector: str, mode
     return emb.select(key, vector).mapInPandas(of, f"`{key}` {kind}, scores array<double>")
 
 
-def cosine_scores(emb: DataFrame, protos: DataFrame, key: str, vector: str = "embedding", mode: str = "cosine", scale: float = 1.0, numbers: int = BROADCAST_NUMBERS) -> DataFrame:
-    """instance_id, class_idx, score against every prototype (class_idx, vector), block by block; MODES names the modes."""
-    return reduce(DataFrame.unionByName, long_blocks(emb, protos, key, vector, mode, scale, numbers))
+def cosine_scores(emb: DataFrame, protos: DataFrame, key: str, vector: str = "embedding", mode: str = "cosine", scale: float = 1.0, numbers: int = BROADCAST_NUMBERS, keep_norms: bool = False) -> DataFrame:
+    """instance_id, class_idx, score against every prototype (class_idx, vector), block by block; MODES names the modes.
+
+    All scores of all rows: for a few classes. top_scores and embedding_geometry keep what they need of a batch.
+    """
+    return reduce(DataFrame.unionByName, long_blocks(emb, protos, key, vector, mode, scale, numbers, keep_norms))
 
 
-def long_blocks(emb: DataFrame, protos: DataFrame, key: str, vector: str, mode: str, scale: float, numbers: int) -> Iterator[DataFrame]:
+def long_blocks(emb: DataFrame, protos: DataFrame, key: str, vector: str, mode: str, scale: float, numbers: int, keep_norms: bool) -> Iterator[DataFrame]:
     """instance_id, class_idx, score for one block of prototypes after another."""
-    for classes, matrix in prototype_blocks(protos, numbers):
+    for classes, matrix in prototype_blocks(protos, numbers, keep_norms):
         names = F.array(*(F.lit(c) for c in classes))
         rows = to_long(block_scores(emb, matrix, key, vector, mode, scale), keys=(key,))
         yield rows.select(F.col(key).alias("instance_id"), F.get(names, F.col("class_idx")).alias("class_idx"), "score")
@@ -113,9 +166,37 @@ def score_arrays(emb: DataFrame, matrix: np.ndarray, key: str, vector: str = "em
     return every.select(key, F.flatten(F.transform("b", lambda b: b["scores"])).alias("scores"))
 
 
-def nearest_centroid(emb: DataFrame, protos: DataFrame, key: str, vector: str = "embedding", numbers: int = BROADCAST_NUMBERS) -> DataFrame:
-    """instance_id, class_idx, score of the most similar prototype; each block keeps only its best."""
-    return top1(reduce(DataFrame.unionByName, map(top1, long_blocks(emb, protos, key, vector, "cosine", 1.0, numbers))))
+def in_batches(emb: DataFrame, protos: DataFrame, columns: Sequence[str], vector: str, numbers: int, keep_norms: bool, kinds: str, take: Callable) -> Iterator[DataFrame]:
+    """For one block of prototypes after another, take(frame, classes, scores) of each batch; scores never leave it."""
+    for classes, matrix in prototype_blocks(protos, numbers, keep_norms):
+        shared = emb.sparkSession.sparkContext.broadcast((classes, matrix))
+
+        def of(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            names, block = shared.value
+            for frame in frames:
+                if len(frame) and len(names):
+                    yield take(frame, np.asarray(names), unit_rows(frame["vector"]) @ block.T)
+
+        yield emb.select(*columns, F.col(vector).alias("vector")).mapInPandas(of, kinds)
+
+
+def top_scores(emb: DataFrame, protos: DataFrame, key: str, k: int, vector: str = "embedding", numbers: int = BROADCAST_NUMBERS, keep_norms: bool = False) -> DataFrame:
+    """instance_id, class_idx, score, place: each row's k best classes, of equal scores the lowest index; a batch keeps its
+    k best, and the blocks' are merged."""
+    kind, own = (d.schema[c].dataType.simpleString() for d, c in ((emb, key), (protos, "class_idx")))
+
+    def take(frame: pd.DataFrame, names: np.ndarray, scores: np.ndarray) -> pd.DataFrame:
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"instance_id": np.repeat(frame[key].to_numpy(), best.shape[1]), "class_idx": names[best.ravel()], "score": np.take_along_axis(scores, best, 1).ravel()})
+
+    found = list(in_batches(emb, protos, [key], vector, numbers, keep_norms, f"instance_id {kind}, class_idx {own}, score double", take))
+    place = F.row_number().over(Window.partitionBy("instance_id").orderBy(F.desc("score"), "class_idx"))
+    return reduce(DataFrame.unionByName, found).withColumn("place", place).where(F.col("place") <= k)
+
+
+def nearest_centroid(emb: DataFrame, protos: DataFrame, key: str, vector: str = "embedding", numbers: int = BROADCAST_NUMBERS, keep_norms: bool = False) -> DataFrame:
+    """instance_id, class_idx, score of the most similar prototype."""
+    return top_scores(emb, protos, key, 1, vector, numbers, keep_norms).drop("place")
 
 
 def score_table(df: DataFrame, model: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]], key: str, columns: Sequence[str]) -> DataFrame:
@@ -130,13 +211,31 @@ def score_table(df: DataFrame, model: Callable[[pd.DataFrame], tuple[np.ndarray,
     return df.select(key, *columns).mapInPandas(of, f"{key} {kind}, class_idx int, score double")
 
 
-def embedding_geometry(scores: DataFrame, truth: DataFrame) -> DataFrame:
-    """class_idx, mean cosine to the own prototype, to the nearest other, and the margin."""
-    both = scores.join(truth, "instance_id")
-    own = F.max(F.when(F.col("class_idx") == F.col("label"), F.col("score")))
-    other = F.max(F.when(F.col("class_idx") != F.col("label"), F.col("score")))
-    each = both.groupBy("instance_id", "label").agg(own.alias("own"), other.alias("other"))
-    return each.groupBy("label").agg(F.avg("own").alias("own"), F.avg("other").alias("other"), F.avg(F.col("own") - F.col("other")).alias("margin"))
+def embedding_geometry(emb: DataFrame, protos: DataFrame, key: str, label: str = "label", vector: str = "embedding", numbers: int = BROADCAST_NUMBERS) -> DataFrame:
+    """label, own, other, margin: mean cosine to the own prototype, to the nearest other one, and the difference.
+
+    A batch keeps two numbers a row; with one block of prototypes rows aren't shuffled at all.
+    """
+    kinds = ", ".join(f"`{c}` {emb.schema[c].dataType.simpleString()}" for c in (key, label))
+
+    def take(frame: pd.DataFrame, names: np.ndarray, scores: np.ndarray) -> pd.DataFrame:
+        at = pd.Index(names).get_indexer(frame[label])
+        own = np.where(at >= 0, scores[np.arange(len(scores)), at], np.nan)
+        scores[np.flatnonzero(at >= 0), at[at >= 0]] = -np.inf
+        other = scores.max(1)
+        return frame[[key, label]].assign(own=own, other=np.where(np.isfinite(other), other, np.nan))
+
+    found = list(in_batches(emb.where(F.col(label).isNotNull()), protos, [key, label], vector, numbers, False, f"{kinds}, own double, other double", take))
+    each = reduce(DataFrame.unionByName, found).select(key, label, *(F.nanvl(c, F.lit(None)).alias(c) for c in ("own", "other")))
+    if len(found) > 1:
+        each = each.groupBy(key, label).agg(F.max("own").alias("own"), F.max("other").alias("other"))
+    return each.groupBy(F.col(label).alias("label")).agg(F.avg("own").alias("own"), F.avg("other").alias("other"), F.avg(F.col("own") - F.col("other")).alias("margin"))
+
+
+def prototype_norms(protos: DataFrame) -> DataFrame:
+    """One row: least, largest and mean length of the prototypes, and its standard deviation."""
+    norm = F.sqrt(A.dot(F.col("vector"), F.col("vector")))
+    return protos.select(norm.alias("x")).agg(F.min("x").alias("least"), F.max("x").alias("most"), F.avg("x").alias("mean"), F.stddev("x").alias("deviation"))
 
 
 def silhouette(emb: DataFrame, label: str = "label", vector: str = "embedding") -> float:
@@ -148,19 +247,37 @@ def silhouette(emb: DataFrame, label: str = "label", vector: str = "embedding")
     return ClusteringEvaluator(distanceMeasure="cosine").evaluate(data)
 
 
+def gram(vectors: DataFrame, vector: str = "vector") -> tuple[np.ndarray, int]:
+    """The matrix of sums of products of two components, as large as a vector squared, and the number of rows.
+
+    Each task sums its batches' products; rows of these matrices are summed by Spark.
+    """
+
+    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole, rows = None, 0
+        for frame in frames:
+            if len(frame):
+                x = np.stack(frame["vector"].to_numpy()).astype(np.float64)
+                whole, rows = x.T @ x if whole is None else whole + x.T @ x, rows + len(x)
+        if whole is not None:
+            yield pd.DataFrame({"i": range(len(whole)), "n": rows, "vector": list(whole)})
+
+    parts = vectors.select(F.col(vector).alias("vector")).where("vector is not null").mapInPandas(products, "i int, n long, vector array<double>")
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": group["i"].iloc[:1], "n": [group["n"].sum()], "vector": [np.sum(np.stack(group["vector"].to_numpy()), axis=0)]})
+
+    found = parts.groupBy("i").applyInPandas(add, "i int, n long, vector array<double>").orderBy("i").collect()
+    return np.array([r["vector"] for r in found], np.float64).reshape(len(found), len(found)), found[0]["n"] if found else 0
+
+
 def spectrum(vectors: DataFrame, vector: str = "vector") -> DataFrame:
     """rank, value, energy: singular values of the class table's vectors and the share of energy up to each.
 
-    They are the roots of the eigenvalues of the Gram matrix, whose size is that of a vector; it is summed by Spark.
+    They are the roots of the eigenvalues of the Gram matrix.
     """
-    x = vectors.select(F.col(vector).cast("array<double>").alias("x"))
-    pairs = x.select(F.posexplode("x").alias("i", "a"), "x").select("i", F.posexplode(F.col("x")).alias("j", "b"), "a")
-    gram = pairs.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("g")).collect()
-    size, rows = 1 + max((r["i"] for r in gram), default=-1), vectors.count()
-    matrix = np.zeros((size, size))
-    for r in gram:
-        matrix[r["i"], r["j"]] = r["g"]
-    squares = np.maximum(np.linalg.eigvalsh(matrix)[::-1][: min(size, rows)], 0)
+    matrix, rows = gram(vectors, vector)
+    squares = np.maximum(np.linalg.eigvalsh(matrix)[::-1][: min(len(matrix), rows)], 0) if rows else np.empty(0)
     energy = np.cumsum(squares) / max(squares.sum(), 1e-300)
     made = [(n, float(np.sqrt(s)), float(e)) for n, (s, e) in enumerate(zip(squares, energy, strict=True))]
     return vectors.sparkSession.createDataFrame(made, "rank int, value double, energy double")
@@ -172,12 +289,29 @@ def spectrum_summary(values: DataFrame) -> DataFrame:
     return values.agg(*ranks, (F.pow(F.sum("value"), F.lit(2.0)) / F.sum(F.col("value") * F.col("value"))).alias("participation"))
 
 
-def truncated(protos: DataFrame, rank: int) -> DataFrame:
-    """class_idx, vector: the prototypes cut to their leading `rank` singular directions; a table of classes."""
-    rows = protos.orderBy("class_idx").collect()
-    u, s, v = np.linalg.svd(np.array([r["vector"] for r in rows], float), full_matrices=False)
-    low = (u[:, :rank] * s[:rank]) @ v[:rank]
-    return protos.sparkSession.createDataFrame([(r["class_idx"], [float(x) for x in y]) for r, y in zip(rows, low, strict=True)], protos.select("class_idx", F.col("vector").cast("array<double>").alias("vector")).schema)
+def truncated(protos: DataFrame, rank: int, axes: np.ndarray | None = None) -> DataFrame:
+    """class_idx, vector: the prototypes cut to their leading `rank` singular directions.
+
+    Each row is projected on the leading eigenvectors of the Gram matrix, which are broadcast: a vector times `rank`
+    numbers. axes: those of leading_axes, to save working them out again.
+    """
+    axes = leading_axes(protos) if axes is None else axes
+    shared = protos.sparkSession.sparkContext.broadcast(np.ascontiguousarray(axes[:, :rank]))
+    kind = protos.schema["class_idx"].dataType.simpleString()
+
+    def project(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                x = np.stack(frame["vector"].to_numpy()).astype(np.float64)
+                yield pd.DataFrame({"class_idx": frame["class_idx"], "vector": list(x @ shared.value @ shared.value.T)})
+
+    return protos.select("class_idx", "vector").mapInPandas(project, f"class_idx {kind}, vector array<double>")
+
+
+def leading_axes(vectors: DataFrame, vector: str = "vector") -> np.ndarray:
+    """The singular directions as columns, the strongest first."""
+    matrix, _ = gram(vectors, vector)
+    return np.linalg.eigh(matrix)[1][:, ::-1] if len(matrix) else matrix
 
 
 def retrain_classifier(emb: DataFrame, label: str = "label", vector: str = "embedding", weight: str | None = None, **settings):

@@ -166,6 +166,16 @@ def level_scores(pred: DataFrame) -> DataFrame:
     return macro_f1(pred).join(ranking.select("level", "auroc", (F.col("n_pos") + F.col("n_neg")).alias("n")), "level")
 
 
+def precision_recall_points(pred: DataFrame) -> DataFrame:
+    """level, threshold, precision, recall: of the rows at least as confident, for every confidence that occurs, the share
+    that is right, and how many of all right rows they are (null if none is)."""
+    right = (F.col("label").eqNullSafe(F.col("prediction"))).cast("long")
+    rows = pred.where(F.col("confidence").isNotNull()).select("level", "confidence", right.alias("hit"), F.lit(1).cast("long").alias("n"))
+    run = prefix_sum(rows, ["level"], "confidence", ["hit", "n"], descending=True)
+    whole = rows.groupBy(F.col("level").alias("_level")).agg(F.sum("hit").alias("hits"))
+    return run.join(whole, F.col("level").eqNullSafe(F.col("_level"))).select("level", F.col("confidence").alias("threshold"), (F.col("cum_hit") / F.col("cum_n")).alias("precision"), F.try_divide("cum_hit", "hits").alias("recall"))
+
+
 def knee_point(log: DataFrame, decay: float, tol: float, safety: float = 0.75) -> DataFrame:
     """run_id, knee, recommended: each run's largest x whose debiased moving average is at most tol times the least, and a
     safe share of it.

@@ -325,6 +325,16 @@ def scored(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.round(F.sum("l_extendedprice"), 2).alias("score"))
 
 
+@query("WITH " + RUNS + DELTA + """, v AS (SELECT l_orderkey AS run_id, round(sum(l_extendedprice), 2) AS val FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1), t AS (SELECT l_orderkey AS run_id, round(sum(l_extendedprice), 2) AS test FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1),
+ st AS (""" + ORACLES["run_status"] + "), fd AS (" + ORACLES["format_delta"] + ") SELECT run_id, CAST(r.name AS VARCHAR) AS name, coalesce(text, '') AS delta, val, test, status, run_id = 1 AS is_baseline, row_number() OVER (ORDER BY coalesce(-test, 'infinity'::DOUBLE), run_id) AS place FROM r LEFT JOIN v USING (run_id) LEFT JOIN t USING (run_id) LEFT JOIN st USING (run_id) LEFT JOIN fd USING (run_id)")
+def results_table(spark, d):
+    """Every run with validation and test score, status and what it changed against run 1."""
+    runs, items = runs_of(spark, d), table(spark, d, "lineitem")
+    score = lambda rows: rows.groupBy(F.col("l_orderkey").alias("run_id")).agg(F.round(F.sum("l_extendedprice"), 2).alias("score"))
+    done = items.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("run_id")).distinct()
+    return K.results_table(runs, score(items.where("l_linenumber <= 2")), score(items.where("l_returnflag <> 'N'")), K.run_status(runs, done, ["1", "2"]), 1, K.config_delta(K.flatten_config(runs), 1))
+
+
 @query("WITH " + RUNS + BASELINE + ' SELECT arg_min(run_id, ("at", run_id)) AS run_id, arg_min(score, ("at", run_id)) AS score FROM s WHERE run_id IN (SELECT run_id FROM done)')
 def pick_baseline(spark, d):
     done = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("run_id"))

@@ -290,6 +290,11 @@ def level_scores(spark, d):
     return rounded(T.level_scores(pred(spark, d)), "macro_f1", "auroc")
 
 
+@query(with_views("pred", ", r AS (SELECT level, confidence, count(*) AS n, count(*) FILTER (label = prediction) AS hit FROM pred GROUP BY ALL) SELECT level, confidence AS threshold, round(sum(hit) OVER o / sum(n) OVER o, 9) AS precision, round(sum(hit) OVER o / sum(hit) OVER (PARTITION BY level), 9) AS recall FROM r WINDOW o AS (PARTITION BY level ORDER BY confidence DESC)"))
+def precision_recall_points(spark, d):
+    return rounded(T.precision_recall_points(pred(spark, d)), "precision", "recall")
+
+
 @query("""WITH RECURSIVE log AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY x) AS n FROM (SELECT l_suppkey AS run_id, l_partkey AS x, avg(l_discount) AS y FROM lineitem GROUP BY ALL)),
  m AS (SELECT run_id, n, x, 0.1 * y AS m FROM log WHERE n = 1 UNION ALL SELECT log.run_id, log.n, log.x, 0.9 * m.m + 0.1 * log.y FROM m JOIN log ON log.run_id = m.run_id AND log.n = m.n + 1),
  s AS (SELECT run_id, x, m / (1 - pow(0.9, n)) AS y FROM m) SELECT run_id, max(x)::DOUBLE AS knee, max(x) * 0.75::DOUBLE AS recommended FROM s JOIN (SELECT run_id, min(y) AS least FROM s GROUP BY 1) USING (run_id) WHERE y <= least * 1.1 GROUP BY run_id""")

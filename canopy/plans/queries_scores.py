@@ -99,8 +99,41 @@ def spherical_means(spark, d):
 
 @query(CENT + "SELECT label, round(avg(own), 6) AS own, round(avg(other), 6) AS other, round(avg(own - other), 6) AS margin FROM (SELECT instance_id, label, max(score) FILTER (class_idx = label) AS own, max(score) FILTER (class_idx <> label) AS other FROM cs GROUP BY ALL) GROUP BY label")
 def embedding_geometry(spark, d):
-    truth = table(spark, d, "embeddings").select(F.col("vec_id").alias("instance_id"), "label")
-    return rounded(H.embedding_geometry(cosines(spark, d), truth), "own", "other", "margin", n=6)
+    return rounded(H.embedding_geometry(table(spark, d, "embeddings"), prototypes(spark, d), "vec_id"), "own", "other", "margin", n=6)
+
+
+@query(CENT + "SELECT instance_id, class_idx, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY instance_id ORDER BY score DESC, class_idx) AS INT) AS place FROM cs QUALIFY place <= 3")
+def top_scores(spark, d):
+    return rounded(H.top_scores(table(spark, d, "embeddings"), prototypes(spark, d), "vec_id", 3), "score", n=6)
+
+
+SUMS = CENT + ", w AS (SELECT label AS class_idx, i, sum(x) AS x FROM e GROUP BY ALL), ks AS (SELECT vec_id AS instance_id, n.label, class_idx, sum(n.x * w.x) AS score FROM n JOIN w USING (i) GROUP BY ALL)"
+
+
+def class_sums(spark, d):
+    """Prototypes whose lengths differ: the classes' sums."""
+    dims = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("d", "x")).groupBy("label", "d").agg(F.sum(F.col("x").cast("double")).alias("x"))
+    return dims.groupBy(F.col("label").alias("class_idx")).agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v")).select("class_idx", F.transform("v", lambda p: p["x"]).alias("vector"))
+
+
+@query(SUMS + " SELECT instance_id, class_idx, round(score, 5) AS score FROM ks")
+def kept_norm_scores(spark, d):
+    """Scores against prototypes as they are, lengths included."""
+    return rounded(H.cosine_scores(table(spark, d, "embeddings"), class_sums(spark, d), "vec_id", keep_norms=True), "score", n=5)
+
+
+@query(SUMS + ", b AS (SELECT instance_id, arg_max(class_idx, (round(score, 9), -class_idx)) AS kept FROM ks GROUP BY 1), u AS (SELECT instance_id, arg_max(class_idx, (round(score, 9), -class_idx)) AS unit FROM cs GROUP BY 1) SELECT count(*) AS n, avg((kept = unit)::INT) AS agree FROM b JOIN u USING (instance_id)")
+def kept_norm_agreement(spark, d):
+    """How often the nearest prototype is the same with lengths as without."""
+    e, w = table(spark, d, "embeddings"), class_sums(spark, d)
+    kept = H.nearest_centroid(e, w, "vec_id", keep_norms=True).select("instance_id", F.col("class_idx").alias("kept"))
+    both = kept.join(H.nearest_centroid(e, w, "vec_id"), "instance_id")
+    return both.agg(F.count("*").alias("n"), F.avg((F.col("kept") == F.col("class_idx")).cast("double")).alias("agree"))
+
+
+@query(SUMS + ", l AS (SELECT class_idx, sqrt(sum(x * x)) AS x FROM w GROUP BY 1) SELECT round(min(x), 6) AS least, round(max(x), 6) AS most, round(avg(x), 6) AS mean, round(stddev(x), 6) AS deviation FROM l")
+def prototype_norms(spark, d):
+    return rounded(H.prototype_norms(class_sums(spark, d)), "least", "most", "mean", "deviation", n=6)
 
 
 @query()
@@ -115,8 +148,9 @@ def spectrum_summary(spark, d):
     e, protos = table(spark, d, "embeddings"), prototypes(spark, d)
     found = H.spectrum_summary(H.spectrum(protos))
     truth, out = e.select(F.col("vec_id").alias("instance_id"), F.col("label").cast("string").alias("label"), F.lit(0).alias("level")), None
+    axes = H.leading_axes(protos)
     for rank in (2, 4, 8):
-        best = H.nearest_centroid(e, H.truncated(protos, rank), "vec_id").select("instance_id", F.col("class_idx").cast("string").alias("prediction"))
+        best = H.nearest_centroid(e, H.truncated(protos, rank, axes), "vec_id", keep_norms=True).select("instance_id", F.col("class_idx").cast("string").alias("prediction"))
         f1 = macro_f1(truth.join(best, "instance_id")).select(F.lit(rank).alias("rank"), "macro_f1")
         out = f1 if out is None else out.unionByName(f1)
     return out.crossJoin(F.broadcast(found))  # one row

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_paths: set[str] = set()
+_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder spark.checkpoint.dir names, which all executors share.
 
@@ -29,7 +35,36 @@ def scratch_path(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows of df, written once as Parquet: later reads are the same rows and survive lost executors."""
+    """The rows of df, written once as Parquet: later reads are the same rows and survive lost executors.
+
+    The table stays until discard() names it or clear() ends all of them; at the latest, when the program ends.
+    """
     path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    if not _paths:
+        atexit.register(clear, df.sparkSession)
+    _paths.add(path)
+    _of[found] = path
+    return found
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the tables of frames that stored() returned, once nothing that is still to run reads them."""
+    for df in frames:
+        if path := _of.pop(df, None):
+            _paths.discard(path)
+            remove(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that stored() has written and that is still there: for when no result is to be read any more."""
+    if spark.sparkContext._jsc is None:  # stopped
+        return
+    while _paths:
+        remove(spark, _paths.pop())

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.arrays import l2_normalise
 from ..operators.metrics import class_f1
@@ -38,6 +43,56 @@ def stream_centroids(sums: DataFrame) -> DataFrame:
     return rows.select("label", l2_normalise(F.transform("v", lambda p: p["x"])).alias("vector"))
 
 
+class CentroidState(StatefulProcessor):
+    """Of each class the sum of its unit vectors and their number, kept as long as the class is met again in time."""
+
+    def __init__(self, expiry_ms: int | None):
+        self.expiry_ms = expiry_ms
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("sums", "total array<double>, n long", self.expiry_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known = self.state.get()
+        total, n = (np.array(known[0], np.float64), known[1]) if known is not None else (0.0, 0)
+        for frame in rows:
+            total, n = total + np.sum(np.stack(frame["total"].to_numpy()), axis=0), n + int(frame["n"].sum())
+        self.state.update((total.tolist(), n))
+        norm = float(np.linalg.norm(total))
+        yield pd.DataFrame({"label": [key[0]], "n": [n], "vector": [(total / norm if norm else total).tolist()]})
+
+    def close(self) -> None:
+        pass
+
+
+def stateful_centroids(emb: DataFrame, label: str = "label", vector: str = "embedding", expiry_ms: int | None = None) -> DataFrame:
+    """label, n, vector: after each batch the centroids (unit vectors) of the classes that were in it; update mode.
+
+    Tasks sum their rows first, so a class with most rows sends a row a task to its state. The state, a vector and a
+    number a class, is in the checkpoint: a restarted query goes on from there. With expiry_ms a class that isn't met for
+    so long is forgotten. Needs the RocksDB state store (use_rocksdb).
+    """
+    kind = emb.schema[label].dataType.simpleString()
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict = {}
+        for frame in frames:
+            for name, group in frame.groupby("label", sort=False):
+                x = np.stack(group["vector"].to_numpy()).astype(np.float64)
+                total, n = found.get(name, (0.0, 0))
+                found[name] = total + x.sum(0), n + len(x)
+        yield pd.DataFrame({"label": list(found), "total": [list(t) for t, _ in found.values()], "n": [n for _, n in found.values()]})
+
+    rows = emb.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).select(F.col(label).alias("label"), F.col(vector).alias("vector"))
+    parts = rows.mapInPandas(sums, f"label {kind}, total array<double>, n long")
+    mode = "ProcessingTime" if expiry_ms else "None"
+    return parts.groupBy("label").transformWithStateInPandas(CentroidState(expiry_ms), f"label {kind}, n long, vector array<double>", "Update", mode)
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def stream_macro_f1(pred: DataFrame, path: str, checkpoint: str):
     """Starts a query that writes, after each batch, macro-F1 of all levels to path/batch=n."""
 

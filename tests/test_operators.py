@@ -271,7 +271,7 @@ def test_configurations_of_any_depth(spark):
     assert got == {(1, "a.b.c.d"): "x", (1, "a.b.c.e"): "2", (1, "a.f"): None, (1, "g"): "{odd", (3, "a"): "{}"}
     deep = spark.createDataFrame([(None, '{"a":' * 200 + "1.50" + "}" * 200), (4, '{"x": [1, {"y": "é"}], "s": "{\\"q\\": 1}", "b": true, "f": 1e-3}'), (5, "[1]"), (6, "odd"), (7, None)], "run_id long, config string")
     got = {(r.run_id, r.key): r.value for r in L.flatten_config(deep).collect()}
-    assert got == {(None, ".".join("a" * 200)): "1.50", (4, "x"): '["1",{"y":"é"}]', (4, "s"): '{"q": 1}', (4, "b"): "true", (4, "f"): "1e-3"}
+    assert got == {(None, ".".join("a" * 200)): "1.50", (4, "x"): '[1,{"y":"é"}]', (4, "s"): '{"q": 1}', (4, "b"): "true", (4, "f"): "1e-3"}
 
 
 def test_chain_of_runs_agrees_with_a_loop(spark):
