@@ -70,6 +70,21 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[st
     return joined.select(*keys, order, *sums, *((F.col(f"_in_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in sums))
 
 
+def quantiles_by(df: DataFrame, keys: Sequence[str], column: str, shares: Sequence[float]) -> DataFrame:
+    """keys, q0, q1, ...: the exact quantiles of each key, interpolated linearly, by one running total for all keys."""
+    known = df.where(F.col(column).isNotNull()).select(*keys, column, F.lit(1).alias("n"))
+    names = [f"_s{n}" for n in range(len(keys))]
+    size = known.groupBy(*(F.col(k).alias(x) for k, x in zip(keys, names, strict=True))).agg(F.count("*").alias("_size"))
+    same = F.lit(True)
+    for k, x in zip(keys, names, strict=True):
+        same &= F.col(k).eqNullSafe(F.col(x))
+    rows = prefix_sum(known, keys, column, ["n"]).join(size, same)
+    place = [(F.col("_size") - 1) * F.lit(float(q)) for q in shares]
+    at = lambda k: F.min(F.when(F.col("cum_n") > k, F.col(column)))
+    ends = rows.groupBy(*keys).agg(*(c for n, p in enumerate(place) for c in (at(F.floor(p)).alias(f"a{n}"), at(F.ceil(p)).alias(f"b{n}"), F.max(p - F.floor(p)).alias(f"f{n}"))))
+    return ends.select(*keys, *((F.col(f"a{n}") + (F.col(f"b{n}") - F.col(f"a{n}")) * F.col(f"f{n}")).alias(f"q{n}") for n in range(len(shares))))
+
+
 def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
     """One row, q0, q1, ...: the exact quantiles, interpolated linearly; null if there are no values.
 

@@ -182,6 +182,16 @@ def remap_keys(df: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
     return joined.withColumn("replaced", F.col("new").isNotNull()).withColumn(column, F.coalesce("new", column)).drop("new")
 
 
+def remap_report(remapped: DataFrame, column: str) -> DataFrame:
+    """One row: rows and replaced rows of remap_keys, and how many keys were put in."""
+    return remapped.agg(F.count("*").alias("rows"), F.count_if("replaced").alias("replaced"), F.count_distinct(F.when(F.col("replaced"), F.col(column))).alias("keys"))
+
+
+def names_report(named: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Classes and those without a name in tables of build_names, for each of the keys if there are any."""
+    return named.groupBy(*keys).agg(F.count("*").alias("classes"), F.count_if(F.col("name") == "").alias("missing"))
+
+
 def resolve_names(df: DataFrame, names: DataFrame, column: str) -> DataFrame:
     """Left join on a name table, and whether the name was found."""
     return df.join(names.withColumn("resolved", F.lit(True)), column, "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))

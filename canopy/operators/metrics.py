@@ -98,6 +98,23 @@ def multilabel_f1(scores: DataFrame, threshold: float) -> DataFrame:
     return class_f1(counts)
 
 
+def multilabel_average(scores: DataFrame, threshold: float, average: str = "macro", batch: str | None = None) -> DataFrame:
+    """One row, f1: the mean over classes (macro) or of the pooled counts (micro); F1 is 0 where nothing is right.
+
+    batch: the mean over batches of each one's F1, which depends on how rows were dealt out: for comparison with numbers
+    that were averaged so.
+    """
+    if average not in ("macro", "micro"):
+        raise ValueError(f"unsupported average: {average}")
+    keys = [batch] if batch else []
+    shown, true = F.col("score") >= threshold, F.col("truth") == 1
+    counts = scores.groupBy(*keys, "class").agg(F.count_if(shown & true).alias("tp"), F.count_if(shown & ~true).alias("fp"), F.count_if(~shown & true).alias("fn"))
+    if average == "micro":
+        counts = counts.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    each = class_f1(counts).groupBy(*keys).agg(F.avg("f1").alias("f1"))
+    return each.agg(F.avg("f1").alias("f1")) if batch else each
+
+
 def best_threshold(scores: DataFrame, steps: int = 20) -> DataFrame:
     """The lowest of the grid thresholds k / steps with the best pooled F1. One histogram, no copy of the scores."""
     cell = F.least(F.floor(F.col("score") * steps + 1e-9), F.lit(steps)).cast("int")

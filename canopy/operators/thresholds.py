@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ordering import prefix_sum, quantiles
+from ..functions.ordering import prefix_sum, quantiles, quantiles_by
 from ..functions.scans import affine_scan, places
 from ..sources.scratch import stored
 from .metrics import macro_f1, rate
@@ -41,14 +41,15 @@ def gate_per_class(pred: DataFrame, k: int, key: str = "instance_id") -> DataFra
 
 
 def gate_report(pred: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows, accuracy, classes and confidence quantiles before and after a gate."""
-
-    def of(df: DataFrame, name: str) -> DataFrame:
-        out = df.agg(F.count("*").alias("n"), rate(F.col("label") == F.col("prediction")).alias("accuracy"), F.count_distinct("prediction").alias("classes"))
-        q = quantiles(df, "confidence", [0.1, 0.5, 0.9, 0.99])
-        return out.crossJoin(F.broadcast(q)).select(F.lit(name).alias("stage"), "n", "accuracy", "classes", *(F.col(f"q{n}").alias(c) for n, c in enumerate(("p10", "p50", "p90", "p99"))))  # one row each
-
-    return of(pred, "before").unionByName(of(kept, "after"))
+    """Rows, accuracy, classes and confidence quantiles before and after a gate, both by the same running total."""
+    part = lambda df, name: df.select(F.lit(name).alias("stage"), "label", "prediction", "confidence")
+    both = part(pred, "before").unionByName(part(kept, "after"))
+    out = both.groupBy("stage").agg(F.count("*").alias("n"), rate(F.col("label") == F.col("prediction")).alias("accuracy"), F.count_distinct("prediction").alias("classes"))
+    stages = pred.sparkSession.createDataFrame([("before",), ("after",)], "stage string")  # a side without rows has its row as well
+    q = quantiles_by(both, ["stage"], "confidence", [0.1, 0.5, 0.9, 0.99])
+    rows = stages.join(out, "stage", "left").join(q, "stage", "left")
+    counted = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n", "classes")]
+    return rows.select("stage", counted[0], "accuracy", counted[1], *(F.col(f"q{n}").alias(c) for n, c in enumerate(("p10", "p50", "p90", "p99"))))
 
 
 def shown_by_confidence(pred: DataFrame, keys: Sequence[str]) -> DataFrame:

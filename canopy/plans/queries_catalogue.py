@@ -191,6 +191,18 @@ def remap_keys(spark, d):
     return C.remap_keys(catalogue(spark, d), m, "leaf").select("id", "leaf", "replaced")
 
 
+@query(with_views("catalogue", MAPPED + "SELECT count(*) AS rows, count(new) AS replaced, count(DISTINCT new) AS keys FROM catalogue LEFT JOIN m ON leaf = old"))
+def remap_report(spark, d):
+    m = table(spark, d, "lineitem").where("l_suppkey % 2 = 0").select(F.col("l_suppkey").cast("string").alias("old"), (F.col("l_suppkey") + 100000).cast("string").alias("new")).distinct()
+    return C.remap_report(C.remap_keys(catalogue(spark, d), m, "leaf"), "leaf")
+
+
+@query(with_views("catalogue", VOCAB + """, nm AS (SELECT leaf, arg_min(CASE WHEN id % 3 = 0 THEN country ELSE '' END, id) AS name FROM catalogue GROUP BY leaf) SELECT count(*) AS classes, count(*) FILTER (coalesce(name, '') = '') AS missing FROM v LEFT JOIN nm ON class = leaf WHERE level = 'leaf'"""))
+def names_report(spark, d):
+    c = catalogue(spark, d).withColumns({"one": F.when(F.col("id") % 3 == 0, F.col("country")), "two": F.lit(None).cast("string")})
+    return C.names_report(C.build_names(c, C.build_vocab(c, LEVELS), "leaf", "one", "two", "two", "id"))
+
+
 @query(with_views("catalogue", "SELECT resolved, count(*) AS n FROM (SELECT s_suppkey IS NOT NULL AS resolved FROM catalogue LEFT JOIN supplier ON leaf = CAST(s_suppkey AS VARCHAR)) GROUP BY 1"))
 def resolve_names(spark, d):
     names = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("leaf"), "s_name")

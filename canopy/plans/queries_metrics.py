@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scans import places
@@ -90,6 +93,15 @@ def multilabel_f1(spark, d):
     return rounded(E.multilabel_f1(multilabel(spark, d), 0.6), "f1")
 
 
+@query(with_views("scores", MULTI + """, c AS (SELECT instance_id % 8 AS b, class, count(*) FILTER (score >= 0.6 AND truth = 1) AS tp, count(*) FILTER (score >= 0.6 AND truth = 0) AS fp, count(*) FILTER (score < 0.6 AND truth = 1) AS fn FROM m GROUP BY ALL), k AS (SELECT class, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM c GROUP BY 1),
+ p AS (SELECT b, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM c GROUP BY 1) SELECT 'macro' AS average, round(avg(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END), 9) AS f1 FROM k UNION ALL SELECT 'micro', round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 9) FROM k
+ UNION ALL SELECT 'macro a batch', round(avg(f), 9) FROM (SELECT avg(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END) AS f FROM c GROUP BY b) UNION ALL SELECT 'micro a batch', round(avg(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END), 9) FROM p"""))
+def multilabel_average(spark, d):
+    rows = multilabel(spark, d).withColumn("batch", F.col("instance_id") % 8)
+    found = [E.multilabel_average(rows, 0.6, how, batch).select(F.lit(how + (" a batch" if batch else "")).alias("average"), "f1") for how in ("macro", "micro") for batch in (None, "batch")]
+    return rounded(reduce(DataFrame.unionByName, found), "f1")
+
+
 @query(with_views("scores", MULTI + ", g AS (SELECT i / 20.0 AS t, i FROM range(0, 21) r(i)), f AS (SELECT t, 2 * count(*) FILTER (truth = 1) / (count(*) + (SELECT sum(truth) FROM m)) AS f1 FROM g JOIN m ON least(floor(score * 20 + 1e-9), 20) >= i GROUP BY t) SELECT CAST(t AS DOUBLE) AS threshold, round(f1, 9) AS f1 FROM f ORDER BY f.f1 DESC, t LIMIT 1"))
 def best_threshold(spark, d):
     return rounded(E.best_threshold(multilabel(spark, d)), "f1")
