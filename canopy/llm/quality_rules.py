@@ -11,7 +11,8 @@ A group's quartiles are drawn toward those of its language, and these toward tho
 `prior` rows: no size changes the way a threshold is made. The threshold lies `spread` times the distance from the
 lower quartile to the median above the median (for lengths of words also as many times the distance to the upper
 quartile below it). The half of the texts that a suspect tail can't reach sets it, so up to half of a group may be
-junk. No rule has a cut-off of its own.
+junk. For capitals and lengths of words it is wider by what chance does to a text of few words. No rule has a cut-off
+of its own.
 
 Words are runs of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 
@@ -40,6 +41,14 @@ BUCKETS = 100  # in a factor of e
 SPREAD, PRIOR = 6.0, 100
 SALTS = 32
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
+#: Standard deviations of a text's own chance that are added to a threshold, and that of a word's length against its mean.
+CHANCE, WORD_SPREAD = 4.0, 0.6
+#: By how many buckets chance alone moves a text of this length, where `mid` is its group's median: capitals as a count
+#: with the group's share, lengths of words as a mean. The other rules' signs don't come one by one.
+SLACK = {
+    "upper": f"{CHANCE * BUCKETS} / sqrt(1 + word_chars * exp(mid / {BUCKETS}.0) / (1 + exp(mid / {BUCKETS}.0)))",
+    "word_length": f"{CHANCE * BUCKETS * WORD_SPREAD} / sqrt(greatest(n_words, 1))",
+}
 #: Rule: (odds, from the columns of MEASURED; whether low values are suspect too).
 RULES = {
     "symbols": ("(n_symbols + 1) / (greatest(word_chars - n_symbols, 0) + 1)", False),
@@ -108,7 +117,7 @@ def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
 
 
 def fences(sketch: DataFrame, spread: float, prior: int) -> DataFrame:
-    """_lang, _source and a struct (low, high) for each rule."""
+    """_lang, _source and a struct (low, high, mid) for each rule."""
     quarters = ["q1", "q2", "q3"]
 
     def drawn(own: DataFrame, parent: DataFrame, on: Column) -> DataFrame:
@@ -122,7 +131,7 @@ def fences(sketch: DataFrame, spread: float, prior: int) -> DataFrame:
     high = F.col("q2") + spread * F.greatest(F.col("q2") - F.col("q1"), F.lit(1.0))
     low = F.when(F.col("measure").isin([k for k, (_, both) in RULES.items() if both]), F.col("q2") - spread * F.greatest(F.col("q3") - F.col("q2"), F.lit(1.0)))
     wide = known.groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source")).pivot("measure", list(RULES))
-    return wide.agg(F.first(F.struct(low.alias("low"), high.alias("high"))))
+    return wide.agg(F.first(F.struct(low.alias("low"), high.alias("high"), F.col("q2").alias("mid"))))
 
 
 def quality_rules(docs: DataFrame, spread: float = SPREAD, prior: int = PRIOR, id_column: str = "doc_id", carry: bool = False) -> DataFrame:
@@ -138,7 +147,8 @@ def quality_rules(docs: DataFrame, spread: float = SPREAD, prior: int = PRIOR, i
     rows = measured.withColumn("_salt", F.pmod(F.xxhash64("_id", "n_words", "word_chars"), F.lit(SALTS)))
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_salt") == F.col("_with"))
     rows = rows.join(known.select("*", salts), same, "left")
-    broken = [F.when((bucket(odds) > F.col(k)["high"]) | (bucket(odds) < F.coalesce(F.col(k)["low"], F.lit(float("-inf")))), F.lit(k)) for k, (odds, _) in RULES.items()]
+    slack = {k: F.expr(SLACK[k].replace("mid", f"{k}.mid")) if k in SLACK else F.lit(0.0) for k in RULES}
+    broken = [F.when((bucket(odds) > F.col(k)["high"] + slack[k]) | (bucket(odds) < F.coalesce(F.col(k)["low"], F.lit(float("-inf"))) - slack[k]), F.lit(k)) for k, (odds, _) in RULES.items()]
     failed = F.filter(F.array(*broken), lambda x: x.isNotNull())
     out = rows.select(F.col("_id").alias(id_column), "lang", "source", *MEASURED, F.expr(BASE_FAILED).alias("base_failed"), failed.alias("failed"), *(["row"] if carry else []))
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
@@ -175,13 +185,14 @@ def sql(spread: float = SPREAD, prior: int = PRIOR) -> str:
         return f"SELECT {group}, max(n) AS n, " + ", ".join(f"CAST(min(bucket) FILTER (upto * 4 >= n * {k}) AS DOUBLE) AS q{k}" for k in (1, 2, 3)) + f" FROM ({ranked}) GROUP BY {group}"
 
     drawn = ", ".join(f"(CAST(o.n AS DOUBLE) * o.q{k} + {prior} * p.q{k}) / (CAST(o.n AS DOUBLE) + {prior}) AS q{k}" for k in (1, 2, 3))
+    slack = "CASE c.measure " + " ".join(f"WHEN '{k}' THEN {x}" for k, x in SLACK.items()) + " ELSE 0 END"
     both = ", ".join(f"'{k}'" for k, (_, low) in RULES.items() if low)
     return f"""WITH {measures_sql()},
  cell AS ({cells}),
  q_all AS ({of()}), q_lang AS ({of("lang")}), q_own AS ({of("lang", "source")}),
  l AS (SELECT o.lang, o.measure, {drawn} FROM q_lang o JOIN q_all p ON o.measure = p.measure),
- f AS (SELECT lang, source, measure, q2 + {spread}::DOUBLE * greatest(q2 - q1, 1.0::DOUBLE) AS high, CASE WHEN measure IN ({both}) THEN q2 - {spread}::DOUBLE * greatest(q3 - q2, 1.0::DOUBLE) END AS low
+ f AS (SELECT lang, source, measure, q2 + {spread}::DOUBLE * greatest(q2 - q1, 1.0::DOUBLE) AS high, CASE WHEN measure IN ({both}) THEN q2 - {spread}::DOUBLE * greatest(q3 - q2, 1.0::DOUBLE) END AS low, q2 AS mid
  FROM (SELECT o.lang, o.source, o.measure, {drawn} FROM q_own o JOIN l p ON o.measure = p.measure AND o.lang IS NOT DISTINCT FROM p.lang)),
  bad AS (SELECT rid, string_agg(c.measure, ',' ORDER BY place) AS failed FROM cell c JOIN f ON c.measure = f.measure AND c.lang IS NOT DISTINCT FROM f.lang AND c.source IS NOT DISTINCT FROM f.source
- WHERE bucket > high OR (low IS NOT NULL AND bucket < low) GROUP BY rid)
+ JOIN m USING (rid) WHERE bucket > high + {slack} OR (low IS NOT NULL AND bucket < low - {slack}) GROUP BY rid)
 SELECT doc_id, {", ".join(BASE)}, {BASE_FAILED} AS base_failed, NOT ({BASE_FAILED}) AND failed IS NULL AS kept, coalesce(failed, '') AS failed FROM m LEFT JOIN bad USING (rid)"""

@@ -188,6 +188,19 @@ def test_op4_thresholds_are_the_groups_own(spark):
     assert all(("symbols" in got[i].failed) == (i % 5 >= 3) for i in got)
 
 
+def test_op4_keeps_short_clean_texts(spark):
+    """Chance moves the shares of short texts more than those of long ones: with few words a few capitals or long words are none of junk."""
+    rng = np.random.default_rng(1)
+
+    def text(n, p_upper=0.02, letters=6):
+        return " ".join("".join(rng.choice(list("abcdefgh")) if rng.random() > p_upper else rng.choice(list("ABC")) for _ in range(max(1, int(rng.normal(letters, 2))))) for _ in range(n))
+
+    rows = [(i, text(2000)) for i in range(60)] + [(100 + i, text(52)) for i in range(60)] + [(200, text(60, 0.6)), (201, text(60, 0.02, 25)), (202, text(60, 0.02, 1.2))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    kept = {r.doc_id: (r.kept, r.failed) for r in quality_rules.quality_rules(df, prior=1).collect()}
+    assert all(kept[i][0] for i in range(200) if i in kept) and not any(kept[i][0] for i in (200, 201, 202))
+
+
 def test_op4_sketches_merge(spark):
     df = spark.createDataFrame([(i, "w " * (60 + i), "en" if i % 2 else None, "s") for i in range(40)], "doc_id long, text string, lang string, source string")
     whole = quality_rules.quality_rules(df).collect()
