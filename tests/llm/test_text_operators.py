@@ -149,6 +149,49 @@ def test_op3_is_right_on_held_out_labels(spark):
     assert np.mean([r.predicted == labels[r.doc_id] for r in held]) > 0.95
 
 
+def plain_terms(text):
+    """Term counts by a loop over tokens, in whole numbers."""
+    import xxhash
+
+    out, tokens, most = Counter(), (text or "").split(), 2**64
+    if not tokens:
+        return np.zeros(quality_knn.TERMS)
+    words = [xxhash.xxh64_intdigest(t.lower()) for t in tokens]
+    shapes = [xxhash.xxh64_intdigest(re.sub(r"(.)\1+", r"\1", "".join(quality_knn.SHAPE.get(ord(c), c) for c in t)), 1) for t in tokens]
+    mix = lambda a, b: (x := (a * 0x9E3779B97F4A7C15 % most) ^ b) ^ (x >> 31)
+    pairs = [mix(a, b) for a, b in zip(shapes, shapes[1:], strict=False)]
+    out.update(h % quality_knn.TERMS for h in [*words, *shapes, *pairs])
+    lines, twice = [x for x in text.split("\n") if x.strip()], Counter(mix(a, b) for a, b in zip(words, words[1:], strict=False))
+    tenths = lambda rate: min(10, int(rate * 10 + 0.999))
+    rates = {"words": sum(a == b for a, b in zip(words, words[1:], strict=False)) / len(words), "lines": 1 - len(set(lines)) / max(1, len(lines)), "pairs": sum(n for n in twice.values() if n > 1) / max(1, len(words) - 1)}
+    for name, rate in rates.items():
+        out[zlib.crc32(f"{name} {tenths(rate)}".encode()) % quality_knn.TERMS] += max(1, len(words) // 4)
+    out[zlib.crc32(f"size {len(words).bit_length()}".encode()) % quality_knn.TERMS] += 1
+    return np.log1p(np.array([out[n] for n in range(quality_knn.TERMS)], float))
+
+
+def test_op3_agrees_with_all_cosines_and_votes(spark, texts):
+    """Every text against every labelled one: all cosines in double precision, sorted whole, and their votes."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet").where(quality_knn.learnable())
+    known = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and r.doc_id in texts}
+    ids = sorted(known)
+    counts = np.array([plain_terms(texts[i]) for i in ids])
+    weight = np.log((1 + len(ids)) / (1 + (counts > 0).sum(0))) + 1
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    _, axes, _, _ = quality_knn.fit(docs, labels, quality_knn.NEIGHBOURS, quality_knn.WIDTH, "doc_id", "quality")
+    rows, best = unit(counts * weight), np.linalg.svd(unit(counts * weight), full_matrices=False)[2][: axes.shape[1]].T
+    assert np.linalg.norm(rows @ axes) ** 2 > 0.98 * np.linalg.norm(rows @ best) ** 2  # the axes are the leading ones
+    vectors, said = unit(rows @ axes), np.array([known[i] for i in ids], float)
+    every = {i: unit(unit(plain_terms(t)[None] * weight) @ axes)[0] @ vectors.T for i, t in texts.items()}
+    for r in Q.op3_quality_classifier(spark, SF).collect():
+        cosine = every[r.doc_id]
+        near = np.argsort(-cosine)[: quality_knn.VOTES]
+        votes = np.maximum(cosine[near], 0)
+        edge = np.sort(cosine)[::-1][quality_knn.VOTES - 1 : quality_knn.VOTES + 1]
+        tie = len(edge) > 1 and edge[0] - edge[1] < 1e-4  # single precision may take the other one
+        assert r.score == pytest.approx(votes @ said[near] / votes.sum() if votes.sum() > 0 else said.mean(), abs=0.05 if tie else 1e-4)
+
+
 def brute_measure(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     wins = Counter(zip(words, words[1:], words[2:], strict=False))
