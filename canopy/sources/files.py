@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +68,31 @@ def catalogue_from_predictions(pred: DataFrame, levels: Sequence[str]) -> DataFr
     """One row an instance with its label at each level; set is '0'."""
     cols = [F.max(F.when(F.col("level") == n, F.col("label"))).alias(c) for n, c in enumerate(levels)]
     return pred.groupBy("instance_id", "filename").agg(*cols).withColumn("set", F.lit("0"))
+
+
+def read_yaml_runs(spark: SparkSession, root: str, section: str | None = None, name: str = "config.yaml") -> DataFrame:
+    """run_id, run_dir, name, config (as JSON), readable: one YAML file a run, in folders <date>-<time>-<name>.
+
+    section: take the configuration from below this key (none there: {}). A file that isn't YAML has no config and is not
+    readable: the caller leaves it out or reports it. Needs PyYAML on the executors.
+    """
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+
+        def config(text: str) -> str | None:
+            try:
+                found = yaml.safe_load(text) or {}
+            except yaml.YAMLError:
+                return None
+            if section is not None:
+                found = (found.get(section) if isinstance(found, dict) else None) or {}
+            return json.dumps(found, default=str, ensure_ascii=False)
+
+        for frame in frames:
+            yield pd.DataFrame({"run_dir": frame["run_dir"], "config": [config(t) for t in frame["value"]]})
+
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name).select("value", F.element_at(F.split(F.input_file_name(), "/"), -2).alias("run_dir"))
+    rest = F.substring("run_dir", F.length(F.substring_index("run_dir", "-", 2)) + 2, F.length("run_dir"))
+    run_name = F.when(F.size(F.split("run_dir", "-")) > 2, rest).otherwise(F.col("run_dir"))
+    return files.mapInPandas(of, "run_dir string, config string").select(F.substring_index("run_dir", "-", 2).alias("run_id"), "run_dir", run_name.alias("name"), "config", F.col("config").isNotNull().alias("readable"))

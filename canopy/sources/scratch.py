@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 import weakref
@@ -43,7 +44,7 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     if not _paths:
-        atexit.register(clear, df.sparkSession)
+        atexit.register(at_end, df.sparkSession)
     _paths.add(path)
     _of[found] = path
     return found
@@ -62,6 +63,12 @@ def discard(*frames: DataFrame) -> None:
             remove(df.sparkSession, path)
 
 
+def at_end(spark: SparkSession) -> None:
+    """clear(), where the JVM is still there."""
+    with contextlib.suppress(Exception):
+        clear(spark)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all that stored() has written and that is still there: for when no result is to be read any more."""
     if spark.sparkContext._jsc is None:  # stopped

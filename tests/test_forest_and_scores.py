@@ -139,3 +139,19 @@ def test_bucketed_manifests_meet_without_a_shuffle(spark):
     finally:
         spark.sql("drop table manifest_expected")
         spark.sql("drop table manifest_present")
+
+
+def test_runs_in_yaml(spark, tmp_path):
+    pytest.importorskip("yaml")
+    from canopy.sources import files
+
+    texts = {"20260101-120000-base-model": "desc: first\ntrain:\n  lr: 0.1\n  aug:\n    warp: null\n    sizes: [1, 2]\n", "20260102-120000": "desc: none\n", "20260103-120000-odd": "a: [1\nb: }"}
+    for folder, text in texts.items():
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "config.yaml").write_text(text)
+    rows = {r.run_id: r for r in files.read_yaml_runs(spark, str(tmp_path), section="train").collect()}
+    assert {k: (r.name, r.config, r.readable) for k, r in rows.items()} == {
+        "20260101-120000": ("base-model", '{"lr": 0.1, "aug": {"warp": null, "sizes": [1, 2]}}', True), "20260102-120000": ("20260102-120000", "{}", True), "20260103-120000": ("odd", None, False),
+    }
+    flat = K.flatten_config(files.read_yaml_runs(spark, str(tmp_path), section="train").where("readable"))
+    assert {(r.key, r.value) for r in flat.collect()} == {("lr", "0.1"), ("aug.warp", None), ("aug.sizes", "[1,2]")}
