@@ -15,7 +15,7 @@ Blocks of rows are packed where the rows are read, so that no key or group is ga
 hash. Scores are computed in floating point where it is exact (all partial sums below 2^53), else in whole numbers of
 any size; a score beyond 64 bits is an error.
 
-Results for special cases: rows with a null label, a null vector or any null or non-finite component take no part, nor
+Ids and labels are whole numbers. Results for special cases: rows with a null label, a null vector or any null or non-finite component take no part, nor
 do rows without an id; a shorter vector counts as ending in zeros. Repeated rows are rows of their own: an anchor's
 copies are other rows of its label, and each copy of an anchor row gives its results. Fewer rows than asked for are all
 returned. Ties go by the smaller id. An empty table gives an empty result. Other columns are ignored.
