@@ -9,13 +9,15 @@ last resort is uniform over what is left.
 The trie grows with the corpus, so it is never in one place: the counts of four-byte contexts are a table. Texts are
 dealt into batches of about `BATCH_BYTES`; each batch asks for the distinct grams and words that it has, the answers
 come from joins with the tables of counts, and a second look at the batch (the same shuffle) adds them up. Only the
-contexts of two bytes and less, at most 65,536 rows of 256 numbers or 64 MB for any corpus, are broadcast.
+contexts of two bytes and less, at most 65,536 rows of 256 numbers or 64 MB for any corpus, are broadcast. Texts are
+shuffled in compressed form. Rows that repeat both id and text become one row with their number before that shuffle,
+and rows again once they are scored, so that any number of them is little for the batch that they meet in.
 
 Beside it stands a unigram base score over white-space words, by the same joins.
 
 Results for special cases: null or empty text has the end token alone and a score of 0.0 (no byte to code); with no
 training text all bytes have 1/256 and the base is log10(0.5 / 0.5) for each token. Repeated rows are scored alike and
-count each time in training. Other columns are ignored.
+count each time in training, and each gets a row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .base import by_rows, stored, whole_text, worker_memo
@@ -37,6 +40,8 @@ LONG = 4  # bytes of the longest context
 BATCH_BYTES = 16 << 20
 BLOCK = 1 << 20  # grams that are worked on at once
 FLUSH_WORDS = 400_000
+HELD_BYTES = 16 << 20  # compressed texts that a task holds while it looks for repeated rows
+MOST_COPIES = 1 << 16  # rows that one row stands for at most
 
 
 def grams(raw: bytes, start: int = 0, end: int | None = None) -> np.ndarray:
@@ -74,6 +79,44 @@ def strings(words: list[bytes]) -> pd.Series:
     return pd.Series([w.decode() for w in words], dtype=object)
 
 
+def dealt(source: DataFrame, batch: Column) -> DataFrame:
+    """batch, _id, packed (the compressed text), n: rows of _id and _text; equal ones that a task meets are one row."""
+    kind = source.schema["_id"].dataType.simpleString()
+
+    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        squeeze, held, size = zstandard.ZstdCompressor(level=1).compress, {}, 0
+
+        def out() -> pd.DataFrame:
+            batches, ids, texts = zip(*held, strict=True)
+            frame = pd.DataFrame({"batch": batches, "_id": pd.Series(ids, dtype=ids_of), "packed": pd.Series(texts, dtype=object), "n": [*held.values()]})
+            held.clear()
+            return frame
+
+        for frame in frames:
+            ids_of = frame["_id"].dtype
+            for at, key, text in zip(frame["batch"], frame["_id"], frame["_text"], strict=True):
+                row = (at, None if pd.isna(key) else key, squeeze(text.encode()))
+                n = held[row] = held.get(row, 0) + 1
+                size += len(row[2]) if n == 1 else 0
+                if size >= HELD_BYTES or n >= MOST_COPIES:
+                    yield out()
+                    size = 0
+        if held:
+            yield out()
+
+    return source.select(batch.alias("batch"), "_id", "_text").mapInPandas(merge, f"batch long, _id {kind}, packed binary, n long")
+
+
+def texts_of(group: pd.DataFrame) -> tuple[np.ndarray, list[bytes]]:
+    """The distinct texts of a batch, and for each row which it has."""
+    import zstandard
+
+    where, each = pd.factorize(group["packed"])
+    return where, [*map(zstandard.ZstdDecompressor().decompress, each)]
+
+
 def gathered(docs: DataFrame, train: Column) -> DataFrame:
     """gram, word, n: counts of grams (word null), words (gram null) and ends (both null) in the training texts."""
 
@@ -188,7 +231,7 @@ def short_of(shared) -> Short:
 
 def asked(group: pd.DataFrame) -> pd.DataFrame:
     """batch, key, word: the distinct grams (the number itself), longest contexts (-1 less the context) and words of a batch of texts."""
-    texts = [t.encode() for t in group["_text"]]
+    _, texts = texts_of(group)
     found = [pd.unique(g) for _, g in blocks_of(texts)]
     each = pd.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
     keys = np.concatenate([each, -1 - pd.unique(each >> 8)])
@@ -222,13 +265,14 @@ def score_texts(docs: DataFrame, train: Column, id_column: str = "doc_id") -> Da
     below = float(np.log10(tokens + 0.5 * (distinct + 1)))
     shared = docs.sparkSession.sparkContext.broadcast(short_contexts(counts))
     kind = docs.schema[id_column].dataType.simpleString()
-    source = docs.select(F.col(id_column).alias("_id"), whole_text().alias("_text"))
+    whole = isinstance(docs.schema[id_column].dataType, T.IntegralType)  # in pandas a null would make these floats
+    source = docs.select((F.col(id_column).cast("string") if whole else F.col(id_column)).alias("_id"), whole_text().alias("_text"))
     size = source.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
-    batch = F.pmod(F.xxhash64("_id", "_text"), F.lit(max(1, math.ceil(size / BATCH_BYTES)))).alias("batch")
-    texts = source.select(batch, "_id", "_text").groupBy("batch")
+    batch = F.pmod(F.xxhash64("_id", "_text"), F.lit(max(1, math.ceil(size / BATCH_BYTES))))
+    texts = dealt(source, batch).groupBy("batch")
 
     def score(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        short, raws = short_of(shared), [t.encode() for t in group["_text"]]
+        short, (which, raws) = short_of(shared), texts_of(group)
         of_word = answers["word"].notna().to_numpy()
         count = dict(zip((w.encode() for w in answers["word"][of_word]), answers["value"][of_word], strict=True))
         rest = answers[~of_word]
@@ -253,9 +297,10 @@ def score_texts(docs: DataFrame, train: Column, id_column: str = "doc_id") -> Da
         for raw in raws:
             c = np.array([*(count.get(w, 0.0) for w in words_of(raw)), float(ends)])
             out.append((len(c), int((c > 0).sum()), float((np.log10(c + 0.5) - below).sum())))
-        base = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score"])
-        return base.assign(_id=group["_id"].to_numpy(), score=scores)[["_id", "n_tokens", "n_known", "base_score", "score"]]
+        rows = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score"]).assign(score=scores).iloc[which].reset_index(drop=True)
+        return pd.concat([group[["_id", "n"]].reset_index(drop=True), rows], axis=1)
 
     answers = answered(texts.applyInPandas(asked, "batch long, key long, word string"), counts)
-    scored = texts.cogroup(answers.groupBy("batch")).applyInPandas(score, f"_id {kind}, n_tokens long, n_known long, base_score double, score double")
-    return scored.select(F.col("_id").alias(id_column), "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score")
+    scored = texts.cogroup(answers.groupBy("batch")).applyInPandas(score, f"_id {'string' if whole else kind}, n long, n_tokens long, n_known long, base_score double, score double")
+    scored = scored.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    return scored.select(F.col("_id").cast(kind).alias(id_column), "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score")
