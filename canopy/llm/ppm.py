@@ -32,11 +32,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .base import by_rows, stored, whole_text, worker_memo
 
 LONG = 4  # bytes of the longest context
+WORD_KEYS = 1 << 40  # beyond all grams
 BATCH_BYTES = 16 << 20
 BLOCK = 1 << 20  # grams that are worked on at once
 FLUSH_WORDS = 400_000
@@ -71,6 +71,18 @@ def blocks_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.concatenate(rows), np.concatenate(found)
 
 
+def counted_up(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, with the sums of their counts (each counts once where none are given)."""
+    if counts is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys, kind="stable")  # a merge, as these are two ordered runs
+        keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    sums = np.diff(starts, append=len(keys)) if counts is None else np.add.reduceat(counts, starts) if len(keys) else counts
+    return keys[starts], sums
+
+
 def words_of(raw: bytes) -> list[bytes]:
     return raw.lower().split()
 
@@ -132,8 +144,8 @@ def gathered(docs: DataFrame, train: Column) -> DataFrame:
             for raw in texts:
                 words.update(words_of(raw))
             for _, found in blocks_of(texts):
-                where, each = pd.factorize(np.concatenate([keys, found]))
-                keys, counts = each, np.bincount(where, np.concatenate([counts, np.ones(len(found), np.int64)]), len(each)).astype(np.int64)
+                each, times = counted_up(found)
+                keys, counts = counted_up(np.concatenate([keys, each]), np.concatenate([counts, times]))
                 if len(keys) > 2 * BLOCK:
                     yield frame(keys, None, counts)
                     keys, counts = keys[:0], counts[:0]
@@ -229,32 +241,41 @@ def short_of(shared) -> Short:
     return memo["short"]
 
 
+def all_words(texts: list[bytes]) -> list[bytes]:
+    """The distinct words of a batch of texts, in order."""
+    found: set[bytes] = set()
+    for raw in texts:
+        found.update(words_of(raw))
+    return sorted(found)
+
+
 def asked(group: pd.DataFrame) -> pd.DataFrame:
-    """batch, key, word: the distinct grams (the number itself), longest contexts (-1 less the context) and words of a batch of texts."""
+    """batch, key, word: what a batch of texts needs to know. The key is the number of a gram, -1 less that of a longest
+    context, or WORD_KEYS and the place of a word among all words of the batch."""
     _, texts = texts_of(group)
-    found = [pd.unique(g) for _, g in blocks_of(texts)]
-    each = pd.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-    keys = np.concatenate([each, -1 - pd.unique(each >> 8)])
-    words: set[bytes] = set()
-    for raw in texts:
-        words.update(words_of(raw))
-    key = pd.arrays.IntegerArray(np.concatenate([keys, np.zeros(len(words), np.int64)]), np.arange(len(keys) + len(words)) >= len(keys))
-    return pd.DataFrame({"batch": group["batch"].iloc[0], "key": key, "word": pd.concat([pd.Series([None] * len(keys), dtype=object), strings([*words])], ignore_index=True)})
+    each = np.empty(0, np.int64)
+    for _, found in blocks_of(texts):
+        each = np.union1d(each, counted_up(found)[0])
+    keys, words = np.concatenate([each, -1 - np.unique(each >> 8)]), all_words(texts)
+    word = pd.concat([pd.Series([None] * len(keys), dtype=object), strings(words)], ignore_index=True)
+    return pd.DataFrame({"batch": group["batch"].iloc[0], "key": np.concatenate([keys, WORD_KEYS + np.arange(len(words))]), "word": word})
 
 
 def answered(requests: DataFrame, counts: DataFrame) -> DataFrame:
-    """batch, key, word, value, seen: for a gram log10 of its probability in the longest context, for a context log10 of
-    its escape and the symbols seen there, for a word its count; what training lacks has no row. One join for all three."""
-    grams_ = counts.where("gram is not null").select("gram", F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).cast("short").alias("symbol"), "n")
-    context = Window.partitionBy("context")
-    size = F.sum("n").over(context) + F.count("*").over(context)
-    no_word, none = F.lit(None).cast("string").alias("known_word"), F.lit(None).cast("array<short>").alias("seen")
-    of_gram = grams_.select(F.col("gram").alias("known"), no_word, F.log10(F.col("n") / size).alias("value"), none)
-    escape = F.log10(F.count("*") / (F.sum("n") + F.count("*")))
-    of_context = grams_.groupBy("context").agg(escape.alias("value"), F.collect_list("symbol").alias("seen")).select((-1 - F.col("context")).alias("known"), no_word, "value", "seen")
-    of_word = counts.where("word is not null").select(F.lit(None).cast("long").alias("known"), F.col("word").alias("known_word"), F.col("n").cast("double").alias("value"), none)
-    known = of_gram.unionByName(of_context).unionByName(of_word)
-    return requests.join(known, F.col("key").eqNullSafe(F.col("known")) & F.col("word").eqNullSafe(F.col("known_word"))).select("batch", "key", "word", "value", "seen")
+    """batch, key, value, seen: for a gram log10 of its probability in the longest context, for a context log10 of
+    its escape and the symbols seen there, for a word its count; what training lacks has no row.
+
+    One join for all three, on one number: a word's is its hash, and what meets there is compared as it is.
+    """
+    grams_ = counts.where("gram is not null").select(F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).cast("short").alias("symbol"), "n")
+    contexts = grams_.groupBy("context").agg((F.sum("n") + F.count("*")).alias("size"), F.collect_list(F.struct("symbol", "n")).alias("found"))
+    escape = F.struct((-1 - F.col("context")).alias("known"), F.log10(F.size("found") / F.col("size")).alias("value"), F.col("found.symbol").alias("seen"))
+    symbols = F.transform("found", lambda x: F.struct((F.shiftleft("context", 8) + x["symbol"]).alias("known"), F.log10(x["n"] / F.col("size")).alias("value"), F.lit(None).cast("array<short>").alias("seen")))
+    of_gram = contexts.select(F.explode(F.concat(F.array(escape), symbols)).alias("row")).select("row.known", F.lit(None).cast("string").alias("known_word"), "row.value", "row.seen")
+    of_word = counts.where("word is not null").select(F.xxhash64("word").alias("known"), F.col("word").alias("known_word"), F.col("n").cast("double").alias("value"), F.lit(None).cast("array<short>").alias("seen"))
+    asked_for = requests.withColumn("at", F.when(F.col("word").isNull(), F.col("key")).otherwise(F.xxhash64("word")))
+    same = F.when(F.col("word").isNull(), F.col("known_word").isNull()).otherwise(F.col("word") == F.col("known_word"))
+    return asked_for.join(of_gram.unionByName(of_word), (F.col("at") == F.col("known")) & same).select("batch", "key", "value", "seen")
 
 
 def score_texts(docs: DataFrame, train: Column, id_column: str = "doc_id") -> DataFrame:
@@ -273,10 +294,11 @@ def score_texts(docs: DataFrame, train: Column, id_column: str = "doc_id") -> Da
 
     def score(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         short, (which, raws) = short_of(shared), texts_of(group)
-        of_word = answers["word"].notna().to_numpy()
-        count = dict(zip((w.encode() for w in answers["word"][of_word]), answers["value"][of_word], strict=True))
-        rest = answers[~of_word]
-        keys, value = rest["key"].to_numpy(np.int64), rest["value"].to_numpy(np.float64)
+        keys, value, words = answers["key"].to_numpy(np.int64), answers["value"].to_numpy(np.float64), all_words(raws)
+        of_word, times = keys >= WORD_KEYS, np.zeros(len(words))
+        times[keys[of_word] - WORD_KEYS] = value[of_word]
+        count = dict(zip(words, times.tolist(), strict=True))
+        keys, value, seen = keys[~of_word], value[~of_word], answers["seen"].to_numpy()[~of_word]
         place, scores = pd.Index(keys), np.zeros(len(raws))
         excluded: dict[int, float] = {}  # grams whose context is known, but not with their symbol
         for rows, found in blocks_of(raws):
@@ -290,12 +312,12 @@ def score_texts(docs: DataFrame, train: Column, id_column: str = "doc_id") -> Da
             for n, of_context in zip(new[met >= 0], met[met >= 0], strict=True):
                 gram = int(each[n])
                 if gram not in excluded:
-                    excluded[gram] = short.excluding(gram, value[of_context], rest["seen"].iat[of_context])
+                    excluded[gram] = short.excluding(gram, value[of_context], seen[of_context])
                 code[n] = excluded[gram]
             scores += np.bincount(rows, code[where], len(raws))
         out = []
         for raw in raws:
-            c = np.array([*(count.get(w, 0.0) for w in words_of(raw)), float(ends)])
+            c = np.array([*(count[w] for w in words_of(raw)), float(ends)])
             out.append((len(c), int((c > 0).sum()), float((np.log10(c + 0.5) - below).sum())))
         rows = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score"]).assign(score=scores).iloc[which].reset_index(drop=True)
         return pd.concat([group[["_id", "n"]].reset_index(drop=True), rows], axis=1)
