@@ -612,21 +612,6 @@ def test_op10_scores_alike_in_any_batches(spark, monkeypatch):
     assert all(split[i] == pytest.approx(whole[i]) for i in whole)
 
 
-def test_op10_repeated_rows_travel_as_one(spark, monkeypatch):
-    big = 2**53 + 1
-    rows = [(big, "same words again")] * 3000 + [(None, "same words again")] * 2 + [(7, "other"), (7, None), (7, None), (8, "other")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    source = df.select(F.col("doc_id").cast("string").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
-    moved = ppm.dealt(source, F.lit(0).cast("long")).groupBy("_id", "packed").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect()
-    assert sorted((r.n, r.rows <= 4) for r in moved) == [(1, True), (1, True), (2, True), (2, True), (3000, True)]
-    got = ppm.score_texts(df, F.lit(True)).collect()
-    assert sorted(map(str, (r.doc_id for r in got))) == sorted(str(i) for i, _ in rows)
-    assert len({(r.n_tokens, r.base_score, r.score) for r in got if r.doc_id == big or r.doc_id is None}) == 1
-    monkeypatch.setattr(ppm, "MOST_COPIES", 7)
-    monkeypatch.setattr(ppm, "HELD_BYTES", 40)
-    assert sorted(map(str, ppm.score_texts(df, F.lit(True)).collect())) == sorted(map(str, got))
-
-
 def test_op10_grams_of_any_slice():
     raw = "ab\nñ日本 xyz".encode()
     whole = ppm.grams(raw).tolist()
