@@ -76,9 +76,10 @@ def lloyd_sums(emb: DataFrame, means: list, label: str, vector: str) -> DataFram
                 for place in np.unique(near):
                     at = (name, known[name][place][0])
                     sums[at] = sums.get(at, 0) + x[near == place].sum(0)
-        yield pd.DataFrame({"label": [n for n, _ in sums], "k": [k for _, k in sums], "vector": list(sums.values())})
+        if sums:  # a task without rows has none, and Arrow can't tell the kind of an empty column of lists
+            yield pd.DataFrame({"label": [n for n, _ in sums], "k": [k for _, k in sums], "vector": list(sums.values())})
 
-    return emb.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(vector).alias("vector")).mapInPandas(of, f"label {kind}, k int, vector array<double>")
+    return emb.select(F.col(label).alias("label"), F.col(vector).alias("vector")).mapInPandas(of, f"label {kind}, k int, vector array<double>")
 
 
 def unit_rows(vectors) -> np.ndarray:
@@ -86,13 +87,21 @@ def unit_rows(vectors) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def finite_rows(emb: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
+    """The rows with a label and a vector without nulls and non-finite numbers."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return emb.where(F.col(label).isNotNull() & F.coalesce(finite, F.lit(False)))
+
+
 def spherical_means(emb: DataFrame, k: int, key: str, label: str = "label", vector: str = "embedding", steps: int = 10, numbers: int = BROADCAST_NUMBERS) -> DataFrame:
     """label, k, vector: k means of each class by Lloyd steps on the sphere, started from rows in hash order.
 
+    Rows without a label or a whole finite vector (finite_rows) take no part.
+
     Means are broadcast in blocks of classes of at most about so many numbers. A step reads the rows once a block, keeps
     them where they are, and shuffles one sum a task and mean. A mean that loses all rows is dropped.
     """
-    rows = emb.where(F.col(label).isNotNull())
+    rows = finite_rows(emb, label, vector)
     place = F.row_number().over(Window.partitionBy("label").orderBy(F.md5(F.col("key").cast("string").cast("binary")), "key")) - 1
     first = rows.select(F.col(label).alias("label"), F.col(key).alias("key"), F.col(vector).alias("x")).withColumn("k", place).where(F.col("k") < k)  # cut to k rows a task first
     means = stored(first.select("label", "k", A.l2_normalise(F.col("x")).alias("vector")))

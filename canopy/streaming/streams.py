@@ -81,7 +81,8 @@ def stateful_centroids(emb: DataFrame, label: str = "label", vector: str = "embe
                 x = np.stack(group["vector"].to_numpy()).astype(np.float64)
                 total, n = found.get(name, (0.0, 0))
                 found[name] = total + x.sum(0), n + len(x)
-        yield pd.DataFrame({"label": list(found), "total": [list(t) for t, _ in found.values()], "n": [n for _, n in found.values()]})
+        if found:  # Arrow can't tell the kind of an empty column of lists
+            yield pd.DataFrame({"label": list(found), "total": [list(t) for t, _ in found.values()], "n": [n for _, n in found.values()]})
 
     rows = emb.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).select(F.col(label).alias("label"), F.col(vector).alias("vector"))
     parts = rows.mapInPandas(sums, f"label {kind}, total array<double>, n long")

@@ -254,6 +254,16 @@ def test_spherical_means_and_spectrum_agree_with_numpy(spark):
     assert np.linalg.matrix_rank(low) == 2
 
 
+def test_spherical_means_of_tasks_without_rows_and_odd_vectors(spark):
+    rows = [(i, "ab"[i % 2], [float(i % 5), 1.0, float(i % 3)]) for i in range(20)]
+    odd = [(90, "a", None), (91, "b", [1.0, None, 2.0]), (92, "a", [float("nan"), 1.0, 1.0]), (93, "b", [float("inf"), 1.0, 1.0]), (94, None, [1.0, 1.0, 1.0])]
+    kinds = "id long, label string, embedding array<double>"
+    means = lambda r: {(m.label, m.k): m.vector for m in H.spherical_means(r, 2, "id", steps=3).collect()}
+    wanted = means(spark.createDataFrame(rows, kinds).coalesce(1))
+    got = means(spark.createDataFrame(rows + odd, kinds).repartition(16, "label"))  # most of its tasks have no rows
+    assert got.keys() == wanted.keys() and all(np.allclose(got[x], wanted[x]) for x in wanted)
+
+
 def test_retrained_classifier_is_right_on_held_out_vectors(spark):
     from pyspark.ml.functions import array_to_vector
 
