@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scans import places
-from ..sources.scratch import stored
+from ..sources.scratch import discard, stored
 
 
 def edges_of(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def nodes_of(edges: DataFrame) -> DataFrame:
 
 def roots(edges: DataFrame) -> DataFrame:
     """node: the keys without a parent."""
-    return nodes_of(edges).join(edges_of(edges).select(F.col("child").alias("node")), "node", "left_anti")
+    return meet(nodes_of(edges), edges_of(edges).select(F.col("child").alias("node")), "node", "left_anti")
 
 
 def conflicts(edges: DataFrame) -> DataFrame:
@@ -41,6 +41,12 @@ def conflicts(edges: DataFrame) -> DataFrame:
     return edges_of(edges).groupBy("child").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def meet(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """The join of two tables of a row or more a node. Pointers that end at few nodes take little room on disk, which
+    Spark's size check would take for few rows to broadcast: so it is told to merge."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def pointers(edges: DataFrame) -> DataFrame:
     """node, up, distance: one row a proper edge; an error if a node has several parents."""
     if not conflicts(edges).isEmpty():
@@ -54,7 +60,7 @@ def ancestors(edges: DataFrame) -> DataFrame:
     pairs, step = [jump], 1
     while not jump.isEmpty():
         near = reduce(DataFrame.unionByName, pairs)
-        reach = jump.select(F.col("node").alias("from"), F.col("ancestor").alias("node")).join(near, "node")
+        reach = meet(jump.select(F.col("node").alias("from"), F.col("ancestor").alias("node")), near, "node")
         reach = stored(reach.select(F.col("from").alias("node"), "ancestor", (F.col("distance") + step).alias("distance")))
         if not reach.where("node = ancestor").isEmpty():
             raise ValueError("the edges have a cycle: see cycles()")
@@ -64,19 +70,22 @@ def ancestors(edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, pairs)
 
 
-def squared(jump: DataFrame) -> DataFrame:
-    """Pointers twice as far, of the nodes that have them."""
-    far = jump.select(F.col("node").alias("up"), F.col("up").alias("to"), F.col("distance").alias("more"))
-    return stored(jump.join(far, "up").select("node", F.col("to").alias("up"), (F.col("distance") + F.col("more")).alias("distance")))
-
-
 def cycles(edges: DataFrame) -> DataFrame:
-    """node: the keys on cycles; none in a forest. A pointer further than there are nodes points into a cycle, and those
-    of a cycle's own nodes point at all of it."""
-    jump, most, step = pointers(edges), nodes_of(edges).count(), 1
-    while step <= most and not jump.isEmpty():
-        jump, step = squared(jump), 2 * step
-    return jump.select(F.col("up").alias("node")).distinct()
+    """node: the keys on cycles; none in a forest.
+
+    A node on a cycle is pointed at, by pointers of any length: each round drops the nodes that no pointer ends at and
+    doubles the pointers of the others, until a pointer ends at every node that is left. Of n nodes that point at random
+    about n / step are left at a time.
+    """
+    jump = pointers(edges)
+    while True:
+        hit = stored(meet(jump.select("node", "up"), jump.select(F.col("up").alias("node")).distinct(), "node", "left_semi"))
+        if hit.count() == jump.count():
+            return jump.select("node")
+        far = hit.select(F.col("node").alias("up"), F.col("up").alias("to"))
+        further = stored(meet(hit, far, "up").select("node", F.col("to").alias("up")))
+        discard(jump, hit)
+        jump = further
 
 
 def depths(edges: DataFrame) -> DataFrame:
@@ -85,9 +94,9 @@ def depths(edges: DataFrame) -> DataFrame:
     jump, most, step, done = pointers(edges), nodes_of(edges).count(), 1, [top.select("node", F.lit(0).cast("long").alias("depth"), F.col("node").alias("root"))]
     at_root = top.withColumnRenamed("node", "up")
     while step <= 2 * most:
-        ended = jump.join(at_root, "up")
+        ended = meet(jump, at_root, "up")
         done.append(ended.select("node", F.col("distance").alias("depth"), F.col("up").alias("root")))
-        jump = stored(jump.join(at_root, "up", "left_anti"))
+        jump = stored(meet(jump, at_root, "up", "left_anti"))
         if jump.isEmpty():
             break
         # What still goes on is carried over pointers that may end at a root: those have been told above.
@@ -95,15 +104,15 @@ def depths(edges: DataFrame) -> DataFrame:
         done = [every]
         told = every.where("depth > 0").select(F.col("node").alias("up"), F.col("root").alias("to"), F.col("depth").alias("more"))
         far = told.unionByName(jump.select(F.col("node").alias("up"), F.col("up").alias("to"), F.col("distance").alias("more")))
-        jump = stored(jump.join(far, "up").select("node", F.col("to").alias("up"), (F.col("distance") + F.col("more")).alias("distance")))
+        jump = stored(meet(jump, far, "up").select("node", F.col("to").alias("up"), (F.col("distance") + F.col("more")).alias("distance")))
         step *= 2
-    return nodes_of(edges).join(reduce(DataFrame.unionByName, done), "node", "left")
+    return meet(nodes_of(edges), reduce(DataFrame.unionByName, done), "node", "left")
 
 
 def paths(edges: DataFrame) -> DataFrame:
     """node, path: the keys from the root down to the node; as long as the forest is deep."""
     above = ancestors(edges).groupBy("node").agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ancestor"))).alias("up"))
-    rows = nodes_of(edges).join(above, "node", "left")
+    rows = meet(nodes_of(edges), above, "node", "left")
     up = F.coalesce(F.transform("up", lambda p: p["ancestor"]), F.expr("cast(array() as array<string>)"))
     return rows.select("node", F.concat(up, F.array("node")).alias("path"))
 
@@ -118,7 +127,7 @@ def descendants(edges: DataFrame, wanted: DataFrame) -> DataFrame:
 def heights(edges: DataFrame) -> DataFrame:
     """node, height: steps to its furthest leaf (leaves 0)."""
     longest = ancestors(edges).groupBy(F.col("ancestor").alias("node")).agg(F.max("distance").alias("height"))
-    return nodes_of(edges).join(longest, "node", "left").withColumn("height", F.coalesce("height", F.lit(0).cast("long")))
+    return meet(nodes_of(edges), longest, "node", "left").withColumn("height", F.coalesce("height", F.lit(0).cast("long")))
 
 
 def flat_list(edges: DataFrame) -> DataFrame:

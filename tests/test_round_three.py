@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from canopy.operators import forest as G
 from canopy.plans.registry import ORACLES, QUERIES
 from tests.test_queries import plain
 
@@ -21,3 +22,27 @@ def test_best_rule_of_aurocs_that_round_alike(spark, tmp_path):
     first, second = sorted(got, key=lambda r: (-r[2], not r[3]))[:2]
     assert first[2] == second[2] and first[3] and not second[3]
     assert plain(got) == plain(con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLES['openset_summary']})").fetchall())
+
+
+def recorded(monkeypatch, module):
+    """The plans of all tables that the module stores from here on."""
+    plans, store = [], module.stored
+
+    def keep(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df)
+
+    monkeypatch.setattr(module, "stored", keep)
+    return plans
+
+
+def test_cycles_of_a_random_map_without_broadcasts(spark, monkeypatch):
+    n = 700
+    to = {i: int(x) for i, x in enumerate(np.random.default_rng(1).integers(0, n + 30, n))}  # some leave it
+    on = set(to)
+    while (left := {to[i] for i in on} & on) != on:
+        on = left
+    plans = recorded(monkeypatch, G)
+    found = G.cycles(spark.createDataFrame(list(to.items()), "child long, parent long"))
+    assert {int(r.node) for r in found.collect()} == on and on
+    assert plans and not any("BroadcastHashJoin" in p for p in plans)
