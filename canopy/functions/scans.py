@@ -28,33 +28,36 @@ def same_keys(left: Sequence[str], right: Sequence[str]) -> Column:
 
 
 def ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """df stored with `_part`: the range of the sort columns that a row is in, from 0 in their order; ties share one.
+    """df stored with `_part`: the range of the sort columns that a row is in, from 0 in their order; ties share one; and
+    `_in`: its place in there, from 0. The range's sorted rows are numbered as they are written, with no further shuffle.
 
     As many ranges as the session's shuffles have partitions, small neighbours joined by the adaptive plan.
     """
-    return stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    return stored(rows.select(*df.columns, F.shiftright("_at", 33).cast("int").alias("_part"), F.col("_at").bitwiseAND(F.lit(2**33 - 1)).alias("_in")))
 
 
-def offsets(sizes: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
-    """_p, _k0, ...: each key's ranges with the sums over its ranges before, `_off_<c>`; sizes has a row a key and range."""
+def offsets(sizes: DataFrame, keys: Sequence[str], sums: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
+    """_p, _k0, ... and `more`: each key's ranges with the sums over its ranges before, `_off_<c>`; sizes has a row a key and range."""
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most a row a key and range
     start = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_off_{c}")
-    return sizes.select(F.col("_part").alias("_p"), *(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)), *map(start, sums))
+    return sizes.select(F.col("_part").alias("_p"), *(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)), *more, *map(start, sums))
 
 
 def places(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "n") -> DataFrame:
     """df and each row's position, from 0, among its key's rows by the order columns (of all rows if there are no keys).
 
-    Rows are ranked within ranges of (keys, order) and moved by the key's rows in the ranges before, so neither a key with
-    most rows nor a whole table is one task. Nulls come first. Rows that tie in all order columns have neighbouring
-    positions in any order, in one range.
+    Rows are numbered within ranges of (keys, order); a key's rows are neighbours there and are moved by its rows in the
+    ranges before, so neither a key with most rows nor a whole table is one task. Nulls come first. Rows that tie in all
+    order columns have neighbouring positions in any order, in one range. The moves are stored, so that Spark's size check
+    knows when they are few.
     """
     rows = ranged(df.withColumn("_all", F.lit(0)), [*keys, *order])
     keys = ["_all", *keys]
-    sizes = rows.groupBy("_part", *keys).agg(F.count("*").alias("rows"))
-    inside = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order)) - 1
-    moved = rows.withColumn("_in", inside).join(offsets(sizes, keys, ["rows"]), (F.col("_part") == F.col("_p")) & same_keys(keys, [f"_k{n}" for n in range(len(keys))]))
-    return moved.select(*df.columns, (F.col("_in") + F.col("_off_rows")).cast("long").alias(name))
+    sizes = rows.groupBy("_part", *keys).agg(F.count("*").alias("rows"), F.min("_in").alias("_first"))
+    moves = stored(offsets(sizes, keys, ["rows"], ["_first"]))
+    moved = rows.join(moves, (F.col("_part") == F.col("_p")) & same_keys(keys, [f"_k{n}" for n in range(len(keys))]))
+    return moved.select(*df.columns, (F.col("_in") - F.col("_first") + F.col("_off_rows")).cast("long").alias(name))
 
 
 def running_sums(df: DataFrame, order: Sequence[str], sums: Sequence[str]) -> DataFrame:

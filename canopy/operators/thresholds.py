@@ -16,6 +16,9 @@ from ..functions.scans import affine_scan, places
 from ..sources.scratch import stored
 from .metrics import macro_f1, rate
 
+#: Rows of a run that meet its least value in one piece.
+PIECE = 1 << 19
+
 
 def topk(scores: DataFrame, k: int, keys: Sequence[str] = ("instance_id",)) -> DataFrame:
     """The k best classes of each instance; of equal scores the lowest class index."""
@@ -181,14 +184,17 @@ def knee_point(log: DataFrame, decay: float, tol: float, safety: float = 0.75) -
     """run_id, knee, recommended: each run's largest x whose debiased moving average is at most tol times the least, and a
     safe share of it.
 
-    The moving average is a recurrence, scanned in blocks: a run of any length is many tasks.
+    The moving average is a recurrence, scanned in blocks, and meets the run's least value in pieces: a run of any length
+    is many tasks.
     """
     rows = places(log.select("run_id", "x", "y"), ["run_id"], ["x", "y"])
     rows = rows.select("run_id", "n", F.col("x").cast("double").alias("x"), F.lit(decay).alias("a"), (F.col("y") * (1 - decay)).alias("c"))
-    smooth = stored(affine_scan(rows, ["run_id"], ["x"]).select("run_id", "x", (F.col("s") / (1 - F.pow(F.lit(decay), F.col("n") + 1))).alias("y")))
-    least = smooth.groupBy(F.col("run_id").alias("_run")).agg(F.min("y").alias("least"))
+    smooth = stored(affine_scan(rows, ["run_id"], ["x"]).select("run_id", "n", "x", (F.col("s") / (1 - F.pow(F.lit(decay), F.col("n") + 1))).alias("y")))
+    least = smooth.groupBy(F.col("run_id").alias("_run")).agg(F.min("y").alias("least"), F.floor(F.max("n") / PIECE).alias("_last"))
+    least = least.select("_run", "least", F.explode(F.sequence(F.lit(0).cast("long"), "_last")).alias("_piece"))
+    met = smooth.join(least, F.col("run_id").eqNullSafe(F.col("_run")) & (F.floor(F.col("n") / PIECE) == F.col("_piece")))
     low = F.max(F.when(F.col("y") <= F.col("least") * tol, F.col("x"))).alias("knee")
-    return smooth.join(least, F.col("run_id").eqNullSafe(F.col("_run"))).groupBy("run_id").agg(low).withColumn("recommended", F.col("knee") * safety)
+    return met.groupBy("run_id").agg(low).withColumn("recommended", F.col("knee") * safety)
 
 
 def nonfinite_runs(log: DataFrame, longest: int) -> DataFrame:

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from canopy.operators import forest as G
+from canopy.operators import thresholds as T
 from canopy.plans.registry import ORACLES, QUERIES
 from tests.test_queries import plain
 
@@ -46,3 +47,19 @@ def test_cycles_of_a_random_map_without_broadcasts(spark, monkeypatch):
     found = G.cycles(spark.createDataFrame(list(to.items()), "child long, parent long"))
     assert {int(r.node) for r in found.collect()} == on and on
     assert plans and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_one_long_run_meets_its_least_value_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(T, "PIECE", 100, raising=False)
+    rows = [("r", i, abs(i - 400) / 100) for i in range(1000)] + [(None, i, 1.0) for i in range(3)]
+    got = T.knee_point(spark.createDataFrame(rows, "run_id string, x long, y double"), 0.5, 2.0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "_piece" in got._jdf.queryExecution().executedPlan().toString()
+        state, smooth = 0.0, []
+        for i in range(1000):
+            state = 0.5 * state + 0.5 * abs(i - 400) / 100
+            smooth.append(state / (1 - 0.5 ** (i + 1)))
+        assert {r.run_id: r.knee for r in got.collect()} == {"r": max(i for i, s in enumerate(smooth) if s <= 2 * min(smooth)), None: 2.0}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
