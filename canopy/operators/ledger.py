@@ -67,16 +67,17 @@ def flatten_config(runs: DataFrame, column: str = "config") -> DataFrame:
 def config_delta(runs: DataFrame, baseline: object, ignore: Sequence[str] = ()) -> DataFrame:
     """run_id, key, change, value, base: what differs from the baseline run; unset is not null.
 
-    A run meets the baseline's keys, one configuration, as one array: what it lacks is a difference of arrays.
+    Runs are flattened once and stored. The baseline's keys are one configuration: they are broadcast, so that the few keys
+    of all runs aren't a task each, and a run's own rows meet only to tell which of those it lacks.
     """
-    base = runs.where(F.col("run_id") == baseline).select("key", F.col("value").alias("base"))
-    others = runs.where(F.col("run_id") != baseline)
-    met = others.join(base.withColumn("in_base", F.lit(True)), "key", "left")
+    flat = stored(runs)
+    base = flat.where(F.col("run_id") == baseline).select("key", F.col("value").alias("base"))
+    met = flat.where(F.col("run_id") != baseline).join(F.broadcast(base.withColumn("in_base", F.lit(True))), "key", "left")
     change = F.when(F.col("in_base").isNull(), "added").when(~F.col("value").eqNullSafe(F.col("base")), "changed")
     own = met.select("run_id", "key", change.alias("change"), "value", "base").where("change is not null")
     keys = base.agg(F.collect_list("key").alias("keys"))
-    lacks = others.groupBy("run_id").agg(F.collect_list("key").alias("mine")).crossJoin(F.broadcast(keys))  # one row
-    unset = lacks.select("run_id", F.explode(F.array_except("keys", "mine")).alias("key")).join(base, "key")
+    lacks = met.groupBy("run_id").agg(F.collect_list(F.when(F.col("in_base"), F.col("key"))).alias("mine")).crossJoin(F.broadcast(keys))  # one row
+    unset = lacks.select("run_id", F.explode(F.array_except("keys", "mine")).alias("key")).join(F.broadcast(base), "key")
     out = own.unionByName(unset.select("run_id", "key", F.lit("unset").alias("change"), F.lit(None).cast("string").alias("value"), "base"))
     return out.where(~F.col("key").isin("", *ignore))
 
@@ -106,10 +107,13 @@ def config_chain(runs: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def format_delta(delta: DataFrame) -> DataFrame:
-    """run_id, text: changed keys by their last part; three or more with the same parts before it as prefix.*(n)."""
+    """run_id, text: changed keys by their last part; three or more with the same parts before it as prefix.*(n).
+
+    A run's rows are shuffled once, for both groupings.
+    """
     prefix = F.regexp_extract("key", r"^(.*)\.[^.]*$", 1)
     last = F.element_at(F.split("key", r"\."), -1)
-    groups = delta.withColumn("prefix", prefix).groupBy("run_id", "prefix").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.concat_ws("=", last, "value"))).alias("tokens"))
+    groups = delta.repartition("run_id").withColumn("prefix", prefix).groupBy("run_id", "prefix").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.concat_ws("=", last, "value"))).alias("tokens"))
     many = (F.col("n") >= 3) & (F.col("prefix") != "")
     token = F.when(many, F.array(F.concat(F.col("prefix"), F.lit(".*("), F.col("n").cast("string"), F.lit(")")))).otherwise(F.col("tokens"))
     return groups.select("run_id", F.explode(token).alias("t")).groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_list("t")), ", ").alias("text"))

@@ -4,7 +4,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from pyspark.sql import functions as F
+
 from canopy.operators import forest as G
+from canopy.operators import ledger as K
 from canopy.operators import thresholds as T
 from canopy.plans.registry import ORACLES, QUERIES
 from tests.test_queries import plain
@@ -63,3 +66,15 @@ def test_one_long_run_meets_its_least_value_in_pieces(spark, monkeypatch):
         assert {r.run_id: r.knee for r in got.collect()} == {"r": max(i for i, s in enumerate(smooth) if s <= 2 * min(smooth)), None: 2.0}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_few_keys_of_many_runs_are_not_a_task_each(spark):
+    rows = [(0, "a", "1"), (0, "b", None)] + [(i, "a", str(i % 2)) for i in range(1, 9)] + [(i, "c", "x") for i in range(1, 3)] + [(4, "b", None)]
+    delta = K.config_delta(spark.createDataFrame(rows, "run_id long, key string, value string"), 0)
+    wanted = {(i, "a", "changed", "0", "1") for i in range(2, 9, 2)} | {(i, "c", "added", "x", None) for i in (1, 2)} | {(i, "b", "unset", None, None) for i in range(1, 9) if i != 4}
+    assert {tuple(r) for r in delta.collect()} == wanted
+    plan = delta._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(key" not in plan
+    text = K.format_delta(delta)
+    assert text.where(F.col("run_id") == 2).first().text == "a=0, b, c=x"
+    assert text._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(run_id") == 2  # what runs lack, and the texts
