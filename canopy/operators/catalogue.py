@@ -265,8 +265,10 @@ def check_manifest(status: DataFrame, most_short: int = 0) -> DataFrame:
 def join_evals(runs: DataFrame, evals: DataFrame) -> DataFrame:
     """Each run's newest evaluation whose model path has the run's directory (one or more whole folders) in it.
 
-    A path meets runs by its own stretches of folders, so this is an equi-join.
+    A path meets runs by its own stretches of folders, so this is an equi-join; of each path only the newest evaluation
+    goes into it.
     """
+    evals = evals.groupBy("model_path").agg(F.max("eval_name").alias("eval_name"), F.max_by("test_f1", "eval_name").alias("test_f1"))
     folders = F.filter(F.split("model_path", "/"), lambda x: x != "")
     first = lambda a: F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1)))
     stretches = F.flatten(F.transform(first(folders), lambda i: F.transform(F.sequence(F.lit(1), F.size(folders) - i + 1), lambda n: F.array_join(F.slice(folders, i, n), "/"))))

@@ -6,6 +6,7 @@ import pyarrow.parquet as pq
 
 from pyspark.sql import functions as F
 
+from canopy.operators import catalogue as C
 from canopy.operators import forest as G
 from canopy.operators import ledger as K
 from canopy.operators import thresholds as T
@@ -78,3 +79,12 @@ def test_few_keys_of_many_runs_are_not_a_task_each(spark):
     text = K.format_delta(delta)
     assert text.where(F.col("run_id") == 2).first().text == "a=0, b, c=x"
     assert text._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(run_id") == 2  # what runs lack, and the texts
+
+
+def test_only_the_newest_evaluation_of_a_path_meets_runs(spark):
+    runs = spark.createDataFrame([("r1",), ("r2",), ("r3",)], "run_dir string")
+    evals = [("/o/r1/m", f"e{n}", n / 10) for n in range(9)] + [("/o/r1/k", "e95", None), ("/o/r2/m", None, 0.5)]
+    found = C.join_evals(runs, spark.createDataFrame(evals, "model_path string, eval_name string, test_f1 double"))
+    assert {tuple(r) for r in found.collect()} == {("r1", "e95", None), ("r2", None, None)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "key=[model_path" in plan or "keys=[model_path" in plan
