@@ -11,7 +11,8 @@ fourth run. Runs are repeated until a pair at the threshold meets with `recall`
 table's were at most: those for three splits take place at once, more follow if a bucket was split again. Runs share
 coordinates further down and so aren't independent; hence their number comes from playing them through.
 
-Comparing is exact, on whole sets read anew from the texts, which are shuffled in compressed form. A bucket over `block` sets is cut into blocks and each
+Comparing is exact, on whole sets read anew from the texts, which are shuffled in compressed form; a text whose set is
+alone in all its buckets has nothing to be compared with and stays where it is. A bucket over `block` sets is cut into blocks and each
 pair of blocks is a task of its own. A pair counts only in the first of the buckets that its two sets share, so links
 are counted once and no table of pairs exists. Each task gives a row for each set: its links there, and one edge to
 the smallest set that it is connected to there; classes are the connected components of those edges.
@@ -30,6 +31,7 @@ import array
 import functools
 import hashlib
 import math
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -37,6 +39,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import discard, fresh, stored, whole_text, worker_memo
+from .collocations import FILTER_BITS, slices_of
+
+if TYPE_CHECKING:
+    import pyarrow as pa
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 COORDINATES, SMALL, BLOCK, DEPTH = 64, 256, 512, 4
@@ -94,17 +100,28 @@ def name_of(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
-def packed(text: Column) -> Column:
-    """The text's UTF-8 in compressed form: what the shuffles of whole texts carry."""
+def packed(ids: DataFrame, text: Column, key: Column) -> Column:
+    """The text's UTF-8 in compressed form, which the shuffle of whole texts carries; null where the key is surely none of ids.
+
+    What tells is a filter of FILTER_BITS bits, the same for any number of ids: it lets a share of the others pass.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    slices = slices_of(ids.select(F.xxhash64(*ids.columns).alias("h")), FILTER_BITS)
+    sent = ids.sparkSession.sparkContext.broadcast(slices)
 
     @F.pandas_udf("binary")
-    def of(texts: pd.Series) -> pd.Series:
+    def of(texts: pd.Series, places: pd.Series) -> pd.Series:
         import zstandard
 
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for n, own in sent.value:
+            bits[n * len(own) : (n + 1) * len(own)] = np.frombuffer(own, np.uint8)
+        at = places.to_numpy(np.int64)
+        asked = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        return pd.Series([squeeze(t.encode()) for t in texts], dtype=object)
+        return pd.Series([squeeze(t.encode()) if yes else None for t, yes in zip(texts, asked.tolist(), strict=True)], dtype=object)
 
-    return of(text)
+    return of(text, place(key))
 
 
 def sketches(docs: DataFrame, id_column: str) -> DataFrame:
@@ -193,16 +210,20 @@ def splits(sets: DataFrame, done: int, runs: int, small: int, depth: int) -> tup
     for d in range(1, depth + 1):
         level = stored(level.select("name", "node", "of"))
         sizes = level.groupBy("node").agg(F.count("*").alias("n"), F.max("of").alias("of"), F.bit_xor(member).alias("x"), F.bit_xor(F.xxhash64("name", F.lit(1))).alias("y"))
-        sizes = stored(sizes.where("n > 1").withColumn("last", (F.col("n") <= small) | F.coalesce(2 * F.col("n") > F.col("of"), F.lit(False)) | F.lit(d == depth)))
-        spent += [level, sizes]
-        done = level.join(sizes.where("last").select("node", "n", F.xxhash64("n", "x", "y").alias("members")), "node")
-        done = done.select("name", F.col("node").alias("leaf"), "n", "members")
-        leaves = done if leaves is None else leaves.unionByName(done)
-        large = sizes.where("not last").select(F.col("node").alias("parent"), F.col("n").alias("of"))
+        last = (F.col("n") <= small) | F.coalesce(2 * F.col("n") > F.col("of"), F.lit(False)) | F.lit(d == depth)
+        sizes = stored(sizes.where("n > 1").select("node", "n", F.xxhash64("n", "x", "y").alias("members"), last.alias("last")))
+        met = stored(level.select("name", "node").join(sizes, "node"))
+        spent += [level, sizes, met]
+        found = met.where("last").select("name", F.col("node").alias("leaf"), "n", "members")
+        leaves = found if leaves is None else leaves.unionByName(found)
+        large = met.where("not last")
         if d == depth or large.isEmpty():
             break
-        rows = level.select("name", F.col("node").alias("parent")).join(large, "parent").join(sets.select("name", "at"), "name")
-        level = rows.select("name", "of", F.explode(children(F.col("parent"), F.col("at"))).alias("node"))
+        parents = large.groupBy("name").agg(F.collect_list(F.struct("node", "n")).alias("parents"))  # no more than a set has buckets
+        sets = stored(sets.select("name", "at").join(parents, "name"))  # the next split needs no others
+        spent.append(sets)
+        rows = sets.select("name", "at", F.explode("parents").alias("parent"))
+        level = rows.select("name", F.col("parent.n").alias("of"), F.explode(children(F.col("parent.node"), F.col("at"))).alias("node"))
     leaves = stored(leaves)
     discard(*spent)
     return leaves, d
@@ -222,25 +243,24 @@ def buckets(sets: DataFrame, recall: float, threshold: float, small: int, depth:
     return kept
 
 
-def overlap(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many values each set of left shares with each of right."""
-    out = np.zeros((len(left), len(right)), np.float32)
-    sizes = [*map(len, left), *map(len, right)]
-    if not sum(sizes):
+def overlap(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each of the sets (distinct values each) shares with each other one."""
+    sizes = list(map(len, sets))
+    out = np.zeros((len(sizes), len(sizes)), np.float32)
+    if sum(sizes) < 2:
         return out
-    values, inverse = np.unique(np.concatenate([*left, *right]), return_inverse=True)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    often = np.bincount(inverse, minlength=len(values)) > 1
-    rank = np.cumsum(often) - 1
-    keep = often[inverse]
-    row, token = row[keep], rank[inverse[keep]]
-    order = np.argsort(token, kind="stable")
-    row, token = row[order], token[order]
-    for start in range(0, int(often.sum()), 4096):
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    values, row = values[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+    again = values[1:] == values[:-1]
+    often = np.append(again, False)
+    often[1:] |= again
+    row, token = row[often], np.cumsum(np.append(True, ~again)[often]) - 1
+    for start in range(0, int(token[-1]) + 1 if len(token) else 0, 4096):
         a, b = np.searchsorted(token, [start, start + 4096])
-        dense = np.zeros((len(sizes), 4096), np.float32)
+        dense = np.zeros((len(sizes), min(4096, int(token[-1]) + 1 - start)), np.float32)
         dense[row[a:b], token[a:b] - start] = 1
-        out += dense[: len(left)] @ dense[len(left) :].T
+        out += dense @ dense.T
     return out
 
 
@@ -255,43 +275,50 @@ def components(alike: np.ndarray) -> np.ndarray:
         label = best
 
 
-def compare(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """One pair of blocks of a bucket: links that count here, and the smallest set connected to each."""
+def compare(group: pa.Table, threshold: float) -> pa.Table:
+    """One pair of blocks of a bucket: links that count here, and the smallest set connected to each.
+
+    Most buckets have a few sets, so this stays free of what costs more for a table than they do.
+    """
+    import pyarrow as pa
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
-    sets = [shingle_set(unpack(t)) for t in group["text"]]
-    ours = np.array([name_of(s) == n for s, n in zip(sets, group["name"], strict=True)], bool)
-    group, sets = group[ours], [s for s, ok in zip(sets, ours, strict=True) if ok]
-    order = np.argsort(group["name"].to_numpy(), kind="stable")
-    group, sets = group.iloc[order], [sets[i] for i in order]
-    same = np.array([False, *(a == b for a, b in zip(group["name"], group["name"][1:], strict=False))], bool) if len(group) else np.empty(0, bool)
-    group, sets = group[~same], [s for s, again in zip(sets, same, strict=True) if not again]
-    names, side = group["name"].to_numpy(), group["side"].to_numpy()
+    names, found = group["name"].to_pylist(), {}
+    for n, (name, text) in enumerate(zip(names, group["text"].to_pylist(), strict=True)):
+        if name not in found and name_of(values := shingle_set(unpack(text))) == name:
+            found[name] = n, values
+    names = sorted(found)
+    rows, sets = [found[x][0] for x in names], [found[x][1] for x in names]
     size = np.array(list(map(len, sets)), np.float64)
-    shared = overlap(sets, sets)
+    shared = overlap(sets)
     alike = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-6
     np.fill_diagonal(alike, False)
+    side = group["side"].to_numpy()[rows]
     if side.max(initial=0):
         alike &= side[:, None] != side[None, :]
-    leaf = group["leaf"].iloc[0] if len(group) else 0
-    before = [np.array([x for x in found if x < leaf], np.int64) for found in group["leaves"]]
-    counted = alike & (overlap(before, before) == 0)
-    links = counted @ group["copies"].to_numpy(np.float64)
-    out = pd.DataFrame({"name": names, "links": links.astype(np.int64), "least": names[components(alike)] if len(names) else names})
-    return out[alike.any(1)]
+    linked = np.flatnonzero(alike.any(1))
+    leaf, copies, leaves = group["leaf"][0].as_py(), group["copies"].to_numpy()[rows], group["leaves"]
+    before = [np.array([x for x in leaves[rows[n]].as_py() if x < leaf], np.int64) for n in linked]
+    near = alike[np.ix_(linked, linked)]
+    links = (near & (overlap(before) == 0)) @ copies[linked].astype(np.float64)
+    least = components(near)
+    kept = [names[n] for n in linked]
+    return pa.table({"name": pa.array(kept, pa.binary()), "links": pa.array(links.astype(np.int64)), "least": pa.array([kept[n] for n in least], pa.binary())})
 
 
 def linked(docs: DataFrame, sets: DataFrame, leaves: DataFrame, threshold: float, block: int, id_column: str) -> DataFrame:
-    """name, links, least: for each pair of blocks, the sets with a link there."""
-    mine = leaves.groupBy("name").agg(F.collect_list(F.struct("leaf", "n")).alias("found")).join(sets.select("name", "first_id", "copies"), "name")
-    texts = docs.select(F.col(id_column).alias("first_id"), packed(whole_text()).alias("text"))
+    """name, links, least, stored: for each pair of blocks, the sets with a link there."""
+    mine = stored(leaves.groupBy("name").agg(F.collect_list(F.struct("leaf", "n")).alias("found")).join(sets.select("name", "first_id", "copies"), "name"))
+    texts = docs.select(F.col(id_column).alias("first_id"), packed(mine.select("first_id"), whole_text(), F.col(id_column)).alias("text")).where("text is not null")
     rows = mine.join(texts, "first_id").select("name", "copies", "text", F.col("found.leaf").alias("leaves"), F.explode("found").alias("at"))
     blocks = F.ceil(F.col("at.n") / block).cast("long")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("name", F.lit("block")), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     rows = rows.select("name", "copies", "text", "leaves", F.col("at.leaf").alias("leaf"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     kinds = "name binary, links long, least binary"
-    return rows.groupBy("leaf", "i", "j").applyInPandas(lambda g: compare(g, threshold), kinds)
+    found = stored(rows.groupBy("leaf", "i", "j").applyInArrow(lambda g: compare(g, threshold), kinds))
+    discard(mine)
+    return found
 
 
 def with_least(rows: DataFrame, least: DataFrame, key: str) -> DataFrame:
@@ -342,7 +369,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     sets = rows.where("name is not null").groupBy("name").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("at").alias("at"))
     sets = stored(sets)
     leaves = buckets(sets, recall, threshold, small, depth)
-    found = stored(linked(docs, sets, leaves, threshold, block, id_column))
+    found = linked(docs, sets, leaves, threshold, block, id_column)
     links = found.groupBy("name").agg(F.sum("links").alias("links"))
     whole = connect(found.select(F.col("name").alias("a"), F.col("least").alias("b")))
     parts = whole.unionByName(whole.select(F.col("b").alias("a"), "b").distinct())

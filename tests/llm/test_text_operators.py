@@ -108,6 +108,22 @@ def test_op1_recall_on_planted_texts(spark):
     assert sum(got[2 * n] == got[2 * n + 1] for n in near) >= 0.995 * len(near)
 
 
+def test_op1_ships_only_texts_to_compare(spark):
+    df = spark.createDataFrame([(n, f"text number {n}") for n in range(3000)], "doc_id long, text string")
+    ids = df.where("doc_id % 500 = 0").select(F.col("doc_id").alias("first_id"))
+    text = jaccard_join.packed(ids, F.col("text"), F.col("doc_id"))
+    shipped = {r.doc_id for r in df.select("doc_id", text.alias("text")).where("text is not null").collect()}
+    assert {0, 500, 1000, 1500, 2000, 2500} <= shipped and len(shipped) < 12
+
+
+def test_op1_overlap_of_sets():
+    rng = np.random.default_rng(9)
+    sets = [rng.choice(9000, n, replace=False).astype(np.uint64) for n in (0, 1, 50, 5000, 6000, 7000)]
+    own = [set(s.tolist()) for s in sets]
+    assert jaccard_join.overlap([np.sort(s) for s in sets])[~np.eye(6, dtype=bool)].tolist() == [len(a & b) for a in own for b in own if a is not b]
+    assert not jaccard_join.overlap(sets[:2]).any() and not len(jaccard_join.overlap([]))
+
+
 def test_op1_splits_a_hot_star(spark):
     edges = spark.createDataFrame([(bytes(f"n{i:05}", "ascii"), b"a") for i in range(3000)] + [(b"x1", b"x0"), (b"x2", b"x1")], "a binary, b binary")
     got = {bytes(r.a): bytes(r.b) for r in jaccard_join.connect(edges).collect()}
