@@ -121,14 +121,24 @@ def cascade_rates(wide: DataFrame, levels: Sequence[int], threshold: float) -> D
 
 
 def conditional_thresholds(pred: DataFrame, levels: Sequence[int], target: float, n_points: int = 101) -> DataFrame:
-    """For each level its curve's threshold, fitted only on the instances that the finer levels declined."""
-    out, left = None, pred
+    """For each level its curve's threshold, fitted only on the instances that the finer levels declined.
+
+    Levels are taken one after the other: a threshold, one number, is a constant of the next level's plan, and the ids
+    declined are stored, so that a task sorts one level's ids and confidences and not those of all levels before.
+    """
+    right = (F.col("label") == F.col("prediction")).alias("label")
+    rows = stored(pred.where(F.col("level").isin(*levels)).select("instance_id", "level", "confidence", right))
+    out, declined = None, None
     for n in levels:
-        own = left.where(F.col("level") == n)
-        t = curve_threshold(precision_curve(own, n_points), target)
+        own = rows.where(F.col("level") == n)
+        if declined is not None:
+            own = stored(own.join(declined.hint("merge"), "instance_id", "left_semi"))
+        t = stored(curve_threshold(precision_curve(own.withColumn("prediction", F.lit(True)), n_points), target))
         out = t if out is None else out.unionByName(t)
-        declined = own.join(t, "level").where(F.coalesce(F.col("confidence") < F.col("threshold"), F.lit(True)))
-        left = left.join(declined.select("instance_id"), "instance_id", "left_semi")
+        found = t.first()
+        cut = found["threshold"] if found else None
+        below = F.lit(True) if cut is None else F.coalesce(F.col("confidence") < cut, F.lit(True))
+        declined = own.where(below).select("instance_id")
     return out
 
 

@@ -88,3 +88,23 @@ def test_only_the_newest_evaluation_of_a_path_meets_runs(spark):
     assert {tuple(r) for r in found.collect()} == {("r1", "e95", None), ("r2", None, None)}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "key=[model_path" in plan or "keys=[model_path" in plan
+
+
+def test_conditional_thresholds_take_levels_one_after_the_other(spark):
+    rng = np.random.default_rng(17)
+    rows = [(int(i), n, float(c), "a", "a" if rng.random() < c else "b") for n in range(3) for i, c in zip(rng.integers(0, 500, 600), rng.random(600), strict=True)]
+    rows += [(600, 0, None, "a", "a"), (600, 1, 0.9, None, "a"), (601, 1, 0.9, "a", "a"), (None, 0, 0.1, "a", "a"), (None, 1, 0.1, "a", "a")]
+    pred = spark.createDataFrame(rows, "instance_id int, level int, confidence double, label string, prediction string")
+    for target in (0.7, 2.0):  # the second is never reached, so that all instances go on
+        left, wanted = None, {}
+        for n in range(3):
+            own = [r for r in rows if r[1] == n and (left is None or r[0] in left)]
+            sure = [(k / 100, [r for r in own if r[2] is not None and int(r[2] * 100 + 1e-9) >= k]) for k in range(101)]
+            wanted[n] = min((t for t, s in sure if s and sum(r[3] == r[4] for r in s) >= target * len(s)), default=None)
+            left = {r[0] for r in own if wanted[n] is None or r[2] is None or r[2] < wanted[n]} - {None}
+        found = T.conditional_thresholds(pred, [0, 1, 2], target)
+        assert {r.level: r.threshold for r in found.collect()} == wanted
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Sort" not in plan
+    none = T.conditional_thresholds(pred.where("level <> 1"), [0, 1, 2], 0.7)
+    assert [r.level for r in none.collect()] == [0]
